@@ -12,7 +12,9 @@ holds a third of the table that task never ends, so ordered operators here parti
    chunk (or ``after`` rows of an earlier one) is sent to that chunk too, as a halo, so frames and
    lags are exact at the seams. Halo rows are dropped at the end.
 
-A bucket that is itself too large is cut again by the next level of ``Series.levels``.
+A bucket with more than a sixteenth of a chunk is cut again by the next level of ``Series.levels``,
+which also keeps halos small. Series with many small keys start from one very wide bucket, so that
+the bucket table has one row per ordinary key.
 Running values (sums, maxima, forward fill) need no halo: the bucket table carries the aggregate of
 all earlier buckets and each chunk adds it to its own local window.
 """
@@ -70,7 +72,7 @@ class Series:
 def _bucket(df: DataFrame, level: Level) -> Column:
     name = level.column.lstrip("-")
     dtype = df.schema[name].dataType
-    if isinstance(dtype, (T.TimestampType, T.DateType)):
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         value = F.unix_micros(F.col(name).cast("timestamp")) / F.lit(level.width * 1e6)
     else:
         value = F.col(name).cast("double") / F.lit(level.width)
@@ -93,7 +95,7 @@ def _with_buckets(df: DataFrame, s: Series) -> tuple[DataFrame, list[str]]:
     rows = df.withColumn("_b0", _bucket(df, cuts[0]))
     for i, level in enumerate(cuts[1:], start=1):
         group = [*s.keys, *names]
-        hot = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > s.rows_per_chunk)
+        hot = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1, s.rows_per_chunk // 16))
         hot = hot.select(*[F.col(c).alias(f"_h{j}") for j, c in enumerate(group)], F.lit(True).alias("_hot"))
         joined = rows.join(hot, _same(rows, hot, [(c, f"_h{j}") for j, c in enumerate(group)]), "left")
         rows = joined.select(

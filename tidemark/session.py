@@ -24,6 +24,7 @@ def build_session(app: str = "tidemark", cores: str | int = "*", shuffle_partiti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "8g"))
     )
     n = shuffle_partitions or (int(cores) if str(cores).isdigit() else 8)
