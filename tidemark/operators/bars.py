@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.plans.chunks import Series, over_chunks, running
 from tidemark.schemas import BAR_COLUMNS
+from tidemark.session import stage
 
 PRICES = ("open", "high", "low", "close")
 
@@ -91,7 +92,7 @@ def clean_bars(df: DataFrame, series: Series, limit: float = 0.5) -> DataFrame:
     skip = {*series.keys, *[o.lstrip("-") for o in series.order], *BAR_COLUMNS}
     extra = [f.name for f in out.schema.fields if f.name not in skip and f.dataType.simpleString() in ("double", "float")]
     if extra:
-        out = forward_fill(out, series, extra)
+        out = forward_fill(stage(out, "cleaned"), series, extra)
     return out.na.drop()
 
 

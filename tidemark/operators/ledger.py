@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clamp
 from tidemark.plans.chunks import Series, affine_scan, fold, number_rows, over_chunks, running
+from tidemark.session import stage
 
 
 def signed_quantity() -> Column:
@@ -41,7 +42,7 @@ def average_cost(trades: DataFrame, series: Series) -> DataFrame:
     not positive); a sell keeps the average. With the position known from a running sum this is a
     linear recurrence.
     """
-    d = running(trades, series, {"position": ("sum", signed_quantity())})
+    d = stage(running(trades, series, {"position": ("sum", signed_quantity())}), "positions")
     old = F.col("position") - F.col("quantity")
     mixes = (F.col("side") == "buy") & (F.col("position") > 0)
     restarts = (F.col("side") == "buy") & (F.col("position") <= 0)
@@ -105,8 +106,8 @@ def replayed_positions(trades: DataFrame, series: Series) -> DataFrame:
     The position is the running sum of signed quantities, lifted by its own lowest point below
     zero; the entry price is the linear recurrence of :func:`average_cost` with a reset at zero.
     """
-    d = running(trades, series, {"_sum": ("sum", signed_quantity())})
-    d = running(d, series, {"_low": ("min", F.col("_sum"))})
+    d = stage(running(trades, series, {"_sum": ("sum", signed_quantity())}), "positions")
+    d = stage(running(d, series, {"_low": ("min", F.col("_sum"))}), "positions")
     d = d.withColumn("position", F.col("_sum") - F.least(F.col("_low"), F.lit(0.0)))
     buys = F.col("side") == "buy"
     old = F.col("position") - F.col("quantity")
@@ -245,7 +246,7 @@ def daily_pnl(df: DataFrame, series: Series) -> DataFrame:
 def drawdown_state(df: DataFrame, series: Series, initial: float) -> DataFrame:
     """Balance, peak balance and (peak - balance) / peak after each pnl event."""
     d = running(df, series, {"_sum": ("sum", F.col("pnl"))}).withColumn("balance", F.lit(initial) + F.col("_sum"))
-    d = running(d, series, {"peak_balance": ("max", F.col("balance"))}).drop("_sum")
+    d = running(stage(d, "balance"), series, {"peak_balance": ("max", F.col("balance"))}).drop("_sum")
     return d.withColumn("drawdown", F.try_divide(F.col("peak_balance") - F.col("balance"), F.col("peak_balance")))
 
 
@@ -259,14 +260,14 @@ def exposure(positions: DataFrame, prices: DataFrame, capital: float) -> DataFra
 def loss_streak(df: DataFrame, series: Series, limit: int) -> DataFrame:
     """Consecutive losses up to each event and whether they reach the limit."""
     d = number_rows(df, series, "_pos", total=None)
-    d = running(d, series, {"_last": ("max", F.when(F.col("pnl") >= 0, F.col("_pos")))})
+    d = running(stage(d, "streak"), series, {"_last": ("max", F.when(F.col("pnl") >= 0, F.col("_pos")))})
     d = d.withColumn("streak", F.col("_pos") - F.coalesce(F.col("_last"), F.lit(-1))).drop("_pos", "_last")
     return d.withColumn("tripped", F.col("streak") >= limit)
 
 
 def daily_loss_breaker(df: DataFrame, series: Series, limit: float) -> DataFrame:
     """Block the rest of a day once its running pnl fell below ``-limit``."""
-    d = daily_pnl(df, series)
+    d = stage(daily_pnl(df, series), "daily-pnl")
     by_day = Series((*series.keys, "day"), series.order, series.levels, series.rows_per_chunk)
     d = running(d, by_day, {"_low": ("min", F.col("daily_pnl"))}, exclusive=True)
     return d.withColumn("blocked", F.coalesce(F.col("_low") < -abs(limit), F.lit(False))).drop("_low")

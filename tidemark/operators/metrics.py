@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import ratio
-from tidemark.plans.chunks import Series, over_chunks, running
+from tidemark.plans.chunks import Chunks, Series, over_chunks, running
 from tidemark.plans.quantiles import exact_percentiles
 from tidemark.session import stage
 
@@ -73,8 +73,14 @@ def kurtosis(ret: Column) -> Column:
 
 def add_drawdown(df: DataFrame, series: Series = STRATEGY, col: str = "equity") -> DataFrame:
     """Running peak, drawdown and drawdown_pct, with the time of the last row at the peak."""
-    ts = series.order[0]
-    d = running(df, series, {"_p": ("max", F.struct(F.col(col).alias("v"), F.col(ts).alias("t")))})
+    return _drawdown_columns(running(df, series, _peak(series, col)), col)
+
+
+def _peak(series: Series, col: str) -> dict[str, tuple[str, Column]]:
+    return {"_p": ("max", F.struct(F.col(col).alias("v"), F.col(series.order[0]).alias("t")))}
+
+
+def _drawdown_columns(d: DataFrame, col: str) -> DataFrame:
     peak = F.col("_p.v")
     return d.withColumns(
         {"peak": peak, "peak_ts": F.col("_p.t"), "drawdown": F.col(col) - peak, "drawdown_pct": ratio(F.col(col) - peak, peak)}
@@ -84,7 +90,7 @@ def add_drawdown(df: DataFrame, series: Series = STRATEGY, col: str = "equity")
 def max_drawdown(df: DataFrame, series: Series = STRATEGY, col: str = "equity", prepared: bool = False) -> DataFrame:
     """Row of the deepest absolute drawdown (first on ties): depth, percent, peak, trough, rows since the peak."""
     ts, keys = series.order[0], list(series.keys)
-    d = df if prepared else add_drawdown(df, series, col)
+    d = df if prepared else add_drawdown(df.select(*keys, *series.order, col), series, col)
     row = F.struct("drawdown", "drawdown_pct", "peak", F.col(col).alias("trough"), "peak_ts", F.col(ts).alias("trough_ts"))
     worst = d.groupBy(*keys).agg(F.min_by(row, F.struct("drawdown", ts)).alias("_w")).select(*keys, "_w.*")
     held = df.join(worst.select(*keys, "peak_ts", "trough_ts").withColumnsRenamed({"peak_ts": "_from", "trough_ts": "_to"}), keys)
@@ -136,7 +142,9 @@ def trade_metrics(df: DataFrame, keys: list[str], ret: str = "return_pct") -> Da
 def _core(df: DataFrame, series: Series, col: str, rf: float, periods: int) -> DataFrame:
     """Return moments, drawdown and tail of every strategy from one staged pass over the ordered rows."""
     ts, keys, r = series.order[0], list(series.keys), F.col("ret")
-    d = add_drawdown(period_returns(df, series, col), series, col)
+    c = Chunks(df, series, before=1, carry=_peak(series, col))
+    d = c.df.withColumns({"ret": ratio(col, F.lag(col).over(c.window)) - 1, **c.running()})
+    d = _drawdown_columns(c.close(d), col)
     d = stage(d.select(*keys, ts, col, "ret", "peak", "peak_ts", "drawdown", "drawdown_pct"), "metrics")
     moments = d.groupBy(*keys).agg(
         F.count(r).alias("n"),

@@ -12,6 +12,7 @@ from tidemark.functions.columns import ohlc_ordered, ratio
 from tidemark.plans.chunks import Series, over_chunks
 from tidemark.plans.quantiles import exact_percentiles
 from tidemark.schemas import BAR_COLUMNS
+from tidemark.session import stage
 
 PRICES = ("open", "high", "low", "close")
 # How many points a source loses.
@@ -52,6 +53,7 @@ def _gaps(df: DataFrame, series: Series) -> DataFrame:
         df.select(*series.keys, *series.order), series,
         lambda c: {"gap_s": (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(c.window))) / F.lit(1e6)}, before=1,
     )
+    d = stage(d, "gaps")
     med = exact_percentiles(d, list(series.keys), F.col("gap_s"), {"median_s": 0.5})
     return d.join(med, list(series.keys), "left")
 

@@ -36,13 +36,14 @@ def vol_regime(df: DataFrame, series: Series, n: int = 100, col: str = "equity")
     """Rolling deviation of returns, cut at its .33 and .67 quantiles per series."""
     c = Chunks(df, series, before=n)
     d = c.df.withColumn("returns", ratio(col, F.lag(col).over(c.window)) - 1)
-    d = c.close(d.withColumn("rolling_vol", volatility(c, n)))
+    d = stage(c.close(d.withColumn("rolling_vol", volatility(c, n))), "regimes")
     return _by_thirds(d, list(series.keys), "rolling_vol", VOL_REGIMES, "vol_regime")
 
 
 def trend_regime(df: DataFrame, series: Series, n: int = 50, col: str = "equity") -> DataFrame:
     """Rolling slope, cut at its .33 and .67 quantiles per series."""
-    return _by_thirds(add_rolling_slope(df, series, n, col), list(series.keys), "rolling_slope", TREND_REGIMES, "trend_regime")
+    d = stage(add_rolling_slope(df, series, n, col), "regimes")
+    return _by_thirds(d, list(series.keys), "rolling_slope", TREND_REGIMES, "trend_regime")
 
 
 def label_regimes(df: DataFrame, series: Series, vol_n: int = 100, trend_n: int = 50, col: str = "equity") -> DataFrame:

