@@ -58,20 +58,20 @@ KL = {"kl": """SELECT symbol, date_trunc('minute', ts) AS ts, round(px, 6) AS op
       "kd": "SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY ms DESC, event_id % 1000 DESC) AS k FROM kl WHERE event_id % 10 <> 0"}
 
 
-@query("s3_read_klines_nested", with_views("ticks", f"SELECT symbol, ts, {R('open', 5)} AS close, volume FROM kd WHERE k = 1", KL))
+@query("s3_read_klines_nested", with_views("ticks", f"SELECT symbol, ts, {R('open', 6)} AS close, volume FROM kd WHERE k = 1", KL))
 def s3(spark, sf):
     path = scratch(spark, "klines")
     kline_lines(spark, sf).write.text(path)
-    return readers.read_klines_nested(spark, path).select("symbol", "ts", r("close", 5).alias("close"), "volume")
+    return readers.read_klines_nested(spark, path).select("symbol", "ts", r("close", 6).alias("close"), "volume")
 
 
-@query("s3_read_klines_since", with_views("ticks", f"""SELECT symbol, ts, {R('open', 5)} AS close, volume FROM (
+@query("s3_read_klines_since", with_views("ticks", f"""SELECT symbol, ts, {R('open', 6)} AS close, volume FROM (
     SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY ms DESC, event_id % 1000 DESC) AS k FROM kl WHERE volume >= 0 AND ts >= TIMESTAMP '2024-01-20') WHERE k = 1""", KL))
 def s3b(spark, sf):
     path = scratch(spark, "klines")
     kline_lines(spark, sf).write.text(path)
     d = readers.read_klines_nested(spark, path, since="2024-01-20 00:00:00", closed_only=False, validate=True)
-    return d.select("symbol", "ts", r("close", 5).alias("close"), "volume")
+    return d.select("symbol", "ts", r("close", 6).alias("close"), "volume")
 
 
 @query("s4_read_klines_flat", with_views("bars", f"SELECT symbol, ts, {R_list(OHLCV)} FROM bars"))
@@ -82,15 +82,15 @@ def s4(spark, sf):
     return rounded(readers.read_klines_flat(spark, path), KEYS, OHLCV)
 
 
-@query("s4_read_klines_mixed", with_views("ticks bars", f"""SELECT symbol, ts, {R('open', 5)} AS close FROM kd WHERE k = 1 AND (symbol, ts) NOT IN (SELECT (symbol, ts) FROM bars)
-    UNION ALL SELECT symbol, ts, {R('close', 5)} FROM bars""", KL))
+@query("s4_read_klines_mixed", with_views("ticks bars", f"""SELECT symbol, ts, {R('open', 6)} AS close FROM kd WHERE k = 1 AND (symbol, ts) NOT IN (SELECT (symbol, ts) FROM bars)
+    UNION ALL SELECT symbol, ts, {R('close', 6)} FROM bars""", KL))
 def s4b(spark, sf):
     path = scratch(spark, "mixed")
     kline_lines(spark, sf).write.text(path)
     late = F.unix_millis("ts") + 10**12
     flat = bars(spark, sf).select("symbol", F.unix_millis("ts").alias("open_time"), late.alias("event_time"), *OHLCV, F.lit(True).alias("is_closed"))
     flat.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
-    return readers.read_klines(spark, path).select("symbol", "ts", r("close", 5).alias("close"))
+    return readers.read_klines(spark, path).select("symbol", "ts", r("close", 6).alias("close"))
 
 
 @query("s5_normalise_columns", with_views("bars", f"SELECT ts, {R_list(OHLCV)} FROM bars"))
@@ -157,11 +157,10 @@ def s11(spark, sf):
 
 @query("s12_write_run")
 def s12(spark, sf):
-    from tidemark.registry.trades import ledger, marked, summary
+    from tidemark.registry.trades import kept_ledger, marked, summary
 
     path = scratch(spark, "run")
-    led = ledger(spark, sf)
-    writers.write_run(led, marked(spark, sf, led), summary(spark, sf), path)
+    writers.write_run(kept_ledger(spark, sf), marked(spark, sf), summary(spark, sf), path)
     return spark.read.option("header", True).csv(f"{path}/trades").groupBy("model").agg(F.count(F.lit(1)).alias("n_trades"))
 
 
@@ -364,10 +363,10 @@ def p21(spark, sf):
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r(C.round_to_step("l_quantity", 2.0)).alias("stepped"))
 
 
-@query("p22_position_size", with_views("bars", f"SELECT symbol, ts, {R('10000 * 0.01 / (close * 0.02)')} AS size, {R('close * volume * 0.001', 4)} AS fee, volume BETWEEN 10 AND 100 AS ok FROM bars"))
+@query("p22_position_size", with_views("bars", f"SELECT symbol, ts, {R('10000 * 0.01 / (close * 0.02)')} AS size, {R('close * volume * 0.001', 6)} AS fee, volume BETWEEN 10 AND 100 AS ok FROM bars"))
 def p22(spark, sf):
     return bars(spark, sf).select(*KEYS, r(C.risk_position_size(F.lit(10_000.0), 0.01, 0.02, "close")).alias("size"),
-                                  r(C.fee(F.col("close") * F.col("volume"), 0.001), 4).alias("fee"), C.valid_quantity("volume", 10.0, 100.0).alias("ok"))
+                                  r(C.fee(F.col("close") * F.col("volume"), 0.001), 6).alias("fee"), C.valid_quantity("volume", 10.0, 100.0).alias("ok"))
 
 
 @query("p23_normalise_order_type", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'market' WHEN 1 THEN 'limit' WHEN 2 THEN 'stop' WHEN 3 THEN 'stop_limit' ELSE 'market' END AS kind FROM orders""")

@@ -22,7 +22,7 @@ MODELS = ("m1", "m2", "m3")
 _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+def once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _staged:
         _staged[key] = stage(make(), name)
@@ -67,7 +67,7 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    return _once(spark, sf, "bars", lambda: build_bars(ticks(spark, sf), "1 hour", tie=("event_id",)))
+    return once(spark, sf, "bars", lambda: build_bars(ticks(spark, sf), "1 hour", tie=("event_id",)))
 
 
 def bars_dirty(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +86,7 @@ def bars_dirty(spark: SparkSession, sf: str) -> DataFrame:
         )
         return d.drop("k")
 
-    return _once(spark, sf, "bars_dirty", make)
+    return once(spark, sf, "bars_dirty", make)
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +107,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
             )
         )
 
-    return _once(spark, sf, "predictions", make)
+    return once(spark, sf, "predictions", make)
 
 
 def equity(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,7 +120,7 @@ def equity(spark: SparkSession, sf: str) -> DataFrame:
             F.col("symbol").alias("strategy"), "ts", (F.lit(10_000.0) * F.col("close") / F.col("c0")).alias("equity")
         )
 
-    return _once(spark, sf, "equity", make)
+    return once(spark, sf, "equity", make)
 
 
 TRADE_SERIES = Series(

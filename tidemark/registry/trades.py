@@ -9,7 +9,7 @@ from tidemark.operators import trades as B
 from tidemark.registry.core import R, R_list, query, r, rounded
 from tidemark.registry.metrics import TRADE_COLS, sql_daily, sql_trade_metrics
 from tidemark.registry.tables import BAR_SERIES as S
-from tidemark.registry.tables import bars, predictions, with_views
+from tidemark.registry.tables import bars, once, predictions, with_views
 
 RULES = B.TradeRules(threshold=0.6, take_profit=0.02, stop_loss=0.01, timeout=12, commission=0.001, position_size=0.5)
 PC, CM, CAP = RULES.position_size, RULES.commission, RULES.initial_capital
@@ -101,14 +101,18 @@ def b5(spark, sf):
     return rounded(ledger(spark, sf), ["symbol", "model", "entry_ts"], ["capital_before", "capital_after"], 4)
 
 
-def marked(spark, sf, led=None):
-    p = predictions(spark, sf)
-    return B.mark_to_market(bars(spark, sf), p, led if led is not None else ledger(spark, sf), S, RULES)
+def kept_ledger(spark, sf):
+    return once(spark, sf, "kept-ledger", lambda: ledger(spark, sf))
+
+
+def marked(spark, sf):
+    """The equity curve, kept for the queries that summarise it."""
+    return once(spark, sf, "marked", lambda: B.mark_to_market(bars(spark, sf), predictions(spark, sf), kept_ledger(spark, sf), S, RULES))
 
 
 @query("b6_mark_to_market", with_views("ret predictions", f"SELECT symbol, model, ts, num_positions, {R_list(['equity', 'capital', 'unrealized_pnl'], 4)}, {R('price')} AS price FROM mm", MTM, recursive=True))
 def b6(spark, sf):
-    d = marked(spark, sf)
+    d = B.mark_to_market(bars(spark, sf), predictions(spark, sf), kept_ledger(spark, sf), S, RULES)
     return d.select("symbol", "model", "ts", "num_positions", *[r(c, 4).alias(c) for c in ("equity", "capital", "unrealized_pnl")], r("price").alias("price"))
 
 
@@ -128,8 +132,8 @@ SUMMARY = {
 
 
 def summary(spark, sf):
-    led = ledger(spark, sf)
-    return M.backtest_summary(led, marked(spark, sf, led), B.final_capital(predictions(spark, sf), led, RULES), B.MODEL_SERIES)
+    led = kept_ledger(spark, sf)
+    return M.backtest_summary(led, marked(spark, sf), B.final_capital(predictions(spark, sf), led, RULES), B.MODEL_SERIES)
 
 
 @query("m15_backtest_summary", with_views("ret predictions", f"""SELECT symbol, model, num_trades, winning_trades, losing_trades, {R_list(SUM)}, {R_list(['initial_capital', 'final_capital'], 4)} FROM sm""", SUMMARY, recursive=True))

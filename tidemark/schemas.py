@@ -15,11 +15,6 @@ BARS_CSV = T.StructType(
     [T.StructField("timestamp", T.TimestampType())] + [T.StructField(c, T.DoubleType()) for c in BAR_COLUMNS]
 )
 
-# Fixed field names of the kline message.
-KLINE_BODY = "t long, T long, s string, i string, f long, L long, o string, c string, h string, l string, v string, n long, x boolean, q string, V string, Q string"
-KLINE_MESSAGE = f"e string, E long, s string, k struct<{KLINE_BODY}>"
-KLINE_ENVELOPE = f"stream string, data struct<{KLINE_MESSAGE}>, {KLINE_MESSAGE}"
-
 # Fixed column names of the flat line layout.
 KLINE_FLAT = (
     "event_time long, symbol string, interval string, open_time long, close_time long, "

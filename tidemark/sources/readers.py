@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.columns import epoch_ms_to_ts, ohlc_ordered
+from tidemark.functions.columns import epoch_ms_to_ts
 from tidemark.operators.bars import dedupe_last
-from tidemark.schemas import BAR_COLUMNS, BARS_CSV, KLINE_ENVELOPE, KLINE_FLAT
+from tidemark.schemas import BAR_COLUMNS, BARS_CSV, KLINE_FLAT
 
 BAR_OUT = ("symbol", "ts", *BAR_COLUMNS)
 
@@ -19,32 +19,30 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None) -> Data
     return d.select(F.lit(symbol).cast("string").alias("symbol"), "ts", *BAR_COLUMNS) if symbol is not None else d
 
 
-def _number(col: str) -> Column:
-    """Kline numbers arrive as strings; text that is no number becomes null."""
-    return F.expr(f"try_cast({col} AS DOUBLE)")
-
-
 def parse_klines(lines: DataFrame, value: str = "value") -> DataFrame:
     """One row per well-formed kline message: bar columns, close flag and times.
 
     Takes plain messages and messages inside a ``{stream, data}`` envelope. Other events, error
     events and broken JSON drop out. Works on batch and streaming frames.
     """
-    m = lines.select("*", F.from_json(F.col(value), KLINE_ENVELOPE).alias("_m"))
-    k = F.coalesce(F.col("_m.k"), F.col("_m.data.k"))
-    m = m.withColumns(
-        {"_k": k, "_e": F.coalesce("_m.e", "_m.data.e"), "_s": F.coalesce("_m.s", "_m.data.s"), "_E": F.coalesce("_m.E", "_m.data.E")}
-    )
-    m = m.filter(F.col("_k").isNotNull() & F.col("_k.t").isNotNull() & F.coalesce(F.col("_e") == "kline", F.lit(True)))
+    # Field names differ by case only (t/T, l/L), which maps keep apart and structs do not.
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    m = lines.select("*", as_map(F.col(value)).alias("_m"))
+    m = m.withColumn("_m", F.when(F.map_contains_key("_m", "data"), as_map(F.col("_m")["data"])).otherwise(F.col("_m")))
+    m = m.withColumn("_k", as_map(F.col("_m")["k"]))
+    whole = lambda c: c.try_cast("long")
+    k = lambda name: F.col("_k")[name]
+    kind = F.col("_m")["e"]
+    m = m.filter(whole(k("t")).isNotNull() & F.coalesce(kind == "kline", F.lit(True)))
     return m.select(
-        F.coalesce("_s", "_k.s").alias("symbol"),
-        epoch_ms_to_ts("_k.t").alias("ts"),
-        epoch_ms_to_ts("_k.T").alias("close_time"),
-        epoch_ms_to_ts("_E").alias("event_time"),
-        F.col("_k.i").alias("interval"),
-        *[_number(f"_k.{c}").alias(n) for c, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"), ("q", "quote_volume"))],
-        F.col("_k.n").alias("trade_count"),
-        F.coalesce("_k.x", F.lit(False)).alias("is_closed"),
+        F.coalesce(F.col("_m")["s"], k("s")).alias("symbol"),
+        epoch_ms_to_ts(whole(k("t"))).alias("ts"),
+        epoch_ms_to_ts(whole(k("T"))).alias("close_time"),
+        epoch_ms_to_ts(whole(F.col("_m")["E"])).alias("event_time"),
+        k("i").alias("interval"),
+        *[k(c).try_cast("double").alias(n) for c, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"), ("q", "quote_volume"))],
+        whole(k("n")).alias("trade_count"),
+        F.coalesce(k("x") == "true", F.lit(False)).alias("is_closed"),
     )
 
 
