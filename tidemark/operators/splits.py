@@ -52,9 +52,8 @@ def leakage(df: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts",
         F.max(F.when(at["validation"], F.col(ts))).alias("validation_end"),
         F.min(F.when(at["test"], F.col(ts))).alias("test_start"),
     )
-    ok = F.coalesce(F.col("train_end") < F.col("validation_start"), F.lit(True)) & F.coalesce(
-        F.col("validation_end") < F.col("test_start"), F.lit(True)
-    )
+    before = lambda a, b: F.coalesce(F.col(a) < F.col(b), F.lit(True))
+    ok = before("train_end", "validation_start") & before("validation_end", "test_start") & before("train_end", "test_start")
     return d.withColumn("ok", ok)
 
 

@@ -28,53 +28,122 @@ def returns(c: Chunks, periods=(1, 5, 15, 60)) -> Columns:
     return {f"ret_{n}m": change("close", n, c) for n in periods}
 
 
-def rsi(c: Chunks, n: int, delta: str = "_delta") -> Column:
+def bar_terms(c: Chunks) -> Columns:
+    """Per-row inputs of the rolling features."""
+    prev = F.lag("close").over(c.window)
+    return {
+        "returns": ratio("close", prev) - 1,
+        "_delta": F.coalesce(F.col("close") - prev, F.lit(0.0)),
+        "_tp": (F.col("high") + F.col("low") + F.col("close")) / 3,
+        "_place": F.try_divide(F.col("close") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))),
+    }
+
+
+class Rolling:
+    """Rolling sums and counts of several sizes from one running sum per term.
+
+    A sliding frame visits every row of the frame again for every row; here each row costs one
+    update per term, and a sum over the last n rows is a difference of two running sums. Only the
+    roundings of the last n additions enter it, so it is as exact as the chunk's running sum.
+    """
+
+    def __init__(self, c: Chunks, terms: Columns, sizes: tuple[int, ...]):
+        self.c, self.terms, self.sizes = c, terms, tuple(sorted(set(sizes)))
+
+    def add(self, df: DataFrame) -> DataFrame:
+        w = self.c.so_far
+        df = df.withColumns({f"_t_{k}": v.cast("double") for k, v in self.terms.items()})
+        sums = {f"_s_{k}": F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0.0)) for k in self.terms}
+        counts = {f"_n_{k}": F.count(f"_t_{k}").over(w) for k in self.terms}
+        df = df.withColumns({**sums, **counts})
+        df = df.withColumn("_run", F.struct(*sums, *counts))
+        return df.withColumns({f"_r_{n}": F.lag("_run", n).over(self.c.window) for n in self.sizes})
+
+    def sum(self, term: str, n: int) -> Column:
+        return F.col(f"_s_{term}") - F.coalesce(F.col(f"_r_{n}")[f"_s_{term}"], F.lit(0.0))
+
+    def count(self, term: str, n: int) -> Column:
+        return F.col(f"_n_{term}") - F.coalesce(F.col(f"_r_{n}")[f"_n_{term}"], F.lit(0))
+
+    def full_sum(self, term: str, n: int) -> Column:
+        """The sum once there are n values, null before."""
+        return F.when(self.count(term, n) == n, self.sum(term, n))
+
+    def full_mean(self, term: str, n: int) -> Column:
+        return self.full_sum(term, n) / n
+
+    def drop(self, df: DataFrame) -> DataFrame:
+        names = [f"_{x}_{k}" for k in self.terms for x in ("t", "s", "n")]
+        return df.drop("_run", *names, *[f"_r_{n}" for n in self.sizes])
+
+
+SIZES = (5, 7, 10, 14, 20, 21)
+
+
+def bar_rolling(c: Chunks, sizes: tuple[int, ...] = SIZES, ret: str = "returns") -> Rolling:
+    """The terms of the bar features; needs the columns of :func:`bar_terms`."""
+    d, v = F.col("_delta"), F.col("volume")
+    terms = {
+        "gain": F.when(d > 0, d),
+        "loss": F.when(d < 0, -d),
+        "tpv": F.col("_tp") * v,
+        "v": v,
+        "ret": F.col(ret),
+        "retv": F.col(ret) * v,
+        "place": F.col("_place"),
+    }
+    return Rolling(c, terms, sizes)
+
+
+def rsi(roll: Rolling, n: int) -> Column:
     """Relative strength from plain means; 100 without losses, null without any move."""
-    d = F.coalesce(F.col(delta), F.lit(0.0))
-    gain = F.sum(F.greatest(d, F.lit(0.0))).over(c.last(n))
-    loss = F.sum(F.greatest(-d, F.lit(0.0))).over(c.last(n))
-    return F.when(loss == 0, F.when(gain > 0, F.lit(100.0))).otherwise(
-        F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.try_divide(gain, loss))
-    )
+    no_loss, no_gain = roll.count("loss", n) == 0, roll.count("gain", n) == 0
+    strength = F.when(no_gain, F.lit(0.0)).otherwise(F.try_divide(roll.sum("gain", n), roll.sum("loss", n)))
+    return F.when(no_loss, F.when(~no_gain, F.lit(100.0))).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + strength))
 
 
-def vwap(c: Chunks, n: int, tp: str = "_tp") -> Column:
-    w = c.last(n)
-    return full(F.try_divide(F.sum(F.col(tp) * F.col("volume")).over(w), F.sum("volume").over(w)), tp, w, n)
+def vwap(roll: Rolling, n: int) -> Column:
+    return F.try_divide(roll.full_sum("tpv", n), roll.sum("v", n))
 
 
-def volume_momentum(c: Chunks, n: int, ret: str = "returns") -> Column:
-    w = c.last(n)
-    return full(F.sum(F.col(ret) * F.col("volume")).over(w), ret, w, n)
+def volume_momentum(roll: Rolling, n: int) -> Column:
+    return roll.full_sum("retv", n)
 
 
-def intraday_strength(c: Chunks, n: int, place: str = "_place") -> Column:
-    w = c.last(n)
-    return full(F.avg(place).over(w), place, w, n)
+def intraday_strength(roll: Rolling, n: int) -> Column:
+    return roll.full_mean("place", n)
 
 
-def volume_adjusted_return(c: Chunks, n: int, ret: str = "returns") -> Column:
-    w = c.last(n)
-    mean = full(F.avg("volume").over(w), "volume", w, n)
-    return F.col(ret) * F.log1p(ratio("volume", mean))
+def volume_mean(roll: Rolling, n: int = 20) -> Column:
+    return roll.full_mean("v", n)
 
 
-def bollinger(c: Chunks, n: int = 20, k: float = 2.0) -> Columns:
-    w = c.last(n)
-    mean = full(F.avg("close").over(w), "close", w, n)
-    width = full(F.stddev_samp("close").over(w), "close", w, n) * F.lit(k)
-    upper, lower = mean + width, mean - width
-    return {"bb_upper": upper, "bb_lower": lower, "bb_position": F.try_divide(F.col("close") - lower, upper - lower)}
+def volume_adjusted_return(roll: Rolling, n: int, ret: str = "returns") -> Column:
+    return F.col(ret) * F.log1p(ratio("volume", roll.full_mean("v", n)))
 
 
-def volatility(c: Chunks, n: int, ret: str = "returns") -> Column:
+def spread(c: Chunks, col: str, n: int, prefix: str) -> Columns:
+    """Count, mean and sample deviation over the last n rows. Deviations keep the sliding frame: differences of
+    running squares would lose a small deviation beside a large price."""
     w = c.last(n)
-    return full(F.stddev_samp(ret).over(w), ret, w, n)
+    return {f"{prefix}n": F.count(col).over(w), f"{prefix}m": F.avg(col).over(w), f"{prefix}d": F.stddev_samp(col).over(w)}
+
+
+def bollinger_of(prefix: str, n: int = 20, k: float = 2.0) -> Columns:
+    """Bands from the columns of :func:`spread`."""
+    whole = F.col(f"{prefix}n") == n
+    mean, width = F.col(f"{prefix}m"), F.col(f"{prefix}d") * F.lit(k)
+    lower = mean - width
+    return {
+        "bb_upper": F.when(whole, mean + width),
+        "bb_lower": F.when(whole, lower),
+        "bb_position": F.when(whole, F.try_divide(F.col("close") - lower, 2 * width)),
+    }
 
 
-def volume_mean(c: Chunks, n: int = 20) -> Column:
+def volatility(c: Chunks, n: int, ret: str = "returns") -> Column:
     w = c.last(n)
-    return full(F.avg("volume").over(w), "volume", w, n)
+    return full(F.stddev_samp(ret).over(w), ret, w, n)
 
 
 def volume_change(c: Chunks, periods=(5, 20)) -> Columns:
@@ -171,44 +240,44 @@ def feature_matrix(df: DataFrame, series: Series, use: tuple[str, ...] = DEFAULT
     on = {f for f in FAMILIES if any(f in u for u in use)}
     reach = max(60, ema_reach(EMA_SPANS) if "ema" in on else 0)
     c = Chunks(df, series, before=reach)
-    prev = F.lag("close").over(c.window)
-    d = c.df.withColumns(
+    d = c.df.withColumns({"_pos": c.position, **bar_terms(c)})
+    roll = bar_rolling(c)
+    d = roll.add(d)
+    d = d.withColumns(
         {
-            "_pos": c.position,
-            "returns": ratio("close", prev) - 1,
-            "_delta": F.col("close") - prev,
-            "_tp": (F.col("high") + F.col("low") + F.col("close")) / 3,
-            "_place": F.try_divide(F.col("close") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))),
+            **{f"_back{n}": F.lag("close", n).over(c.window) for n in (5, 15, 60)},
+            **spread(c, "close", 20, "_c20"),
+            **{f"_v{n}": F.stddev_samp("returns").over(c.last(n)) for n in (5, 20)},
         }
     )
     cols: Columns = {}
     if "ret" in on:
         cols["ret_1m"] = F.col("returns")
-        cols |= returns(c, (5, 15, 60))
+        cols |= {f"ret_{n}m": ratio("close", f"_back{n}") - 1 for n in (5, 15, 60)}
     if "rsi" in on:
-        cols |= {f"rsi_{n}": rsi(c, n) for n in (14, 7, 21)}
+        cols |= {f"rsi_{n}": rsi(roll, n) for n in (14, 7, 21)}
     if "imb" in on:
         for n in (5, 10, 20):
-            v = vwap(c, n)
             cols |= {
-                f"vwap_{n}": v,
-                f"price_vwap_ratio_{n}": ratio("close", v),
-                f"volume_momentum_{n}": volume_momentum(c, n),
-                f"intraday_strength_{n}": intraday_strength(c, n),
-                f"vol_adj_returns_{n}": volume_adjusted_return(c, n),
+                f"vwap_{n}": vwap(roll, n),
+                f"price_vwap_ratio_{n}": ratio("close", vwap(roll, n)),
+                f"volume_momentum_{n}": volume_momentum(roll, n),
+                f"intraday_strength_{n}": intraday_strength(roll, n),
+                f"vol_adj_returns_{n}": volume_adjusted_return(roll, n),
             }
-    cols |= bollinger(c)
-    v5, v20, vol = volatility(c, 5), volatility(c, 20), volume_mean(c)
+    # Volume can be missing on its own, the count of returns tells whether a window is full.
+    vol = {n: F.when(roll.count("ret", n) == n, F.col(f"_v{n}")) for n in (5, 20)}
     cols |= {
-        "volatility_5m": v5,
-        "volatility_20m": v20,
-        "volatility_ratio": F.try_divide(v5, v20),
-        "volume_sma_20": vol,
-        "volume_ratio_20": ratio("volume", vol),
+        **bollinger_of("_c20"),
+        "volatility_5m": vol[5],
+        "volatility_20m": vol[20],
+        "volatility_ratio": F.try_divide(vol[5], vol[20]),
+        "volume_sma_20": volume_mean(roll),
+        "volume_ratio_20": ratio("volume", volume_mean(roll)),
         "high_low_ratio": high_low_ratio(),
         "open_close_ratio": open_close_ratio(),
     }
-    d = d.withColumns(cols)
+    d = roll.drop(d.withColumns(cols)).drop("_back5", "_back15", "_back60", "_c20n", "_c20m", "_c20d", "_v5", "_v20")
     if "ema" in on:
         d = add_ema(d, c, "close", EMA_SPANS, lambda n: f"ema_{n}")
         d = d.withColumns(

@@ -11,7 +11,7 @@ from tidemark.plans.chunks import Chunks
 from tidemark.registry.core import R, query, r, rounded
 from tidemark.registry.tables import BAR_SERIES as S
 from tidemark.registry.tables import bars, doc_scores, predictions, with_views
-from tidemark.registry.windows import BB_MEAN, BB_STD, PREP, ret_base, sql_vol, sql_vwap
+from tidemark.registry.windows import BB_MEAN, BB_STD, PREP, sql_vol, sql_vwap
 
 H, UP, DOWN = 15, 0.01, 0.01
 
@@ -91,7 +91,7 @@ def t2(spark, sf):
 def t3(spark, sf):
     b = bars(spark, sf)
     c = Chunks(b, S, before=1)
-    f = c.close(c.df.withColumns(ret_base(c)))
+    f = c.close(c.df.withColumns(W.bar_terms(c)))
     d = T.slice_by_split_ranges(f, T.time_split(b, S).select("symbol", "ts", "split"))
     return d.select("symbol", "ts", "split", r("returns").alias("returns"))
 
@@ -146,16 +146,17 @@ def t8(spark, sf):
       FROM prep WINDOW o AS (PARTITION BY symbol ORDER BY ts)"""}))
 def flagship(spark, sf):
     """Bars to features, label, split and a summary, in one chunk layout."""
-    c = Chunks(bars(spark, sf), S, before=20, after=H)
-    d = c.df.withColumns({**ret_base(c), "_pos": c.position, "_ahead": F.lead("close", H).over(c.window)})
+    c = Chunks(bars(spark, sf), S, before=21, after=H)
+    roll = W.bar_rolling(c, (10,))
+    d = roll.add(c.df.withColumns({**W.bar_terms(c), "_pos": c.position, "_ahead": F.lead("close", H).over(c.window)}))
     n = F.col("_total")
     split = F.when(F.col("_pos") < F.floor(n * F.lit(0.6)), "train").when(F.col("_pos") < n - F.floor(n * F.lit(0.2)), "validation")
+    d = d.withColumns({**W.spread(c, "close", 20, "_c20"), "vol_20": W.volatility(c, 20)})
     d = d.withColumns(
         {
             "y": F.when(F.col("_ahead").isNotNull(), (F.col("_ahead") > F.col("close")).cast("int")),
-            "vwap_10": W.vwap(c, 10),
-            "vol_20": W.volatility(c, 20),
-            "bb": W.bollinger(c)["bb_position"],
+            "vwap_10": W.vwap(roll, 10),
+            "bb": W.bollinger_of("_c20")["bb_position"],
             "split": split.otherwise("test"),
         }
     )

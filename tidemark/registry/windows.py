@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 from tidemark.operators import bars as B
 from tidemark.operators import windows as W
-from tidemark.plans.chunks import Chunks, Series, running
+from tidemark.plans.chunks import Chunks, Series, over_chunks, running
 from tidemark.registry.core import R, R_list, query, r, rounded
 from tidemark.registry.tables import BAR_SERIES as S
 from tidemark.registry.tables import bars, equity, trials, with_views
@@ -16,26 +16,25 @@ KEYS = ["symbol", "ts"]
 EQUITY = Series(keys=("strategy",))
 
 
-def on_bars(name: str, make, before: int, cols: dict[str, str], views: str = "ret", extra: dict[str, str] | None = None, base=None):
-    """A window query on the bars: ``make(chunks)`` in Spark, ``cols`` as SQL over the view ``ret`` (or ``extra``)."""
-    source = list(extra)[-1] if extra else views.split()[-1]
-    sql = with_views(views, f"SELECT symbol, ts, {', '.join(f'{R(e)} AS {n}' for n, e in cols.items())} FROM {source}", extra)
+def on_bars(name: str, make, before: int, cols: dict[str, str], extra: dict[str, str] | None = None):
+    """A window query on the bars: ``make(chunks, rolling)`` in Spark, ``cols`` as SQL over the view ``ret`` (or ``extra``)."""
+    source = list(extra)[-1] if extra else "ret"
+    sql = with_views("ret", f"SELECT symbol, ts, {', '.join(f'{R(e)} AS {n}' for n, e in cols.items())} FROM {source}", extra)
 
     @query(name, sql)
     def run(spark, sf):
         c = Chunks(bars(spark, sf), S, before=before + 1)
-        d = c.df.withColumns(base(c)) if base else c.df
-        return rounded(c.close(d.withColumns(make(c))), KEYS, list(cols))
+        roll = W.bar_rolling(c)
+        d = roll.add(c.df.withColumns(W.bar_terms(c)))
+        return rounded(c.close(d.withColumns(make(c, roll))), KEYS, list(cols))
 
 
-def ret_base(c):
-    prev = F.lag("close").over(c.window)
-    return {
-        "returns": C.ratio("close", prev) - 1,
-        "_delta": F.col("close") - prev,
-        "_tp": (F.col("high") + F.col("low") + F.col("close")) / 3,
-        "_place": F.try_divide(F.col("close") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))),
-    }
+def plain(name: str, make, before: int, cols: dict[str, str]):
+    """As :func:`on_bars` for features that need neither returns nor rolling sums."""
+
+    @query(name, with_views("ret", f"SELECT symbol, ts, {', '.join(f'{R(e)} AS {n}' for n, e in cols.items())} FROM ret"))
+    def run(spark, sf):
+        return rounded(over_chunks(bars(spark, sf), S, make, before=before), KEYS, list(cols))
 
 
 def win(n: int, expr: str) -> str:
@@ -85,30 +84,35 @@ SQL_BB = {
     "bb_position": f"(close - ({BB_MEAN} - 2 * {BB_STD})) / nullif(4 * {BB_STD}, 0)",
 }
 
-on_bars("w1_returns", W.returns, 60, {f"ret_{n}m": f"close / {lag('close', n)} - 1" for n in (1, 5, 15, 60)})
-on_bars("w4_rsi", lambda c: {f"rsi_{n}": W.rsi(c, n) for n in (7, 14, 21)}, 20,
-        {f"rsi_{n}": sql_rsi(n) for n in (7, 14, 21)}, extra=PREP, base=ret_base)
-on_bars("w5_vwap", lambda c: {f"vwap_{n}": W.vwap(c, n) for n in (5, 10, 20)}, 19,
-        {f"vwap_{n}": sql_vwap(n) for n in (5, 10, 20)}, extra=PREP, base=ret_base)
-on_bars("w6_price_vwap_ratio", lambda c: {f"price_vwap_ratio_{n}": C.ratio("close", W.vwap(c, n)) for n in (5, 10, 20)}, 19,
-        {f"price_vwap_ratio_{n}": f"close / nullif({sql_vwap(n)}, 0)" for n in (5, 10, 20)}, extra=PREP, base=ret_base)
-on_bars("w7_volume_momentum", lambda c: {f"volume_momentum_{n}": W.volume_momentum(c, n) for n in (5, 10, 20)}, 19,
-        {f"volume_momentum_{n}": full(n, win(n, "sum(ret * volume)"), "ret") for n in (5, 10, 20)}, extra=PREP, base=ret_base)
-on_bars("w8_intraday_strength", lambda c: {f"intraday_strength_{n}": W.intraday_strength(c, n) for n in (5, 10, 20)}, 19,
-        {f"intraday_strength_{n}": sql_mean(n, "place") for n in (5, 10, 20)}, extra=PREP, base=ret_base)
-on_bars("w9_vol_adj_returns", lambda c: {f"vol_adj_returns_{n}": W.volume_adjusted_return(c, n) for n in (5, 10, 20)}, 19,
-        {f"vol_adj_returns_{n}": sql_var(n) for n in (5, 10, 20)}, extra=PREP, base=ret_base)
-on_bars("w10_bollinger", W.bollinger, 19, SQL_BB)
-on_bars("w11_volatility", lambda c: {"volatility_5m": W.volatility(c, 5), "volatility_20m": W.volatility(c, 20),
-                                     "volatility_ratio": F.try_divide(W.volatility(c, 5), W.volatility(c, 20))}, 19,
-        {"volatility_5m": sql_vol(5), "volatility_20m": sql_vol(20), "volatility_ratio": f"{sql_vol(5)} / nullif({sql_vol(20)}, 0)"}, base=ret_base)
-on_bars("w12_volume_sma", lambda c: {"volume_sma_20": W.volume_mean(c), "volume_ratio_20": C.ratio("volume", W.volume_mean(c))}, 19,
+SQL_VWAP = {n: sql_vwap(n) for n in (5, 10, 20)}
+
+plain("w1_returns", W.returns, 60, {f"ret_{n}m": f"close / {lag('close', n)} - 1" for n in (1, 5, 15, 60)})
+on_bars("w4_rsi", lambda c, x: {f"rsi_{n}": W.rsi(x, n) for n in (7, 14, 21)}, 21, {f"rsi_{n}": sql_rsi(n) for n in (7, 14, 21)}, PREP)
+on_bars("w5_vwap", lambda c, x: {f"vwap_{n}": W.vwap(x, n) for n in (5, 10, 20)}, 20, {f"vwap_{n}": q for n, q in SQL_VWAP.items()}, PREP)
+on_bars("w6_price_vwap_ratio", lambda c, x: {f"price_vwap_ratio_{n}": C.ratio("close", W.vwap(x, n)) for n in (5, 10, 20)}, 20,
+        {f"price_vwap_ratio_{n}": f"close / nullif({q}, 0)" for n, q in SQL_VWAP.items()}, PREP)
+on_bars("w7_volume_momentum", lambda c, x: {f"volume_momentum_{n}": W.volume_momentum(x, n) for n in (5, 10, 20)}, 20,
+        {f"volume_momentum_{n}": full(n, win(n, "sum(ret * volume)"), "ret") for n in (5, 10, 20)}, PREP)
+on_bars("w8_intraday_strength", lambda c, x: {f"intraday_strength_{n}": W.intraday_strength(x, n) for n in (5, 10, 20)}, 20,
+        {f"intraday_strength_{n}": sql_mean(n, "place") for n in (5, 10, 20)}, PREP)
+on_bars("w9_vol_adj_returns", lambda c, x: {f"vol_adj_returns_{n}": W.volume_adjusted_return(x, n) for n in (5, 10, 20)}, 20,
+        {f"vol_adj_returns_{n}": sql_var(n) for n in (5, 10, 20)}, PREP)
+on_bars("w11_volatility", lambda c, x: {"volatility_5m": W.volatility(c, 5), "volatility_20m": W.volatility(c, 20),
+                                        "volatility_ratio": F.try_divide(W.volatility(c, 5), W.volatility(c, 20))}, 20,
+        {"volatility_5m": sql_vol(5), "volatility_20m": sql_vol(20), "volatility_ratio": f"{sql_vol(5)} / nullif({sql_vol(20)}, 0)"})
+on_bars("w12_volume_sma", lambda c, x: {"volume_sma_20": W.volume_mean(x), "volume_ratio_20": C.ratio("volume", W.volume_mean(x))}, 20,
         {"volume_sma_20": sql_mean(20, "volume"), "volume_ratio_20": f"volume / nullif({sql_mean(20, 'volume')}, 0)"})
-on_bars("w13_volume_ma5", lambda c: {"volume_ma_5": F.avg("volume").over(c.last(5)), "volume_ratio": C.ratio("volume", F.avg("volume").over(c.last(5)))}, 4,
-        {"volume_ma_5": win(5, "avg(volume)"), "volume_ratio": f"volume / nullif({win(5, 'avg(volume)')}, 0)"})
-on_bars("w14_volume_change", W.volume_change, 20, {f"volume_change_{n}": f"volume / nullif({lag('volume', n)}, 0) - 1" for n in (5, 20)})
-on_bars("w15_momentum_1h", lambda c: {"momentum_1h": W.momentum_1h(c)}, 59, {"momentum_1h": f"close / {lag('close', 59)} - 1"})
-on_bars("w20_rolling_vol", lambda c: {"rolling_vol": W.volatility(c, 100)}, 99, {"rolling_vol": sql_vol(100)}, base=ret_base)
+plain("w13_volume_ma5", lambda c: {"volume_ma_5": F.avg("volume").over(c.last(5)), "volume_ratio": C.ratio("volume", F.avg("volume").over(c.last(5)))}, 4,
+      {"volume_ma_5": win(5, "avg(volume)"), "volume_ratio": f"volume / nullif({win(5, 'avg(volume)')}, 0)"})
+plain("w14_volume_change", W.volume_change, 20, {f"volume_change_{n}": f"volume / nullif({lag('volume', n)}, 0) - 1" for n in (5, 20)})
+plain("w15_momentum_1h", lambda c: {"momentum_1h": W.momentum_1h(c)}, 59, {"momentum_1h": f"close / {lag('close', 59)} - 1"})
+on_bars("w20_rolling_vol", lambda c, x: {"rolling_vol": W.volatility(c, 100)}, 100, {"rolling_vol": sql_vol(100)})
+
+
+@query("w10_bollinger", with_views("ret", f"SELECT symbol, ts, {', '.join(f'{R(e)} AS {n}' for n, e in SQL_BB.items())} FROM ret"))
+def w10(spark, sf):
+    d = over_chunks(bars(spark, sf), S, lambda c: W.spread(c, "close", 20, "_c20"), before=19)
+    return rounded(d.withColumns(W.bollinger_of("_c20")), KEYS, list(SQL_BB))
 
 
 def sql_ema(spans=(5, 20, 50), digits: int | None = 6) -> str:
