@@ -59,15 +59,21 @@ class Rolling:
         df = df.withColumn("_run", F.struct(*sums, *counts))
         return df.withColumns({f"_r_{n}": F.lag("_run", n).over(self.c.window) for n in self.sizes})
 
+    def _sum(self, term: str, n: int) -> str:
+        return f"(_s_{term} - coalesce(_r_{n}._s_{term}, 0D))"
+
+    def _count(self, term: str, n: int) -> str:
+        return f"(_n_{term} - coalesce(_r_{n}._n_{term}, 0L))"
+
     def sum(self, term: str, n: int) -> Column:
-        return F.col(f"_s_{term}") - F.coalesce(F.col(f"_r_{n}")[f"_s_{term}"], F.lit(0.0))
+        return F.expr(self._sum(term, n))
 
     def count(self, term: str, n: int) -> Column:
-        return F.col(f"_n_{term}") - F.coalesce(F.col(f"_r_{n}")[f"_n_{term}"], F.lit(0))
+        return F.expr(self._count(term, n))
 
     def full_sum(self, term: str, n: int) -> Column:
         """The sum once there are n values, null before."""
-        return F.when(self.count(term, n) == n, self.sum(term, n))
+        return F.expr(f"CASE WHEN {self._count(term, n)} = {n} THEN {self._sum(term, n)} END")
 
     def full_mean(self, term: str, n: int) -> Column:
         return self.full_sum(term, n) / n

@@ -323,11 +323,13 @@ def affine_scan(df: DataFrame, series: Series, factor: Column, addend: Column, o
             y = a * y + b
         return pdf[keys].assign(_kc=pdf["_chunk"], _y0=starts)
 
-    starts = ends.select(*keys, "_chunk", "_e._A", "_e._B").groupBy(*keys).applyInPandas(start_values, start_schema)
+    # Series of one chunk start from zero and need no composition.
+    long = ends.select(*keys, "_chunk", "_e._A", "_e._B", F.max("_chunk").over(Window.partitionBy(*keys)).alias("_last"))
+    starts = long.filter(F.col("_last") > 0).drop("_last").groupBy(*keys).applyInPandas(start_values, start_schema)
     starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_kc", "_y0")
     on = _same(solved, starts, [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_chunk", "_kc")])
-    return solved.join(starts, on).select(
-        *[solved[x] for x in df.columns], (F.col("_A") * F.col("_y0") + F.col("_B")).alias(out)
+    return solved.join(starts, on, "left").select(
+        *[solved[x] for x in df.columns], (F.col("_A") * F.coalesce("_y0", F.lit(0.0)) + F.col("_B")).alias(out)
     )
 
 

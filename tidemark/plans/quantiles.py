@@ -46,7 +46,8 @@ def exact_percentiles(
             on = c if on is None else on & c
         joined = v.join(sketch, on)
     else:
-        joined = v.withColumn("_one", F.lit(1)).join(sketch.withColumn("_one", F.lit(1)), "_one")
+        # Without keys the sketch is a single row.
+        joined = v.withColumn("_one", F.lit(1)).join(F.broadcast(sketch.withColumn("_one", F.lit(1))), "_one")
     inside = F.lit(False)
     zone = F.lit(0)
     for i in range(len(names)):

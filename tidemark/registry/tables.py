@@ -32,6 +32,7 @@ def once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame])
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     """A given table with its zone-less timestamps read as UTC instants."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     path = f"{sf}/{table}.parquet"
     fields = [
         T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType)
