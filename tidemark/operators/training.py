@@ -107,7 +107,7 @@ def foreign_score(df: DataFrame, features: list[str], predict: Callable, out: st
     def run(x: pd.DataFrame) -> pd.Series:
         return pd.Series(predict(x), index=x.index, dtype="float64")
 
-    return df.withColumn(out, run(F.struct(*[F.col(f).cast("double") for f in features])))
+    return df.withColumn(out, run(F.struct(*[F.col(f).cast("double").alias(f) for f in features])))
 
 
 def validate(model: Model, df: DataFrame, features: list[str], label: str = "y", name: str = "model") -> DataFrame:
