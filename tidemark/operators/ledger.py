@@ -42,7 +42,6 @@ def average_cost(trades: DataFrame, series: Series) -> DataFrame:
     not positive); a sell keeps the average. With the position known from a running sum this is a
     linear recurrence.
     """
-    d = stage(running(trades, series, {"position": ("sum", signed_quantity())}), "positions")
     old = F.col("position") - F.col("quantity")
     mixes = (F.col("side") == "buy") & (F.col("position") > 0)
     restarts = (F.col("side") == "buy") & (F.col("position") <= 0)
@@ -52,7 +51,7 @@ def average_cost(trades: DataFrame, series: Series) -> DataFrame:
         .when(restarts, F.col("price"))
         .otherwise(F.lit(0.0))
     )
-    return affine_scan(d, series, factor, addend, "avg_price")
+    return affine_scan(trades, series, factor, addend, "avg_price", carry={"position": ("sum", signed_quantity())})
 
 
 def portfolio(trades: DataFrame, series: Series) -> DataFrame:
@@ -107,13 +106,13 @@ def replayed_positions(trades: DataFrame, series: Series) -> DataFrame:
     zero; the entry price is the linear recurrence of :func:`average_cost` with a reset at zero.
     """
     d = stage(running(trades, series, {"_sum": ("sum", signed_quantity())}), "positions")
-    d = stage(running(d, series, {"_low": ("min", F.col("_sum"))}), "positions")
-    d = d.withColumn("position", F.col("_sum") - F.least(F.col("_low"), F.lit(0.0)))
+    position = F.col("_sum") - F.least(F.col("_low"), F.lit(0.0))
     buys = F.col("side") == "buy"
     old = F.col("position") - F.col("quantity")
     factor = F.when(buys, F.try_divide(old, F.col("position"))).when(F.col("position") <= 0, F.lit(0.0)).otherwise(F.lit(1.0))
     addend = F.when(buys, F.try_divide(F.col("quantity") * F.col("price"), F.col("position"))).otherwise(F.lit(0.0))
-    return affine_scan(d.drop("_sum", "_low"), series, factor, addend, "entry_price")
+    out = affine_scan(d, series, factor, addend, "entry_price", {"_low": ("min", F.col("_sum"))}, {"position": position})
+    return out.drop("_sum", "_low")
 
 
 def latest_price(prices: DataFrame, keys: tuple[str, ...] = ("symbol",), ts: str = "ts", price: str = "close") -> DataFrame:

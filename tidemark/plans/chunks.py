@@ -92,17 +92,17 @@ def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Co
 def _bucket_table(df: DataFrame, s: Series, aggs: list[Column]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows with their bucket columns, one row per (keys, bucket) with ``_n`` and ``aggs``, and the bucket names.
 
-    With several levels the counts are staged, so that the input is read once per level that is
-    needed: the finer levels read the rows of over-full buckets only, and usually there are none.
+    The counts are staged. Their size is then known when the rows look up their chunk, so a small
+    table is broadcast and the rows are shuffled once, by (keys, chunk). Finer levels read the rows
+    of over-full buckets only, and usually there are none.
     """
     cuts, keys = s.cuts(), list(s.keys)
     aggs = [F.count(F.lit(1)).alias("_n"), *aggs]
     names = ["_b0"]
     rows = df.withColumn("_b0", _bucket(df, cuts[0]))
-    table = rows.groupBy(*keys, *names).agg(*aggs)
+    table = stage(rows.groupBy(*keys, *names).agg(*aggs), "buckets")
     if len(cuts) == 1:
         return rows, table, names
-    table = stage(table, "buckets")
     limit, done = max(1, s.rows_per_chunk // 16), []
     for i, level in enumerate(cuts[1:], start=1):
         hot = table.filter(F.col("_n") > limit)
@@ -287,15 +287,29 @@ def running(
     return c.close(c.df.withColumns(c.running(exclusive)))
 
 
-def affine_scan(df: DataFrame, series: Series, factor: Column, addend: Column, out: str) -> DataFrame:
+def affine_scan(
+    df: DataFrame,
+    series: Series,
+    factor: Column,
+    addend: Column,
+    out: str,
+    carry: dict[str, tuple[str, Column]] | None = None,
+    derive: dict[str, Column] | None = None,
+) -> DataFrame:
     """Solve ``y[t] = factor[t] * y[t-1] + addend[t]`` with ``y[-1] = 0`` along each series.
 
+    ``carry`` adds running values (as in :func:`running`) and ``derive`` columns computed from them;
+    both may be used by ``factor`` and ``addend`` and are part of the result.
+
     Each chunk is solved for an unknown start value (its result is ``A*y0 + B``), the few chunk
     ends of a series are composed, and the start value is put into the rows.
     """
     keys = list(series.keys)
-    c = Chunks(df.withColumns({"_f": factor.cast("double"), "_g": addend.cast("double")}), series)
-    local = c.df.drop("_own")
+    c = Chunks(df, series, carry=carry)
+    local = c.df.withColumns(c.running()).drop(*c.carried, "_own") if carry else c.df.drop("_own")
+    local = local.withColumns(derive) if derive else local
+    keep = [x for x in local.columns if x not in _INTERNAL]
+    local = local.withColumns({"_f": factor.cast("double"), "_g": addend.cast("double")})
     local = local.withColumn("_pos", F.col("_base") + F.row_number().over(c.window) - 1).drop("_base", "_total")
     schema = T.StructType([*local.schema.fields, T.StructField("_A", T.DoubleType()), T.StructField("_B", T.DoubleType())])
 
@@ -329,7 +343,7 @@ def affine_scan(df: DataFrame, series: Series, factor: Column, addend: Column, o
     starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_kc", "_y0")
     on = _same(solved, starts, [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_chunk", "_kc")])
     return solved.join(starts, on, "left").select(
-        *[solved[x] for x in df.columns], (F.col("_A") * F.coalesce("_y0", F.lit(0.0)) + F.col("_B")).alias(out)
+        *[solved[x] for x in keep], (F.col("_A") * F.coalesce("_y0", F.lit(0.0)) + F.col("_B")).alias(out)
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ledger as A
 from tidemark.registry.core import R, R_list, query, r, rounded
+from tidemark.registry.sources import scratch
 from tidemark.registry.tables import ORDER_SERIES, TRADE_SERIES, bars, equity, order_requests, pnl_events, read, trades, with_views
 
 S = TRADE_SERIES
@@ -20,6 +21,15 @@ def price_list(spark, sf):
     return read(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"), (F.lit(2000.0) + F.col("s_acctbal") / 10).alias("current_price"))
 
 
+@query("a1_append_trades", with_views("requests", f"SELECT account, ts, order_id, {R('notional', 2)} AS notional FROM requests"))
+def a1(spark, sf):
+    """Two overlapping appends; the second adds only what is new."""
+    path, o = scratch(spark, "append"), order_requests(spark, sf)
+    A.append_rows(o.filter(F.col("order_id") % 3 != 0), path)
+    A.append_new(o.filter(F.col("order_id") % 2 == 0).unionByName(o.filter(F.col("order_id") % 3 == 0)), path, ("order_id",), spark.read.schema(o.schema).parquet(path))
+    return rounded(spark.read.schema(o.schema).parquet(path), ["account", "ts", "order_id"], ["notional"], 2)
+
+
 @query("a2_position_by_symbol", with_views("trades", f"SELECT symbol, {R(f'sum({SIGNED})')} AS quantity FROM trades GROUP BY 1 HAVING sum({SIGNED}) <> 0"))
 def a2(spark, sf):
     return rounded(A.position_by_symbol(trades(spark, sf)), ["symbol"], ["quantity"])
