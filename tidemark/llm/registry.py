@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.bpe import op2_bpe
+from tidemark.llm.bytecnn import op1_quality
+from tidemark.llm.langid import op4_langid
 from tidemark.llm.rules import op10_rules
 from tidemark.llm.simhash import op8_simhash
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_bpe": op2_bpe, "op8_simhash": op8_simhash, "op10_rules": op10_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op4_langid": op4_langid, "op8_simhash": op8_simhash, "op10_rules": op10_rules}
 SQL: dict[str, str] = {}
