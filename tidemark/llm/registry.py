@@ -12,10 +12,11 @@ from tidemark.llm.bytecnn import op1_quality
 from tidemark.llm.contamination import op3_decontaminate
 from tidemark.llm.langid import op4_langid
 from tidemark.llm.pages import op7_pages
+from tidemark.llm.repeats import op5_repeats
 from tidemark.llm.rules import op10_rules
 from tidemark.llm.secrets import op6_secrets
 from tidemark.llm.simhash import op8_simhash
 from tidemark.llm.urls import op9_urls
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op6_secrets": op6_secrets, "op7_pages": op7_pages, "op8_simhash": op8_simhash, "op9_urls": op9_urls, "op10_rules": op10_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_decontaminate": op3_decontaminate, "op4_langid": op4_langid, "op5_repeats": op5_repeats, "op6_secrets": op6_secrets, "op7_pages": op7_pages, "op8_simhash": op8_simhash, "op9_urls": op9_urls, "op10_rules": op10_rules}
 SQL: dict[str, str] = {"op6_secrets": secrets.oracle(), "op9_urls": urls.oracle()}
