@@ -176,33 +176,43 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return [r[0].encode() for r in rows], np.array([r[1] for r in rows], float)
 
 
-def classify(docs: DataFrame, training: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted``; a column of that name is replaced."""
+def fitted(spark: SparkSession, training: DataFrame, labels: DataFrame, key: str, text: str, label: str, fit_rows: int, fit_chars: int):
+    """The network, ready to score, as a broadcast of bounded size (1.5 MB of tables)."""
     texts, y = training_rows(training, labels, key, text, label, fit_rows, fit_chars)
     net = ByteNet()
     if len(set(y)) > 1:
         net.fit(texts, y)
     net.prepare()
-    model = docs.sparkSession.sparkContext.broadcast(net)
-    docs = docs.drop("score", "predicted")
-    at = docs.columns.index(text)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return spark.sparkContext.broadcast(net)
+
+
+def classify(docs: DataFrame, training: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
+    """Key, ``score`` (0 to 1) and ``predicted`` (1 from the threshold on) of every row."""
+    model = fitted(docs.sparkSession, training, labels, key, text, label, fit_rows, fit_chars)
 
     def run(batches: Batches) -> Batches:
         net = model.value
         for batch in batches:
-            score = net.scores(raw_texts(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+            score = net.scores(raw_texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
+
+    return map_arrow(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int")
 
-    return map_arrow(docs, run, f"{kinds}, score double, predicted int")
 
+def keep_good(docs: DataFrame, training: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.7, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
+    """The documents whose score reaches the threshold, with all their columns."""
+    model = fitted(docs.sparkSession, training, labels, key, text, label, fit_rows, fit_chars)
+    at = docs.columns.index(text)
+
+    def run(batches: Batches) -> Batches:
+        net = model.value
+        for batch in batches:
+            yield batch.filter(pa.array(net.scores(raw_texts(batch.column(at))) >= threshold))
 
-def keep_good(docs: DataFrame, training: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
-    return classify(docs, training, labels, **options).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = classify(docs.select("doc_id", "text"), docs, table(spark, sf_dir, "labels"))
+    scored = classify(docs, docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")

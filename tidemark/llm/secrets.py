@@ -111,24 +111,33 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = 2, carry: list[str] | None = None) -> DataFrame:
-    """Carried columns, ``base`` and ``spans`` (arrays of start, kind number, stop) of every row.
-
-    The owner is ``source`` unless given; the repository is the language section of a source.
-    """
+def all_spans(docs: DataFrame, text: str, owner: Column | None, repository: Column | None, max_owners: int, carry: list[str]) -> DataFrame:
+    """(_carry, _base, _spans) of every row. Rows without candidates take no part in the join with live spans."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", "source", "lang") if repository is None else repository
-    found = scanned(docs, text, owner, repository, carry or [key])
-    got = found.join(live_spans(found, max_owners), "_row", "left")
+    found = scanned(docs, text, owner, repository, carry)
+    some = F.size("_cand") > 0
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    return got.select("_carry.*", F.col("_base").alias("base"), F.array_sort(F.concat("_base", F.coalesce("_live", none))).alias("spans"))
+    joined = found.where(some).join(live_spans(found, max_owners), "_row", "left")
+    return found.where(~some).select("_carry", "_base", F.col("_base").alias("_spans")).unionByName(
+        joined.select("_carry", "_base", F.array_sort(F.concat("_base", F.coalesce("_live", none))).alias("_spans"))
+    )
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None, max_owners: int = 2) -> DataFrame:
+    """Key, ``base`` and ``spans`` (arrays of start, kind number, stop) of every row.
+
+    The owner is ``source`` unless given; the repository is the language section of a source.
+    """
+    got = all_spans(docs, text, owner, repository, max_owners, [key])
+    return got.select(F.col(f"_carry.`{key}`").alias(key), F.col("_base").alias("base"), F.col("_spans").alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", **options) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", owner: Column | None = None, repository: Column | None = None, max_owners: int = 2) -> DataFrame:
     """The documents with every span replaced by ``MARK`` (overlapping and touching spans by one); ``length`` follows the text."""
-    found = scan(docs, text=text, carry=docs.columns, **options)
-    spans, body = F.col("spans"), F.col(f"`{text}`")
-    done = found.withColumn("_reach", running(F.transform("spans", lambda s: s["stop"]), lambda a, b: F.greatest(a, b), F.lit(0)))
+    found = all_spans(docs, text, owner, repository, max_owners, docs.columns)
+    spans, body = F.col("_spans"), F.col(f"_carry.`{text}`")
+    done = found.withColumn("_reach", running(F.transform(spans, lambda s: s["stop"]), lambda a, b: F.greatest(a, b), F.lit(0)))
 
     def piece(s: Column, i: Column) -> Column:
         """The text kept before a span, with a mark where it starts a new stretch."""
@@ -137,11 +146,13 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", **optio
 
     kept = F.array_join(F.transform(spans, piece), "")
     tail = F.substring(body, F.array_max(F.transform(spans, lambda s: s["stop"])) + 1, F.length(body))
-    done = done.withColumn(text, F.when(F.size(spans) > 0, F.concat(kept, tail)).otherwise(body))
-    if length in docs.columns:
-        kind = docs.schema[length].dataType
-        done = done.withColumn(length, F.when(F.size(spans) > 0, F.length(f"`{text}`").cast(kind)).otherwise(F.col(length)))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+    some = F.size(spans) > 0
+    done = done.withColumn("_text", F.when(some, F.concat(kept, tail)).otherwise(body))
+    out = {c: F.col(f"_carry.`{c}`") for c in docs.columns}
+    out[text] = F.col("_text")
+    if length in out:
+        out[length] = F.when(some, F.length("_text").cast(docs.schema[length].dataType)).otherwise(out[length])
+    return done.select(*[v.alias(c) for c, v in out.items()])
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
