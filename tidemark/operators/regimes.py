@@ -72,7 +72,7 @@ def regime_performance(df: DataFrame, keys: tuple[str, ...] = ("strategy",), ret
         dev.alias("std_return"),
         F.when(dev > 0, F.try_divide(F.avg(r), dev)).otherwise(F.lit(0.0)).alias("sharpe"),
         F.avg(F.when(r.isNotNull(), (r > 0).cast("double"))).alias("win_rate"),
-        (F.exp(F.coalesce(F.sum(F.log1p(r)), F.lit(0.0))) - 1).alias("total_return"),
+        (F.coalesce(F.product(1 + r), F.lit(1.0)) - 1).alias("total_return"),
     )
     g = g.filter(((F.col("_gv") == 1) | F.col("v").isNotNull()) & ((F.col("_gt") == 1) | F.col("t").isNotNull()))
     kind = F.when(F.col("_gt") == 1, "volatility").when(F.col("_gv") == 1, "trend").otherwise("combined")

@@ -109,18 +109,27 @@ def non_overlapping(candidates: DataFrame, keys: tuple[str, ...] = KEYS, max_pos
 def compound_equity(chain: DataFrame, rules: TradeRules, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Capital before and after each trade of a one-position chain, with size and pnl.
 
-    A trade multiplies the capital by 1 - p*c + p*r - p*(1+r)*c, so capital is a running product.
+    A trade multiplies the capital by 1 - p*c + p*r - p*(1+r)*c, so capital is a running product: the sum of
+    the logarithms, the parity of negative factors, and zero from the first factor of zero on.
     """
     p, c, ret = rules.position_size, rules.commission, F.col("return_pct")
     exit_value = 1 + ret if rules.side == "long" else 1 - ret
     factor = F.lit(1 - p * c) + F.lit(p) * ret - F.lit(p * c) * exit_value
     s = Series(keys=keys, order=("entry_ts",))
-    d = running(stage(chain, "chain").withColumn("_g", F.ln(factor)), s, {"_sum": ("sum", F.col("_g"))})
-    after = F.lit(rules.initial_capital) * F.exp("_sum")
-    before = F.lit(rules.initial_capital) * F.exp(F.col("_sum") - F.col("_g"))
+    f = F.col("_f")
+    values = {"_log": F.when(f != 0, F.ln(F.abs(f))).otherwise(F.lit(0.0)), "_neg": (f < 0).cast("long"), "_zero": (f == 0).cast("long")}
+    d = stage(chain, "chain").withColumn("_f", factor).withColumns(values)
+    d = running(d, s, {f"_s{k}": ("sum", F.col(k)) for k in values})
+
+    def capital(own: int) -> Column:
+        log, neg, zero = (F.col(f"_s{k}") - own * F.col(k) for k in values)
+        sign = F.when(neg % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+        return F.lit(rules.initial_capital) * F.when(zero > 0, F.lit(0.0)).otherwise(sign * F.exp(log))
+
+    before, after = capital(1), capital(0)
     d = d.withColumns({"capital_before": before, "capital_after": after})
     size = F.col("capital_before") * F.lit(p) / F.col("entry_price")
-    return d.withColumns({"size": size, "pnl": size * F.col("entry_price") * ret}).drop("_g", "_sum")
+    return d.withColumns({"size": size, "pnl": size * F.col("entry_price") * ret}).drop("_f", *values, *[f"_s{k}" for k in values])
 
 
 def trade_ledger(bars: DataFrame, predictions: DataFrame, series: Series, rules: TradeRules) -> DataFrame:

@@ -9,6 +9,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -58,7 +60,7 @@ def class_weights(df: DataFrame, label: str = "y", out: str = "weight") -> DataF
 
 
 def _assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
 def boosted_trees(label: str, p: BoostParams, validation: str | None = None) -> GBTClassifier:
@@ -90,14 +92,20 @@ def check_features(df: DataFrame, features: list[str]) -> list[str]:
 
 
 def batch_score(model: Model, df: DataFrame, features: list[str], out: str = "prob", fill: bool = False) -> DataFrame:
-    """Add the probability of class 1. Missing features fail, or count 0 with ``fill`` (the live rule)."""
+    """Add the probability of class 1 to every row; null where a feature value is null or not a number.
+
+    Missing feature columns fail. With ``fill`` (the live rule) missing columns and values count 0.
+    """
     missing = check_features(df, features)
     if missing and not fill:
         raise ValueError(f"features missing: {missing}")
     ready = df
     if fill:
         ready = df.withColumns({f: F.coalesce(F.col(f), F.lit(0.0)) if f in df.columns else F.lit(0.0) for f in features})
-    scored = model.transform(ready).withColumn(out, vector_to_array("probability")[1])
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    scored = model.transform(ready).withColumn(out, F.when(whole, vector_to_array("probability")[1]))
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 
@@ -193,7 +201,7 @@ def random_search(train: DataFrame, valid: DataFrame, features: list[str], kind:
 
 
 def multi_model_search(train: DataFrame, valid: DataFrame, features: list[str], spaces: dict[str, Space], n: int = 20, label: str = "y", parallelism: int = 4, seed: int = 42) -> DataFrame:
-    """Random search over several model kinds: (study, trial, params, value, seconds, state)."""
+    """Random search over several model kinds: (study, trial, params, value, seconds, state, error)."""
     import time
 
     spark = train.sparkSession
@@ -205,14 +213,16 @@ def multi_model_search(train: DataFrame, valid: DataFrame, features: list[str],
         kind, i, p = job
         t0 = time.time()
         try:
-            value, state = _trial(kind, p, train, valid, features, label), "complete"
-        except Exception:
-            value, state = None, "fail"
-        return kind, i, {k: str(v) for k, v in p.items()}, value, time.time() - t0, state
+            value, state, error = _trial(kind, p, train, valid, features, label), "complete", None
+        except (CapturedException, Py4JJavaError) as e:  # what a fit with these parameters may raise
+            value, state, error = None, "fail", str(e)[:500]
+        return kind, i, {k: str(v) for k, v in p.items()}, value, time.time() - t0, state, error
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(work, jobs))
-    return spark.createDataFrame(rows, "study string, trial long, params map<string,string>, value double, seconds double, state string")
+    if rows and all(r[5] == "fail" for r in rows):
+        raise RuntimeError(f"every trial failed, the first with: {rows[0][6]}")
+    return spark.createDataFrame(rows, "study string, trial long, params map<string,string>, value double, seconds double, state string, error string")
 
 
 def train_stacker(predictions: DataFrame, features: DataFrame, models: list[str], cols: list[str], label: str = "y", keys: tuple[str, ...] = ("symbol", "ts"), params: BoostParams = BoostParams(rounds=20, depth=3)) -> tuple[PipelineModel, list[str]]:

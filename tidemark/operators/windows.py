@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,12 @@ from tidemark.plans.chunks import Chunks, Series, over_chunks
 Columns = dict[str, Column]
 
 
+def finite(col: Column | str) -> Column:
+    """The value, null where it is infinite or not a number; windows treat such values as missing."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+
 def full(expr: Column, value: Column | str, frame, n: int) -> Column:
     """``expr`` once the frame holds ``n`` non-null values, null before."""
     return F.when(F.count(value).over(frame) == n, expr)
@@ -33,54 +38,52 @@ def bar_terms(c: Chunks) -> Columns:
     prev = F.lag("close").over(c.window)
     return {
         "returns": ratio("close", prev) - 1,
-        "_delta": F.coalesce(F.col("close") - prev, F.lit(0.0)),
+        "_delta": F.coalesce(F.nanvl(F.col("close") - prev, F.lit(0.0)), F.lit(0.0)),
         "_tp": (F.col("high") + F.col("low") + F.col("close")) / 3,
         "_place": F.try_divide(F.col("close") - F.col("low"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))),
     }
 
 
 class Rolling:
-    """Rolling sums and counts of several sizes from one running sum per term.
+    """Rolling sums and counts of several sizes over several terms.
 
-    A sliding frame visits every row of the frame again for every row; here each row costs one
-    update per term, and a sum over the last n rows is a difference of two running sums. Only the
-    roundings of the last n additions enter it, so it is as exact as the chunk's running sum.
+    Every size is one sliding frame that all terms share, so a row costs the sum of the sizes in
+    updates. Nothing outside a frame enters its sum: a spike, an infinity or the place of a chunk's
+    seam leaves no trace in later windows. Infinite and undefined terms count as missing.
     """
 
     def __init__(self, c: Chunks, terms: Columns, sizes: tuple[int, ...]):
         self.c, self.terms, self.sizes = c, terms, tuple(sorted(set(sizes)))
 
     def add(self, df: DataFrame) -> DataFrame:
-        w = self.c.so_far
-        df = df.withColumns({f"_t_{k}": v.cast("double") for k, v in self.terms.items()})
-        sums = {f"_s_{k}": F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0.0)) for k in self.terms}
-        counts = {f"_n_{k}": F.count(f"_t_{k}").over(w) for k in self.terms}
-        df = df.withColumns({**sums, **counts})
-        df = df.withColumn("_run", F.struct(*sums, *counts))
-        return df.withColumns({f"_r_{n}": F.lag("_run", n).over(self.c.window) for n in self.sizes})
-
-    def _sum(self, term: str, n: int) -> str:
-        return f"(_s_{term} - coalesce(_r_{n}._s_{term}, 0D))"
-
-    def _count(self, term: str, n: int) -> str:
-        return f"(_n_{term} - coalesce(_r_{n}._n_{term}, 0L))"
+        df = df.withColumns({f"_t_{k}": finite(v.cast("double")) for k, v in self.terms.items()})
+        cols: Columns = {}
+        for n in self.sizes:
+            w = self.c.last(n)
+            for k in self.terms:
+                cols[f"_s{n}_{k}"] = F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0.0))
+                cols[f"_n{n}_{k}"] = F.count(f"_t_{k}").over(w)
+        return df.withColumns(cols)  # columns that nothing reads are pruned with their windows
 
     def sum(self, term: str, n: int) -> Column:
-        return F.expr(self._sum(term, n))
+        return F.col(f"_s{n}_{term}")
 
     def count(self, term: str, n: int) -> Column:
-        return F.expr(self._count(term, n))
+        return F.col(f"_n{n}_{term}")
+
+    def mean(self, term: str, n: int) -> Column:
+        """Mean of the values there are, null without any."""
+        return F.try_divide(self.sum(term, n), self.count(term, n))
 
     def full_sum(self, term: str, n: int) -> Column:
         """The sum once there are n values, null before."""
-        return F.expr(f"CASE WHEN {self._count(term, n)} = {n} THEN {self._sum(term, n)} END")
+        return F.when(self.count(term, n) == n, self.sum(term, n))
 
     def full_mean(self, term: str, n: int) -> Column:
         return self.full_sum(term, n) / n
 
     def drop(self, df: DataFrame) -> DataFrame:
-        names = [f"_{x}_{k}" for k in self.terms for x in ("t", "s", "n")]
-        return df.drop("_run", *names, *[f"_r_{n}" for n in self.sizes])
+        return df.drop(*[f"_t_{k}" for k in self.terms], *[f"_{x}{n}_{k}" for k in self.terms for n in self.sizes for x in "sn"])
 
 
 SIZES = (5, 7, 10, 14, 20, 21)
@@ -90,8 +93,8 @@ def bar_rolling(c: Chunks, sizes: tuple[int, ...] = SIZES, ret: str = "returns")
     """The terms of the bar features; needs the columns of :func:`bar_terms`."""
     d, v = F.col("_delta"), F.col("volume")
     terms = {
-        "gain": F.when(d > 0, d),
-        "loss": F.when(d < 0, -d),
+        "gain": F.when(d > 0, d).otherwise(F.lit(0.0)),
+        "loss": F.when(d < 0, -d).otherwise(F.lit(0.0)),
         "tpv": F.col("_tp") * v,
         "v": v,
         "ret": F.col(ret),
@@ -103,9 +106,8 @@ def bar_rolling(c: Chunks, sizes: tuple[int, ...] = SIZES, ret: str = "returns")
 
 def rsi(roll: Rolling, n: int) -> Column:
     """Relative strength from plain means; 100 without losses, null without any move."""
-    no_loss, no_gain = roll.count("loss", n) == 0, roll.count("gain", n) == 0
-    strength = F.when(no_gain, F.lit(0.0)).otherwise(F.try_divide(roll.sum("gain", n), roll.sum("loss", n)))
-    return F.when(no_loss, F.when(~no_gain, F.lit(100.0))).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + strength))
+    gain, loss = roll.mean("gain", n), roll.mean("loss", n)
+    return F.when(loss == 0, F.when(gain > 0, F.lit(100.0))).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + gain / loss))
 
 
 def vwap(roll: Rolling, n: int) -> Column:
@@ -131,8 +133,8 @@ def volume_adjusted_return(roll: Rolling, n: int, ret: str = "returns") -> Colum
 def spread(c: Chunks, col: str, n: int, prefix: str) -> Columns:
     """Count, mean and sample deviation over the last n rows. Deviations keep the sliding frame: differences of
     running squares would lose a small deviation beside a large price."""
-    w = c.last(n)
-    return {f"{prefix}n": F.count(col).over(w), f"{prefix}m": F.avg(col).over(w), f"{prefix}d": F.stddev_samp(col).over(w)}
+    w, x = c.last(n), finite(col)
+    return {f"{prefix}n": F.count(x).over(w), f"{prefix}m": F.avg(x).over(w), f"{prefix}d": F.stddev_samp(x).over(w)}
 
 
 def bollinger_of(prefix: str, n: int = 20, k: float = 2.0) -> Columns:
@@ -148,8 +150,8 @@ def bollinger_of(prefix: str, n: int = 20, k: float = 2.0) -> Columns:
 
 
 def volatility(c: Chunks, n: int, ret: str = "returns") -> Column:
-    w = c.last(n)
-    return full(F.stddev_samp(ret).over(w), ret, w, n)
+    w, x = c.last(n), finite(ret)
+    return full(F.stddev_samp(x).over(w), x, w, n)
 
 
 def volume_change(c: Chunks, periods=(5, 20)) -> Columns:
@@ -169,66 +171,54 @@ def rolling_slope(c: Chunks, col: str, n: int) -> Column:
 # --- exponential averages ----------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class _Decay:
-    """Row blocks in which a scaled running sum replaces the recurrence.
-
-    y[t] = sum of w[i] * q^(t-i), with w[0] = x[0], w[i] = a * x[i] and q = 1 - a. Inside a block
-    of ``size`` rows this is q^r times a running sum of w[i] * q^-r(i), and q^size < 1e-17, so only
-    the block before matters. The largest scale stays below 1e280.
-    """
-
-    spans: tuple[int, ...]
-    size: int
-
-
-def _decays(spans: tuple[int, ...]) -> list[_Decay]:
-    rate = {n: -math.log1p(-2.0 / (n + 1)) for n in spans if n > 1}
-    groups: list[_Decay] = []
-    for n in sorted(rate, key=rate.get):
-        need = math.ceil(40.0 / rate[n])
-        if groups and groups[-1].size * rate[n] < 640.0:
-            groups[-1] = _Decay((*groups[-1].spans, n), groups[-1].size)
-        else:
-            groups.append(_Decay((n,), need))
-    return groups
+#: Decay, in natural-log units, after which earlier rows no longer matter at double precision.
+_FORGET = 40.0
 
 
 def ema_reach(spans: tuple[int, ...]) -> int:
-    """Rows of history an exponential average needs (two whole blocks)."""
-    return max([2 * d.size for d in _decays(spans)], default=0)
+    """Rows of history an exponential average needs: twice what forgets a value, as missing rows forget more slowly."""
+    return max([2 * math.ceil(_FORGET / -math.log1p(-2.0 / (n + 1))) for n in spans if n > 1], default=0)
 
 
 def add_ema(df: DataFrame, c: Chunks, col: str, spans: tuple[int, ...], name: Callable[[int], str]) -> DataFrame:
-    """Exponential averages seeded with the first row; ``df`` must hold ``_pos``."""
-    base = [k for k in c.series.keys] + ["_chunk"]
-    out: Columns = {name(n): F.col(col) for n in spans if n <= 1}
-    for i, d in enumerate(_decays(spans)):
-        block, at = f"_blk{i}", f"_at{i}"
-        df = df.withColumns({block: F.floor(F.col("_pos") / d.size), at: F.col("_pos") % d.size})
-        # Both specs sort by (keys, chunk, block, order): one exchange and one sort serve them all.
-        order = [F.col(block), *c.series.order_by()]
-        in_block = Window.partitionBy(*base, block).orderBy(*order[1:])
-        in_chunk = Window.partitionBy(*base).orderBy(*order)
-        sums, before, prior = {}, {}, {}
-        for n in d.spans:
-            a = 2.0 / (n + 1)
-            weight = F.when(F.col("_pos") == 0, F.col(col)).otherwise(F.col(col) * F.lit(a))
-            scaled = weight * F.pow(F.lit(1.0 - a), -F.col(at))
-            sums[f"_s{n}"] = F.sum(scaled).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
-            before[f"_l{n}"] = F.lag(f"_s{n}").over(in_chunk)
-            prior[f"_p{n}"] = F.first(f"_l{n}").over(in_block.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumns(sums).withColumns(before).withColumns(prior)
-        for n in d.spans:
-            q = 1.0 - 2.0 / (n + 1)
-            earlier = F.coalesce(F.col(f"_p{n}"), F.lit(0.0)) * F.lit(q**d.size)
-            out[name(n)] = F.pow(F.lit(q), F.col(at)) * (F.col(f"_s{n}") + earlier)
+    """Exponential averages seeded with the first value; ``df`` must hold ``_pos``.
+
+    Missing and infinite values carry the average on. The value after a gap of g rows weighs a, the
+    average before it (1-a)^g, and the two are scaled to one: y = (1-k) y' + k x with k = a / (a + (1-a)^g).
+    Unrolled this is a running sum of k x e^D times e^-D, where D adds up -ln(1-k). Rows are cut into blocks of
+    ``_FORGET`` units of D, so that scales stay small and only the block before still matters. A gap
+    longer than :func:`ema_reach` at the seam of two chunks leaves null until the next value.
+    """
+    base = [*c.series.keys, "_chunk"]
+    order = c.series.order_by()
+    earlier = c.window.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_x", finite(F.col(col).cast("double")))
+    df = df.withColumn("_gap", F.col("_pos") - F.last(F.when(F.col("_x").isNotNull(), F.col("_pos")), ignorenulls=True).over(earlier))
+    out: Columns = {name(n): F.last("_x", ignorenulls=True).over(c.so_far) for n in spans if n <= 1}
     df = df.withColumns(out)
-    return df.drop(*[x for x in df.columns if x[:2] in ("_s", "_l", "_p") and x[2:].isdigit()], *[x for x in df.columns if x[:4] == "_blk" or (x[:3] == "_at" and x[3:].isdigit())])
+    for n in (n for n in spans if n > 1):
+        a = 2.0 / (n + 1)
+        kept = F.pow(F.lit(1.0 - a), F.col("_gap"))
+        share = F.when(F.col("_x").isNull(), F.lit(None)).when(F.col("_gap").isNull(), F.lit(1.0)).otherwise(F.lit(a) / (kept + a))
+        decay = F.when(F.col("_x").isNull() | F.col("_gap").isNull(), F.lit(0.0)).otherwise(F.least(F.log(kept + a) - F.col("_gap") * F.lit(math.log1p(-a)), F.lit(_FORGET + 5.0)))
+        df = df.withColumns({"_k": share, "_step": decay})
+        df = df.withColumn("_D", F.sum("_step").over(c.so_far))
+        df = df.withColumn("_block", F.floor(F.col("_D") / _FORGET))
+        df = df.withColumn("_D", F.col("_D") - F.col("_block") * F.lit(_FORGET))
+        # Both specs sort by (keys, chunk, block, order): one exchange and one sort serve them.
+        in_block = Window.partitionBy(*base, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        in_chunk = Window.partitionBy(*base).orderBy("_block", *order)
+        df = df.withColumn("_sum", F.sum(F.col("_k") * F.col("_x") * F.exp("_D")).over(in_block))
+        df = df.withColumn("_before", F.lag(F.struct("_block", "_sum")).over(in_chunk))
+        df = df.withColumn("_before", F.first("_before").over(in_block))
+        prior = F.when(F.col("_before._block") == F.col("_block") - 1, F.coalesce("_before._sum", F.lit(0.0)) * F.lit(math.exp(-_FORGET)))
+        both = F.when(F.col("_sum").isNotNull() | prior.isNotNull(), F.coalesce("_sum", F.lit(0.0)) + F.coalesce(prior, F.lit(0.0)))
+        df = df.withColumn(name(n), F.exp(-F.col("_D")) * both)
+    return df.drop("_x", "_gap", "_k", "_step", "_D", "_block", "_sum", "_before")
 
 
 def ema(df: DataFrame, series: Series, col: str = "close", spans: tuple[int, ...] = (5, 20, 50)) -> DataFrame:
-    """Add ``ema_<span>``: y[0] = x[0], y[t] = (1-a) y[t-1] + a x[t], a = 2 / (span + 1)."""
+    """Add ``ema_<span>``: y[0] = x[0], y[t] = (1-a) y[t-1] + a x[t], a = 2 / (span + 1); for gaps see :func:`add_ema`."""
     c = Chunks(df, series, before=ema_reach(spans))
     d = add_ema(c.df.withColumn("_pos", c.position), c, col, tuple(spans), lambda n: f"ema_{n}")
     return c.close(d).drop("_pos")
@@ -253,7 +243,7 @@ def feature_matrix(df: DataFrame, series: Series, use: tuple[str, ...] = DEFAULT
         {
             **{f"_back{n}": F.lag("close", n).over(c.window) for n in (5, 15, 60)},
             **spread(c, "close", 20, "_c20"),
-            **{f"_v{n}": F.stddev_samp("returns").over(c.last(n)) for n in (5, 20)},
+            **{f"_v{n}": F.stddev_samp(finite("returns")).over(c.last(n)) for n in (5, 20)},
         }
     )
     cols: Columns = {}

@@ -10,7 +10,7 @@ from tidemark.operators import windows as W
 from tidemark.plans.chunks import Chunks, Series, over_chunks, running
 from tidemark.registry.core import R, R_list, query, r, rounded
 from tidemark.registry.tables import BAR_SERIES as S
-from tidemark.registry.tables import bars, equity, trials, with_views
+from tidemark.registry.tables import bars, bars_dirty, equity, trials, with_views
 
 KEYS = ["symbol", "ts"]
 EQUITY = Series(keys=("strategy",))
@@ -162,6 +162,25 @@ def w16(spark, sf):
     return rounded(W.feature_matrix(bars(spark, sf), S), KEYS, list(MATRIX))
 
 
+def sql_gap_ema(spans=(5, 20, 50)) -> dict[str, str]:
+    """The recurrence over the closes there are, with the weight of the average before a gap, carried over missing rows."""
+    step = ", ".join(f"(pow(1 - 2.0::DOUBLE / {n + 1}, g) * w.ema_{n} + 2.0::DOUBLE / {n + 1} * close) / (pow(1 - 2.0::DOUBLE / {n + 1}, g) + 2.0::DOUBLE / {n + 1})" for n in spans)
+    return {
+        "obs": "SELECT symbol, rn, close, row_number() OVER w AS k, rn - lag(rn) OVER w AS g FROM prep WHERE close IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY rn)",
+        "walk": f"SELECT symbol, k, rn, {', '.join(f'close AS ema_{n}' for n in spans)} FROM obs WHERE k = 1 UNION ALL SELECT o.symbol, o.k, o.rn, {step} FROM walk w JOIN obs o ON o.symbol = w.symbol AND o.k = w.k + 1",
+        "e": f"SELECT p.symbol, p.ts, {', '.join(f'w.ema_{n}' for n in spans)} FROM prep p ASOF LEFT JOIN walk w ON p.symbol = w.symbol AND p.rn >= w.rn",
+    }
+
+
+@query("w16_feature_matrix_dirty", with_views(
+    "dirty", f"SELECT symbol, ts, {', '.join(f'{R(e)} AS {n}' for n, e in MATRIX.items())} FROM prep JOIN e USING (symbol, ts)",
+    {"gaps": """SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM dirty WHERE copy = 0""",
+     "prep": PREP["prep"].replace("FROM ret", "FROM gaps"), **sql_gap_ema()}, recursive=True))
+def w16_dirty(spark, sf):
+    """The matrix over bars with missing closes, zero volumes and swapped highs and lows."""
+    return rounded(W.feature_matrix(bars_dirty(spark, sf).where("copy = 0").drop("copy"), S), KEYS, list(MATRIX))
+
+
 @query("w17_drawdown_series", with_views("er", f"SELECT strategy, ts, {R('peak')} AS running_max, {R('equity / peak - 1')} AS drawdown FROM er"))
 def w17(spark, sf):
     d = running(equity(spark, sf), EQUITY, {"running_max": ("max", F.col("equity"))})
