@@ -13,22 +13,49 @@ from tidemark.registry.windows import MATRIX, PREP, sql_ema, sql_rsi
 from tidemark.schemas import BARS
 from tidemark.streaming import feeds
 from tidemark.streaming.features import FeatureStream, signal_stream, stream_gate
-from tidemark.streaming.state import RowBuffer
+from tidemark.streaming.state import EpochTable, HighWater, RowBuffer
 
-CUTS = ("2024-01-01", "2024-01-09", "2024-01-17", "2024-01-24", "2024-02-01")
+PARTS = 4
 
 
-def sliced(spark, df, name: str, order=(0, 1, 2, 3), cuts=CUTS):
-    """Write ``df`` as one small set of files per time slice, in the given order of arrival, and stream it."""
-    path = scratch(spark, name)
-    for i in order:
-        part = df.filter((F.col("ts") >= F.lit(cuts[i]).cast("timestamp")) & (F.col("ts") < F.lit(cuts[i + 1]).cast("timestamp")))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+class Feed:
+    """``df`` cut by time into ``PARTS`` slices with open ends, which arrive one after the other in ``order``.
 
+    The cuts lie evenly between the first and the last time of the data; rows without a time belong to the first slice.
+    """
 
-def finish(stream, spark, each, mode: str = "append"):
-    feeds.run_batches(stream, scratch(spark, "stream"), each, mode).awaitTermination()
+    def __init__(self, spark, df, name: str, order=(0, 1, 2, 3)):
+        self.spark, self.df, self.order, self.path = spark, df, order, scratch(spark, name)
+        df.limit(0).write.parquet(self.path)  # a stream needs the folder
+        at = F.unix_micros(F.col("ts").cast("timestamp"))
+        low, high = df.agg(F.min(at), F.max(at)).first()
+        cuts = [low + (high - low) * k // PARTS for k in range(1, PARTS)] if low is not None else []
+        self.slice = sum((F.coalesce((at >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+
+    def stream(self):
+        return self.spark.readStream.schema(self.df.schema).parquet(self.path)
+
+    def drain(self, start) -> None:
+        """Writes a slice, runs the query that ``start`` gives for the stream until it is worked off, and so on."""
+        for i in self.order:
+            self.df.filter(self.slice == i).write.mode("append").parquet(self.path)
+            start(self.stream()).awaitTermination()
+
+    def batches(self, each, mode: str = "append", through=lambda d: d) -> None:
+        checkpoint = scratch(self.spark, "stream")
+        self.drain(lambda d: feeds.run_batches(through(d), checkpoint, each, mode))
+
+    def appended(self, through):
+        """Rows that a query in append mode has written to files."""
+        out, checkpoint = scratch(self.spark, "out"), scratch(self.spark, "stream")
+        self.drain(lambda d: through(d).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start())
+        return self.spark.read.schema(through(self.stream()).schema).parquet(out)
+
+
+def sql_slice(table: str) -> str:
+    """Number of the slice of each row, as :class:`Feed` cuts them."""
+    cuts = " + ".join(f"CAST(epoch_us(ts) >= lo + (hi - lo) * {k} // {PARTS} AS INTEGER)" for k in range(1, PARTS))
+    return f"SELECT *, {cuts} AS slice FROM {table}, (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM {table})"
 
 
 @query("st1_stream_klines", with_views("ticks", f"SELECT symbol, ts, event_id % 1000 AS trade_count, {R('open', 6)} AS close FROM kl WHERE event_id % 10 <> 0", KL))
@@ -43,11 +70,11 @@ def st1(spark, sf):
 @query("st2_stream_dedupe", with_views("ticks", f"SELECT symbol, ts, {R('open', 6)} AS close, volume FROM kd WHERE k = 1", KL))
 def st2(spark, sf):
     path = scratch(spark, "klines")
-    kline_lines(spark, sf).repartition(3).write.text(path)
+    kline_lines(spark, sf).write.text(path)
     d = feeds.stream_klines(spark, path, files_per_trigger=1)
     d = feeds.dedupe_latest(d, ("close", "volume", "trade_count"), delay="60 days", tie=("trade_count",))
     sink = feeds.UpsertSink(spark, scratch(spark, "upsert"), d.schema, ("symbol", "ts"))
-    finish(d, spark, sink, "update")
+    feeds.run_batches(d, scratch(spark, "stream"), sink, "update").awaitTermination()
     return sink.read(spark).select("symbol", "ts", r("close", 6).alias("close"), "volume")
 
 
@@ -60,23 +87,22 @@ def st2b(spark, sf):
     return spark.read.schema(d.schema).parquet(out)
 
 
-@query("st3_drop_late", with_views("bars", f"SELECT symbol, ts, {R('close')} AS close FROM bars WHERE NOT (ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-17')"))
+@query("st3_drop_late", with_views("bars", f"""SELECT symbol, ts, {R('close')} AS close FROM cut c
+    WHERE NOT (slice = 1 AND ts <= (SELECT coalesce(max(ts), TIMESTAMP '0001-01-01') FROM cut x WHERE x.symbol = c.symbol AND x.slice = 2))""", {"cut": sql_slice("bars")}))
 def st3(spark, sf):
-    stream = sliced(spark, bars(spark, sf), "late", order=(0, 2, 1, 3))
-    buffer = RowBuffer(spark, scratch(spark, "buffer"), BARS, size=1_000_000)
-    epochs = []
+    seen = HighWater(spark, scratch(spark, "seen"), BARS)
+    sink = EpochTable(spark, scratch(spark, "fresh"), BARS)
 
     def each(batch, epoch):
-        buffer.store(buffer.fresh(batch, epoch), epoch)
-        epochs.append(epoch)
+        sink.write(seen.fresh(batch, epoch), epoch)
+        seen.store(sink.at(spark, epoch), epoch)
 
-    finish(stream, spark, each)
-    return rounded(buffer.latest(spark, max(epochs)), ["symbol", "ts"], ["close"])
+    Feed(spark, bars(spark, sf), "late", order=(0, 2, 1, 3)).batches(each)
+    return rounded(sink.all(spark), ["symbol", "ts"], ["close"])
 
 
 @query("st4_latest_n", with_views("ret", f"SELECT symbol, ts, CAST(cnt - rn + 1 AS INTEGER) AS rank, {R('close')} AS close FROM ret WHERE cnt - rn < 20"))
 def st4(spark, sf):
-    stream = sliced(spark, bars(spark, sf), "ring")
     buffer = RowBuffer(spark, scratch(spark, "buffer"), BARS, size=1000)
     epochs = []
 
@@ -84,7 +110,7 @@ def st4(spark, sf):
         buffer.store(buffer.fresh(batch, epoch), epoch)
         epochs.append(epoch)
 
-    finish(stream, spark, each)
+    Feed(spark, bars(spark, sf), "ring").batches(each)
     return rounded(buffer.latest(spark, max(epochs), 20), ["symbol", "ts", "rank"], ["close"])
 
 
@@ -92,7 +118,7 @@ def st4(spark, sf):
     "ret", f"SELECT symbol, ts, {', '.join(f'{R(e)} AS {n}' for n, e in MATRIX.items())} FROM prep JOIN e USING (symbol, ts)", {**PREP, "e": sql_ema(digits=None)}))
 def st5(spark, sf):
     each = FeatureStream(spark, scratch(spark, "features"), S)
-    finish(sliced(spark, bars(spark, sf), "bars"), spark, each)
+    Feed(spark, bars(spark, sf), "bars").batches(each)
     return rounded(each.read(spark), ["symbol", "ts"], list(MATRIX))
 
 
@@ -105,26 +131,23 @@ def score(feats):
     FROM (SELECT symbol, ts, rn, coalesce(round(({sql_rsi(14)}) / 100, 6), 0.5) AS prob FROM prep)) WHERE rn >= 50""", PREP))
 def st6(spark, sf):
     each = signal_stream(spark, scratch(spark, "signals"), score)
-    finish(sliced(spark, bars(spark, sf), "bars"), spark, each)
+    Feed(spark, bars(spark, sf), "bars").batches(each)
     return each.read(spark).select("symbol", "ts", "prob", "signal", r("position_size", 8).alias("position_size"))
 
 
 @query("st7_stream_gate")
 def st7(spark, sf):
     sig = signal_from_prob(predictions(spark, sf)).withColumn("account", F.col("model"))
-    stream = sliced(spark, sig.select("account", "symbol", "ts", "signal", "position_size"), "signals")
-    out = scratch(spark, "out")
-    d = stream_gate(stream, max_exposure=0.25, orders_per_hour=3)
-    d.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "stream")).option("path", out).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(d.schema).parquet(out).groupBy("account", "reason").agg(F.count(F.lit(1)).alias("n"))
+    feed = Feed(spark, sig.select("account", "symbol", "ts", "signal", "position_size"), "signals")
+    d = feed.appended(lambda x: stream_gate(x, max_exposure=0.25, orders_per_hour=3))
+    return d.groupBy("account", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st8_stream_ledger_sink", with_views("requests", f"SELECT account, ts, order_id, {R('notional', 2)} AS notional FROM requests"))
 def st8(spark, sf):
     o = order_requests(spark, sf)
-    stream = sliced(spark, o, "orders", order=(0, 1, 0, 2, 3, 2), cuts=("1900-01-01", "1996-01-01", "1998-01-01", "2000-01-01", "2100-01-01"))
     sink = feeds.LedgerSink(spark, scratch(spark, "ledger"), o.schema, ("order_id",))
-    finish(stream, spark, sink)
+    Feed(spark, o, "orders", order=(0, 1, 0, 2, 3, 2)).batches(sink)
     return rounded(sink.read(spark), ["account", "ts", "order_id"], ["notional"], 2)
 
 
@@ -137,9 +160,13 @@ def st9(spark, sf):
 
 @query("st9_stream_bars", with_views("bars", f"SELECT symbol, ts, {R_list(['open', 'high', 'low', 'close', 'volume'])} FROM bars"))
 def st9b(spark, sf):
-    d = feeds.stream_bars(sliced(spark, ticks(spark, sf), "ticks"), "1 hour", "10 minutes", tie=("event_id",))
-    sink = feeds.UpsertSink(spark, scratch(spark, "bars"), d.schema, ("symbol", "ts"))
-    finish(d, spark, sink, "update")
+    feed = Feed(spark, ticks(spark, sf), "ticks")
+
+    def make(d):
+        return feeds.stream_bars(d, "1 hour", "10 minutes", tie=("event_id",))
+
+    sink = feeds.UpsertSink(spark, scratch(spark, "bars"), make(feed.stream()).schema, ("symbol", "ts"))
+    feed.batches(sink, "update", make)
     return rounded(sink.read(spark), ["symbol", "ts"], ["open", "high", "low", "close", "volume"])
 
 

@@ -28,6 +28,27 @@ class EpochTable:
         return spark.read.schema(T.StructType([*self.schema.fields, T.StructField("epoch", T.LongType())])).parquet(self.path)
 
 
+class HighWater:
+    """The newest time seen of every key: one row for each key, whatever the stream holds.
+
+    Rows that are not newer than that are late. Repeating an epoch starts from the epoch before it again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: tuple[str, ...] = ("symbol",), ts: str = "ts"):
+        self.table = EpochTable(spark, path, T.StructType([*(schema[k] for k in keys), schema[ts]]))
+        self.keys, self.ts = list(keys), ts
+
+    def fresh(self, batch: DataFrame, epoch: int) -> DataFrame:
+        """One row per (key, time) of the batch, newer than what its key had seen before the epoch."""
+        seen = self.table.at(batch.sparkSession, epoch - 1).select(*self.keys, F.col(self.ts).alias("_seen"))
+        d = batch.dropDuplicates([*self.keys, self.ts]).join(seen, self.keys, "left")
+        return d.filter(F.col("_seen").isNull() | (F.col(self.ts) > F.col("_seen"))).drop("_seen")
+
+    def store(self, fresh: DataFrame, epoch: int) -> None:
+        both = self.table.at(fresh.sparkSession, epoch - 1).unionByName(fresh.select(*self.keys, self.ts))
+        self.table.write(both.groupBy(*self.keys).agg(F.max(self.ts).alias(self.ts)), epoch)
+
+
 class RowBuffer:
     """The newest ``size`` rows of every key, not older than ``max_age_s`` against the key's newest row.
 
