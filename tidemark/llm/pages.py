@@ -214,6 +214,9 @@ LABELLED = (
     <blockquote>+ Better the next day.</blockquote></section><div class="related-posts"><h4>You may also like</h4><p>A bread that needs no kneading and only a little patience from the cook</p></div><div class="share">Tell your friends about this recipe</div><footer><p>Written in the kitchen with love and with far too much salt, as always.</p></footer>""",
     """<div class="wrap"><p class="notice">The shop is closed from the first to the tenth of the month while we count what is on the shelves.</p><article><p>+ Short one.</p><p>+ A longer paragraph stands between two short ones so that all of them are read as one text by anyone who comes.</p><p>+ End.</p><h2>+ A part</h2>
     <p>+ <a href=x>Only a link</a></p><div class="comments"><p>First!</p><p>A reader has written a long remark under the article, and it has nothing at all to do with what stands above it.</p></div></article></div>""",
+    "<p>+ All that this page has to say stands in one paragraph, so nothing comes before it and nothing comes after it.</p>",
+    "<h1>+ A plain page</h1><p>+ It begins with its title.</p><p>+ Then it ends, and <a href=c>a link</a> leads on to the next one in the row.</p><div><a href=1>first</a> / <a href=2>last</a></div>",
+    "<div>+ Words.</div>",
 )
 
 
