@@ -14,6 +14,7 @@ from tidemark.operators import windows as W
 from tidemark.plans.chunks import DAY, Level, Series, over_chunks
 from tidemark.registry.core import R, R_list, query, r, rounded
 from tidemark.registry.tables import BAR_SERIES as S
+from tidemark.registry.trades import SUMMARY
 from tidemark.registry.tables import bars, bars_dirty, equity, events_as_ticks, predictions, read, ticks, trades, with_views
 from tidemark.session import checkpoint_dir
 from tidemark.sources import readers, writers
@@ -27,11 +28,11 @@ def scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
 
 
-@query("s1_read_bars", with_views("bars", f"SELECT 'view' AS symbol, ts, {R_list(OHLCV)} FROM bars WHERE symbol = 'view'"))
+@query("s1_read_bars", with_views("bars", f"SELECT symbol, ts, {R_list(OHLCV)} FROM bars"))
 def s1(spark, sf):
     path = scratch(spark, "csv")
-    bars(spark, sf).filter(F.col("symbol") == "view").select(F.col("ts").alias("timestamp"), *OHLCV).write.option("header", True).csv(path)
-    return rounded(readers.read_bars(spark, path, "view"), KEYS, OHLCV)
+    bars(spark, sf).select("symbol", F.col("ts").alias("timestamp"), *OHLCV).write.partitionBy("symbol").option("header", True).csv(path)
+    return rounded(readers.read_bars(spark, path), KEYS, OHLCV)
 
 
 @query("s2_check_bar_integrity", with_views("dirty", """SELECT count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < open) AS high_below_open, count(*) FILTER (high < close) AS high_below_close,
@@ -113,10 +114,11 @@ def s7(spark, sf):
     return rounded(B.dedupe_last(bars_dirty(spark, sf), ("symbol", "ts"), ("copy",)), [*KEYS, "copy"], OHLCV)
 
 
-@query("s8_tag_and_union_symbols", with_views("bars", f"SELECT 'X-' || symbol AS symbol, ts, {R('close')} AS close FROM bars WHERE symbol IN ('view', 'click')"))
+@query("s8_tag_and_union_symbols", with_views("bars", f"SELECT 'X-' || symbol AS symbol, ts, {R('close')} AS close FROM bars"))
 def s8(spark, sf):
     b = bars(spark, sf)
-    d = B.tag_and_union_symbols({f"X-{s}": b.filter(F.col("symbol") == s).drop("symbol") for s in ("view", "click")})
+    names = [x.symbol for x in b.select("symbol").distinct().collect()]  # a handful of event types, one table each
+    d = B.tag_and_union_symbols({f"X-{s}": b.filter(F.col("symbol") == s).drop("symbol") for s in names})
     return d.select("symbol", "ts", r("close").alias("close"))
 
 
@@ -145,23 +147,34 @@ def s10(spark, sf):
     return d.select("strategy", "ts", r("equity", 4).alias("equity"))
 
 
-@query("s11_read_metric_docs")
+DOC = ("total_return", "sharpe_ratio", "win_rate", "max_drawdown", "num_trades", "profit_factor")
+
+
+@query("s11_read_metric_docs", with_views("ret predictions", f"SELECT symbol || '-' || model AS model, CAST(num_trades AS BIGINT) AS num_trades, {R_list([c for c in DOC if c != 'num_trades'])} FROM sm", SUMMARY, recursive=True))
 def s11(spark, sf):
     from tidemark.registry.trades import summary
 
     path = scratch(spark, "docs")
-    d = summary(spark, sf).select(F.concat_ws("-", "symbol", "model").alias("model"), F.struct("total_return", "sharpe_ratio", "win_rate", "max_drawdown", "num_trades", "profit_factor").alias("metrics"))
-    d.repartition(20, "model").write.option("maxRecordsPerFile", 1).json(path)
-    return readers.read_metric_docs(spark, path)
+    d = summary(spark, sf).select(F.concat_ws("-", "symbol", "model").alias("model"), F.struct(*DOC).alias("metrics"))
+    d.repartition("model").write.option("maxRecordsPerFile", 1).json(path)
+    return rounded(readers.read_metric_docs(spark, path), ["model", "num_trades"], [c for c in DOC if c != "num_trades"])
 
 
-@query("s12_write_run")
+@query("s12_write_run", with_views("ret predictions", """SELECT run, model, (SELECT count(*) FROM led l WHERE l.model = m.model) AS n_trades, (SELECT count(*) FROM predictions p WHERE p.model = m.model) AS n_points,
+    (SELECT count(*) FROM sm s WHERE s.model = m.model) AS n_results FROM (SELECT DISTINCT model FROM predictions) m, (VALUES ('first'), ('second')) v(run)""", SUMMARY, recursive=True))
 def s12(spark, sf):
+    """Two runs in one folder; both are there afterwards."""
     from tidemark.registry.trades import kept_ledger, marked, summary
 
     path = scratch(spark, "run")
-    writers.write_run(kept_ledger(spark, sf), marked(spark, sf), summary(spark, sf), path)
-    return spark.read.option("header", True).csv(f"{path}/trades").groupBy("model").agg(F.count(F.lit(1)).alias("n_trades"))
+    for run in ("first", "second"):
+        writers.write_run(kept_ledger(spark, sf), marked(spark, sf), summary(spark, sf), path, run=run)
+
+    def count(table: str, kind: str, name: str):
+        return getattr(spark.read.option("header", True), kind)(f"{path}/{table}").groupBy("run", "model").agg(F.count(F.lit(1)).alias(name))
+
+    d = count("equity", "csv", "n_points").join(count("trades", "csv", "n_trades"), ["run", "model"], "left").join(count("results", "json", "n_results"), ["run", "model"], "left")
+    return d.select("run", "model", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "n_points", F.coalesce("n_results", F.lit(0)).alias("n_results"))
 
 
 @query("s13_write_metrics", with_views("er", f"SELECT strategy, {R('avg(ret)', 9)} AS mean FROM er GROUP BY 1"))
@@ -183,7 +196,8 @@ def s14(spark, sf):
     return spark.read.schema("symbol string, quantity double").json(f"{path}/portfolio")
 
 
-@query("s15_read_model_metadata")
+@query("s15_read_model_metadata", f"""SELECT p_brand AS model_type, '2024' || lpad(CAST(max(p_partkey) AS VARCHAR), 8, '0') AS timestamp,
+    CAST(count(DISTINCT p_type) AS INTEGER) AS feature_count, {R('avg(p_size) / 50')} AS auc FROM part GROUP BY 1""")
 def s15(spark, sf):
     path = scratch(spark, "models")
     m = read(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_size").alias("size"), F.max("p_partkey").alias("k"), F.collect_set("p_type").alias("feature_names"))

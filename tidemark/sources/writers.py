@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,16 @@ def write_sequences(df: DataFrame, path: str, split: str = "split", seq: str = "
     shape.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
-def write_run(trades: DataFrame, equity: DataFrame, results: DataFrame, path: str, keys: tuple[str, ...] = ("model",)) -> None:
-    """Trades and equity as CSV and results as JSON, in one folder per key."""
-    trades.write.mode("overwrite").partitionBy(*keys).option("header", True).csv(f"{path}/trades")
-    equity.write.mode("overwrite").partitionBy(*keys).option("header", True).csv(f"{path}/equity")
-    results.write.mode("overwrite").partitionBy(*keys).json(f"{path}/results")
+def write_run(trades: DataFrame, equity: DataFrame, results: DataFrame, path: str, keys: tuple[str, ...] = ("model",), run: str | None = None) -> str:
+    """Trades and equity as CSV and results as JSON, in one folder per run and key; earlier runs stay. Gives the run's name.
+
+    The name defaults to the present time, so that names sort by age. A run that is written twice fails.
+    """
+    run = run or datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f")
+    for name, table in (("trades", trades), ("equity", equity), ("results", results)):
+        out = table.write.mode("errorifexists").partitionBy(*keys).option("header", True)
+        (out.json if name == "results" else out.csv)(f"{path}/{name}/run={run}")
+    return run
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
