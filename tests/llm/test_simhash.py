@@ -105,3 +105,11 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").where(F.lit(True))).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[k] for k in range(1000, 1200)} == {1000} and got[2000] == got[1999] == 1999
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_copies_take_the_broadcast_way(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_ROWS", 3)
+    monkeypatch.setattr(S, "HOT_KEYS", 10**9)
+    rows = [(i, 5) for i in range(40)] + [(100, 4), (101, 4), (200, 0xFF << 40)]
+    got = {r.id: r.component_id for r in S.group_documents(spark.createDataFrame(rows, "id long, fp long")).collect()}
+    assert len(got) == 43 and {got[i] for i in (*range(40), 100, 101)} == {0} and got[200] == 200

@@ -32,6 +32,8 @@ from tidemark.session import stage
 SPREAD = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 #: Buckets of more members are searched member by member; smaller ones share one comparison.
 SMALL = 16
+#: Copies beyond which a fingerprint is answered by broadcast, and how many such fingerprints there can be.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def shingle_hashes(text: bytes, words: int = 3, seed: int = 42) -> list[int]:
@@ -203,14 +205,21 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def group_documents(found: DataFrame, radius: int = 2) -> DataFrame:
-    """(id, fp, component_id) for rows (id, fp); component_id is the smallest id that links reach."""
+    """(id, fp, component_id) for rows (id, fp); component_id is the smallest id that links reach.
+
+    Fingerprints with more copies than ``HOT_ROWS`` and than one in ``HOT_KEYS`` rows are at most ``HOT_KEYS`` in number,
+    so their answers are broadcast and their rows stay where they are; the others meet their answers by fingerprint.
+    """
     found = stage(found, "fingerprints")
-    distinct = stage(found.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    distinct = stage(found.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
     member = components(links(distinct, radius))
     first = member.join(distinct, member.node == distinct.fp).groupBy("root").agg(F.min("first").alias("component"))
     linked = member.join(first, "root").select(F.col("node").alias("fp"), "component")
-    answer = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return found.join(answer, "fp").select("id", "fp", "component_id")
+    answer = stage(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id")), "answers")
+    rows = distinct.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(answer.where(F.col("n") > max(HOT_ROWS, rows // HOT_KEYS)).drop("n"))
+    rest = found.join(hot.select("fp"), "fp", "left_anti").join(answer.drop("n"), "fp")
+    return found.join(hot, "fp").unionByName(rest).select("id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
