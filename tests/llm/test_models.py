@@ -88,7 +88,8 @@ def test_gradients(net):
         assert (up - down) / 2e-4 == pytest.approx(g[name][at], abs=2e-3)
 
 
-def test_quality_of_odd_tables(spark, odd, labels):
+def test_quality_of_odd_tables(spark, odd, labels, monkeypatch):
+    monkeypatch.setattr(B, "FIT_STEPS", 5)
     got = B.classify(odd, odd, labels.limit(0)).collect()
     assert len(got) == odd.count() and {r.score for r in got} == {0.5} and {r.predicted for r in got} == {0}
     few = spark.createDataFrame([(4, 1), (6, 0), (6, 0), (None, 1), (9, None)], "doc_id long, quality int")

@@ -12,6 +12,14 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def short_training():
+    """The stages are compared with the same network, so a short training will do."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(B, "FIT_STEPS", 60)
+        yield
+
+
 @pytest.fixture(scope="module")
 def results(spark, tmp_path_factory):
     out, docs, folder = [], spark.read.parquet(f"{SF}/documents.parquet"), tmp_path_factory.mktemp("stages")

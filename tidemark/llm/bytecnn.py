@@ -27,6 +27,8 @@ LAGS = range(2, 25)
 STEP = 512 << 10
 #: Labelled rows that the network is fitted on, and the longest text among them.
 FIT_ROWS, FIT_CHARS = 3000, 200_000
+#: Batches that training takes, however many rows there are.
+FIT_STEPS = 1100
 
 
 def padded(text: bytes) -> bytes:
@@ -133,11 +135,11 @@ class ByteNet:
         g["embed"][0] = 0
         return g
 
-    def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 1100, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> ByteNet:
+    def fit(self, texts: list[bytes], y: np.ndarray, steps: int | None = None, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> ByteNet:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, epochs = 0, max(1, round(steps * batch / max(len(texts), batch)))
+        step, epochs = 0, max(1, round((steps or FIT_STEPS) * batch / max(len(texts), batch)))
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for k in range(0, len(order), batch):
