@@ -76,14 +76,17 @@ def train_boosted_trees(df: DataFrame, features: list[str], label: str = "y", pa
     return Pipeline(stages=[_assembler(features), boosted_trees(label, params, validation)]).fit(complete(df, features, label))
 
 
+def random_forest(label: str, p: ForestParams) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        labelCol=label, featuresCol="features", weightCol="weight", numTrees=p.trees, maxDepth=p.depth,
+        minInstancesPerNode=p.min_rows, featureSubsetStrategy=p.columns, seed=p.seed,
+    )
+
+
 def train_random_forest(df: DataFrame, features: list[str], label: str = "y", params: ForestParams = ForestParams()) -> PipelineModel:
     """Random forest with balanced class weights."""
     data = class_weights(complete(df, features, label), label)
-    forest = RandomForestClassifier(
-        labelCol=label, featuresCol="features", weightCol="weight", numTrees=params.trees, maxDepth=params.depth,
-        minInstancesPerNode=params.min_rows, featureSubsetStrategy=params.columns, seed=params.seed,
-    )
-    return Pipeline(stages=[_assembler(features), forest]).fit(data)
+    return Pipeline(stages=[_assembler(features), random_forest(label, params)]).fit(data)
 
 
 def check_features(df: DataFrame, features: list[str]) -> list[str]:
@@ -146,18 +149,33 @@ def feature_importance(spark: SparkSession, model: PipelineModel, features: list
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
-def grid_search(df: DataFrame, features: list[str], grid: dict[str, list], label: str = "y", folds: int = 5, parallelism: int = 4, base: BoostParams = BoostParams()) -> tuple[Model, DataFrame]:
-    """All combinations of GBT parameters by cross-validated AUC: the best model and the trial table."""
+# Fixed grid of the forest search. No limit on depth is written as the deepest tree that Spark grows; a least
+# number of rows to split a node has no counterpart beside the least number in a leaf.
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4], "featureSubsetStrategy": ["sqrt", "log2"]}
+
+
+def grid_search(
+    df: DataFrame, features: list[str], grid: dict[str, list] = FOREST_GRID, label: str = "y", folds: int = 5, parallelism: int = 4,
+    base: BoostParams | ForestParams = ForestParams(),
+) -> tuple[Model, DataFrame]:
+    """All combinations of parameters by cross-validated AUC: the best model and the trial table.
+
+    ``base`` says which kind of model is searched and holds the parameters that the grid leaves out.
+    """
     data = _assembler(features).transform(complete(df, features, label)).select("features", label)
-    est = boosted_trees(label, base)
+    if isinstance(base, ForestParams):
+        data = class_weights(data, label)
+        est = random_forest(label, base)
+    else:
+        est = boosted_trees(label, base)
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(est.getParam(name), values)
     maps = builder.build()
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, parallelism=parallelism, seed=base.seed)
     fitted = cv.fit(stage(data, "assembled"))
-    rows = [(i, {p.name: float(v) for p, v in m.items()}, float(a)) for i, (m, a) in enumerate(zip(maps, fitted.avgMetrics))]
-    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "trial long, params map<string,double>, value double")
+    rows = [(i, {p.name: str(v) for p, v in m.items()}, float(a)) for i, (m, a) in enumerate(zip(maps, fitted.avgMetrics))]
+    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "trial long, params map<string,string>, value double")
 
 
 @dataclass(frozen=True)

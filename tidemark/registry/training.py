@@ -13,6 +13,7 @@ from tidemark.registry.tables import BAR_SERIES as S
 from tidemark.registry.tables import MODELS, bars, once, predictions, with_views
 
 FEATURES = ["ret_1m", "ret_5m", "rsi_14", "vwap_10", "price_vwap_ratio_10", "volatility_20m", "bb_position", "volume_ratio_20"]
+#: Forests are trained at their full size. Boosting is cut to few rounds, since each is a chain of Spark jobs.
 SMALL = M.BoostParams(rounds=4, depth=3)
 
 
@@ -41,7 +42,7 @@ def ml1(spark, sf):
 @query("ml2_train_random_forest")
 def ml2(spark, sf):
     d = data(spark, sf)
-    model = M.train_random_forest(part(d, "train"), FEATURES, params=M.ForestParams(trees=10, depth=4))
+    model = M.train_random_forest(part(d, "train"), FEATURES)
     return M.validate(model, part(d, "validation"), FEATURES, name="forest")
 
 
@@ -57,7 +58,7 @@ def ml2b(spark, sf):
 def ml3(spark, sf):
     d = data(spark, sf)
     held = T.holdout_split(predictions(spark, sf).join(d.select("symbol", "ts"), ["symbol", "ts"]).filter("y IS NOT NULL"), 0.3, "y", ("symbol", "ts")).filter("holdout")
-    model, inputs = M.train_stacker(held, d, list(MODELS), ["volatility_20m", "rsi_14"], params=SMALL)
+    model, inputs = M.train_stacker(held, d, list(MODELS), ["volatility_20m", "rsi_14"])
     return M.feature_importance(spark, model, inputs)
 
 
@@ -69,7 +70,7 @@ def ml4(spark, sf):
 
 @query("ml5_cross_validate")
 def ml5(spark, sf):
-    return M.cross_validate(data(spark, sf), FEATURES, lambda t: M.train_boosted_trees(t, FEATURES, params=M.BoostParams(rounds=2, depth=3)), 3)
+    return M.cross_validate(data(spark, sf), FEATURES, lambda t: M.train_random_forest(t, FEATURES))
 
 
 @query("ml6_feature_importance")
@@ -79,7 +80,7 @@ def ml6(spark, sf):
 
 @query("ml7_grid_search")
 def ml7(spark, sf):
-    _, trials = M.grid_search(part(data(spark, sf), "train"), FEATURES, {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, folds=2, base=M.BoostParams(rounds=2))
+    _, trials = M.grid_search(part(data(spark, sf), "train"), FEATURES, {"numTrees": [10, 20], "maxDepth": [5, 10], "featureSubsetStrategy": ["sqrt", "log2"]}, folds=2)
     return trials.select("trial", "params", "value")
 
 
