@@ -118,3 +118,23 @@ def test_number_rows_descending(spark):
     s = Series(keys=("k",), order=("-v",), levels=(Level("-v", 7.0),), rows_per_chunk=20)
     out = number_rows(spark.createDataFrame(pdf), s).toPandas().sort_values("v")
     np.testing.assert_array_equal(out["pos"], np.arange(100)[::-1])
+
+
+def test_one_busy_day_is_cut(spark):
+    """Nine rows in ten in one day of one key: no chunk holds many more rows than asked, and AQE plays no part."""
+    from tidemark.plans.chunks import Chunks
+
+    n = 4000
+    ts = F.when(F.col("id") < n * 9 // 10, F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 20)).otherwise(F.timestamp_seconds(F.lit(1_710_000_000) + F.col("id") * 86_400))
+    df = spark.range(n).select(F.lit("hot").alias("symbol"), ts.alias("ts"), F.col("id").cast("double").alias("x"))
+    skew, rows = spark.conf.get("spark.sql.adaptive.skewJoin.enabled"), 200
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        c = Chunks(df, Series(rows_per_chunk=rows), before=30)
+        sizes = [r["count"] for r in c.df.groupBy("_chunk").count().collect()]
+        assert len(sizes) >= n // rows - 1 and max(sizes) <= rows + rows // 16 * 2 + 60
+        got = c.close(c.df.withColumn("s", F.sum("x").over(c.last(30)))).orderBy("ts").toPandas()["s"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", skew)
+    x = pd.Series(np.arange(n, dtype=float))
+    np.testing.assert_allclose(got, x.rolling(30, min_periods=1).sum())

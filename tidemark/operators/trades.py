@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.labels import first_hit
 from tidemark.operators.metrics import trade_metrics
-from tidemark.plans.chunks import DAY, Chunks, Level, Series, fold, running
+from tidemark.plans.chunks import Chunks, Series, fold, running
 from tidemark.session import stage
 
 KEYS = ("symbol", "model")
@@ -90,7 +90,7 @@ def candidate_trades(bars: DataFrame, predictions: DataFrame, series: Series, ru
 
 def non_overlapping(candidates: DataFrame, keys: tuple[str, ...] = KEYS, max_positions: int = 1, rows_per_chunk: int = 500_000) -> DataFrame:
     """Take candidates in time order while a slot is free; a slot closed on a bar is free on that bar."""
-    s = Series(keys=keys, order=("entry_ts",), levels=(Level("entry_ts", DAY),), rows_per_chunk=rows_per_chunk)
+    s = Series(keys=keys, order=("entry_ts",), rows_per_chunk=rows_per_chunk)
     free = F.when(F.col("exit_reason") == "market_close", F.lit(float("inf"))).otherwise(F.unix_micros("exit_ts").cast("double"))
     d = stage(candidates, "candidates").withColumns({"_in": F.unix_micros("entry_ts").cast("double"), "_out": free})
 

@@ -52,9 +52,9 @@ class Series:
     """How rows form series: group keys, total order, and how to cut the order into buckets.
 
     ``order`` lists the ordering columns; together with the keys they should be unique. A leading
-    ``-`` sorts a numeric column downwards. ``levels`` defaults to one-day buckets of the first
-    order column, which is bounded whenever the table has at most one row per interval; tables
-    with bursts name finer levels.
+    ``-`` sorts a numeric column downwards. ``levels`` defaults to buckets of the first order column of a day
+    each; a bucket with too many rows is cut into hours, minutes and seconds. Tables that
+    hold more rows than a chunk in one second of one key name a level of a tie-breaking column.
     """
 
     keys: tuple[str, ...] = ("symbol",)
@@ -63,7 +63,7 @@ class Series:
     rows_per_chunk: int = 500_000
 
     def cuts(self) -> tuple[Level, ...]:
-        return self.levels or (Level(self.order[0], DAY),)
+        return self.levels or tuple(Level(self.order[0], w) for w in (DAY, 3_600.0, 60.0, 1.0))
 
     def order_by(self) -> list[Column]:
         return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in self.order]
