@@ -24,7 +24,7 @@ def corpus(spark):
 @pytest.fixture(scope="module")
 def net(corpus):
     docs, labels = corpus
-    texts, y = B.training_rows(docs, labels, "doc_id", "text", "quality", 3000, 200_000)
+    texts, y = B.training_rows(docs, labels, "doc_id", "text", "quality", 3000, 50_000)
     out = B.ByteNet().fit(texts, y)
     out.prepare()
     return out
@@ -49,7 +49,7 @@ def test_training_rows_leave_the_fold_out(corpus):
     docs, labels = corpus
     known = docs.join(labels, "doc_id").collect()
     held = {r.text.encode() for r in known if zlib.crc32(str(r.doc_id).encode()) % 4 == 2} - {r.text.encode() for r in known if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
-    texts, _ = B.training_rows(docs, labels, "doc_id", "text", "quality", 3000, 200_000)
+    texts, _ = B.training_rows(docs, labels, "doc_id", "text", "quality", 3000, 50_000)
     assert texts and not held & set(texts)
 
 

@@ -1,6 +1,6 @@
 """Byte-level BPE with a pair occurrence index: encode whole texts, decode them again.
 
-The distinct words of an Arrow batch are laid out as one array of symbols. An index maps each mergeable pair
+The new distinct words of a step (some MB of whole texts) are laid out as one array of symbols. An index maps each mergeable pair
 (by its rank) to all its positions; ranks are taken in ascending order from a heap, every position of
 the rank is merged at once, and the pairs that appear to the left and right of the merged symbols are
 added to the lists of their ranks. A pair that holds a merged symbol always has a higher rank than the
@@ -213,20 +213,21 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, key: str = "do
         bpe = loaded(spec.value)
         words = WordTable(bpe)
         for batch in batches:
-            if len(words.slot) > KEEP_WORDS:
-                words.clear()
-            texts = batch.column(1)
-            slots = [words.slots(t.as_py() or "") for t in texts]
-            words.fill()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids_list, id_sha, text_sha = [], [], [], []
-            for s in slots:
-                ids = words.tokens(s)
-                packed = ids.astype("<i4")
-                n.append(len(ids))
-                id_sha.append(hashlib.sha256(packed).hexdigest())
-                text_sha.append(hashlib.sha256(decode(bpe.token_bytes, ids.tolist()).encode()).hexdigest())
-                if with_ids:
-                    ids_list.append(packed)
+            for first, end in steps(texts):
+                if len(words.slot) > KEEP_WORDS:
+                    words.clear()
+                slots = [words.slots(t) for t in texts[first:end]]
+                words.fill()
+                for s in slots:
+                    ids = words.tokens(s)
+                    packed = ids.astype("<i4")
+                    n.append(len(ids))
+                    id_sha.append(hashlib.sha256(packed).hexdigest())
+                    text_sha.append(hashlib.sha256(decode(bpe.token_bytes, ids.tolist()).encode()).hexdigest())
+                    if with_ids:
+                        ids_list.append(packed)
             out = [batch.column(0), pa.array(n, pa.int64())]
             if with_ids:
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)

@@ -26,7 +26,7 @@ BLOCK, WIDTH, FILTERS, EMBED, RUN = 128, 6, 8, 8, 8
 LAGS = range(2, 25)
 STEP = 512 << 10
 #: Labelled rows that the network is fitted on, and the longest text among them.
-FIT_ROWS, FIT_CHARS = 3000, 200_000
+FIT_ROWS, FIT_CHARS = 3000, 50_000
 #: Batches that training takes, however many rows there are.
 FIT_STEPS = 1100
 

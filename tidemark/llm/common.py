@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 Batches = Iterator[pa.RecordBatch]
 
 #: Bytes of text that one step inside a Python worker handles; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 16 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -35,8 +35,8 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts stay near ``limit`` bytes together."""
+def steps(texts: list[bytes] | list[str], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts stay near ``limit`` bytes (or characters) together."""
     at = size = 0
     for k, t in enumerate(texts):
         if size and size + len(t) > limit:
