@@ -135,7 +135,22 @@ def st6(spark, sf):
     return each.read(spark).select("symbol", "ts", "prob", "signal", r("position_size", 8).alias("position_size"))
 
 
-@query("st7_stream_gate")
+# Signals of an account one by one, with the open positions and the order times of the last hour as lists.
+GATE = {
+    "kinds": """SELECT model AS account, symbol, ts, CASE WHEN greatest(prob, 1 - prob) < 0.6::DOUBLE THEN 'HOLD' WHEN prob > 0.6::DOUBLE THEN 'BUY' WHEN 1 - prob > 1 - 0.4::DOUBLE THEN 'SELL' ELSE 'HOLD' END AS kind,
+      least(0.1, 0.1 * (greatest(prob, 1 - prob) - 0.6::DOUBLE) / (1 - 0.6::DOUBLE)) AS size FROM predictions""",
+    "sig": "SELECT *, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY account ORDER BY ts, symbol) AS k FROM kinds WHERE kind <> 'HOLD'",
+    "walk": """SELECT account, 0::BIGINT AS k, NULL::VARCHAR AS reason, []::STRUCT(s VARCHAR, z DOUBLE)[] AS held, []::DOUBLE[] AS orders FROM sig GROUP BY 1
+      UNION ALL
+      SELECT account, k, reason, CASE WHEN reason <> 'accepted' THEN held WHEN kind = 'BUY' THEN list_append(held, {'s': symbol, 'z': size}) ELSE list_filter(held, lambda x: x.s <> symbol) END,
+        CASE WHEN reason = 'accepted' THEN list_append(orders, t) ELSE orders END
+      FROM (SELECT *, CASE WHEN kind = 'BUY' AND round(coalesce(list_sum(list_transform(held, lambda x: x.z)), 0), 9) >= 0.25::DOUBLE THEN 'exposure' WHEN len(orders) >= 3 THEN 'rate'
+              WHEN kind = 'BUY' AND len(list_filter(held, lambda x: x.s = symbol)) > 0 THEN 'long_open' WHEN kind = 'SELL' AND len(list_filter(held, lambda x: x.s = symbol)) = 0 THEN 'no_position' ELSE 'accepted' END AS reason
+            FROM (SELECT s.account, s.k, s.symbol, s.kind, s.size, s.t, w.held, list_filter(w.orders, lambda x: x > s.t - 3600) AS orders FROM walk w JOIN sig s ON s.account = w.account AND s.k = w.k + 1))""",
+}
+
+
+@query("st7_stream_gate", with_views("predictions", "SELECT account, reason, count(*) AS n FROM walk WHERE k > 0 GROUP BY 1, 2", GATE, recursive=True))
 def st7(spark, sf):
     sig = signal_from_prob(predictions(spark, sf)).withColumn("account", F.col("model"))
     feed = Feed(spark, sig.select("account", "symbol", "ts", "signal", "position_size"), "signals")

@@ -100,7 +100,7 @@ def stream_gate(signals: DataFrame, max_exposure: float = 0.5, orders_per_hour:
         for t, symbol, signal, size in zip(rows["ts"].map(lambda x: x.timestamp()), rows["symbol"], rows["signal"], rows["position_size"]):
             orders = [x for x in orders if x > t - 3600.0]
             buy = signal == "BUY"
-            if buy and sum(held.values()) >= max_exposure:
+            if buy and round(sum(held.values()), 9) >= max_exposure:  # sums of sizes that end on the limit count as on it
                 verdicts.append("exposure")
             elif len(orders) >= orders_per_hour:
                 verdicts.append("rate")
