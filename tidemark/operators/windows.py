@@ -52,15 +52,15 @@ class Rolling:
     seam leaves no trace in later windows. Infinite and undefined terms count as missing.
     """
 
-    def __init__(self, c: Chunks, terms: Columns, sizes: tuple[int, ...]):
-        self.c, self.terms, self.sizes = c, terms, tuple(sorted(set(sizes)))
+    def __init__(self, c: Chunks, terms: Columns, sizes: dict[str, tuple[int, ...]]):
+        self.c, self.terms, self.sizes = c, terms, sizes
 
     def add(self, df: DataFrame) -> DataFrame:
         df = df.withColumns({f"_t_{k}": finite(v.cast("double")) for k, v in self.terms.items()})
         cols: Columns = {}
-        for n in self.sizes:
-            w = self.c.last(n)
-            for k in self.terms:
+        for k in self.terms:
+            for n in self.sizes[k]:
+                w = self.c.last(n)
                 cols[f"_s{n}_{k}"] = F.coalesce(F.sum(f"_t_{k}").over(w), F.lit(0.0))
                 cols[f"_n{n}_{k}"] = F.count(f"_t_{k}").over(w)
         return df.withColumns(cols)  # columns that nothing reads are pruned with their windows
@@ -83,13 +83,13 @@ class Rolling:
         return self.full_sum(term, n) / n
 
     def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop(*[f"_t_{k}" for k in self.terms], *[f"_{x}{n}_{k}" for k in self.terms for n in self.sizes for x in "sn"])
+        return df.drop(*[f"_t_{k}" for k in self.terms], *[f"_{x}{n}_{k}" for k in self.terms for n in self.sizes[k] for x in "sn"])
 
 
-SIZES = (5, 7, 10, 14, 20, 21)
+RSI_SIZES, SIZES = (7, 14, 21), (5, 10, 20)
 
 
-def bar_rolling(c: Chunks, sizes: tuple[int, ...] = SIZES, ret: str = "returns") -> Rolling:
+def bar_rolling(c: Chunks, ret: str = "returns") -> Rolling:
     """The terms of the bar features; needs the columns of :func:`bar_terms`."""
     d, v = F.col("_delta"), F.col("volume")
     terms = {
@@ -101,7 +101,7 @@ def bar_rolling(c: Chunks, sizes: tuple[int, ...] = SIZES, ret: str = "returns")
         "retv": F.col(ret) * v,
         "place": F.col("_place"),
     }
-    return Rolling(c, terms, sizes)
+    return Rolling(c, terms, {k: RSI_SIZES if k in ("gain", "loss") else SIZES for k in terms})
 
 
 def rsi(roll: Rolling, n: int) -> Column:
