@@ -205,14 +205,19 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def group_documents(found: DataFrame, radius: int = 2) -> DataFrame:
-    """(id, fp, component_id) for rows (id, fp); component_id is the smallest id that links reach.
+    """(id, fp, component_id) for rows (id, fp); component_id is the smallest id that links reach."""
+    found = stage(found, "fingerprints")
+    distinct = stage(found.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
+    return answered(found, distinct, links(distinct, radius))
+
+
+def answered(found: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, fp, component_id) for rows (id, fp), their distinct (fp, first, n) and the links between those.
 
     Fingerprints with more copies than ``HOT_ROWS`` and than one in ``HOT_KEYS`` rows are at most ``HOT_KEYS`` in number,
     so their answers are broadcast and their rows stay where they are; the others meet their answers by fingerprint.
     """
-    found = stage(found, "fingerprints")
-    distinct = stage(found.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "distinct")
-    member = components(links(distinct, radius))
+    member = components(edges)
     first = member.join(distinct, member.node == distinct.fp).groupBy("root").agg(F.min("first").alias("component"))
     linked = member.join(first, "root").select(F.col("node").alias("fp"), "component")
     answer = stage(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id")), "answers")
