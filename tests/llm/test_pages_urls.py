@@ -51,6 +51,20 @@ def test_broken_markup(tree, page):
     assert "\t" not in text and text == text.strip()
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><svg-icon></svg-icon><p>body text</p></article>", ["body text"]),
+    ("<title-bar>a</title-bar><select-menu>b</select-menu><template-x>c</template-x><p>d</p>", ["abc", "d"]),
+    ("<p>a</p><svg/><p>rest</p>", ["a", "rest"]),
+    ("<p>a</p><svg class='i>' />b<p>rest</p>", ["a", "b", "rest"]),
+    ("<p>a</p><math/><p>rest</p>", ["a", "rest"]),
+    ("<p>a</p><svg viewBox='0 0 1 1'><path d='x'/><text>no</text></svg><p>rest</p><SVG\n>no</SVG>", ["a", "rest"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=t>no</annotation></math> holds</p>", ["so x=2 holds"]),
+    ("<p>a</p><script/>no</script><p>rest</p>", ["a", "rest"]),
+])
+def test_hidden_elements_end_where_they_end(page, want):
+    assert [b.text for b in H.blocks(page)] == want
+
+
 def test_odd_pages(spark, tree):
     rows = [(1, "u", None), (2, None, ""), (None, "u", PAGE), (None, "u", PAGE), (3, "u", "<p>" + "long text " * 100_000)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), tree=tree).collect()

@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import Batches, map_arrow, table
 
 #: Elements whose content is not text of the page, elements that open a block, and elements of boilerplate (fixed values).
-HIDDEN = "script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas|math"
+HIDDEN = "script|style|noscript|template|textarea|iframe|svg|title|select|object|canvas|annotation|annotation-xml"
+#: Those of them that may be written as empty; in HTML the others go on after a "/>".
+FOREIGN = "svg|annotation|annotation-xml"
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul video audio".split())
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 HOLDERS = {"div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "menu", "ul", "ol", "dl", "table", "figure", "details", "dialog", "fieldset", "button", "p", "span"}
@@ -31,7 +33,8 @@ HOLDERS = {"div", "section", "article", "main", "nav", "header", "footer", "asid
 NAMES = set("ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs masthead footer foot contentinfo complementary comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social newsletter subscribe subscription signup login register form search popup modal overlay pagination pager toolbar copyright disclaimer skip hidden topbar header".split())
 SPLIT = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{HIDDEN})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|(?P<empty><(?:{FOREIGN})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>)"
+    rf"|<(?P<raw>{HIDDEN})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<shut>/?)(?P<bad>[a-zA-Z][a-zA-Z0-9:-]*+)[^>]*+>"
     r"|<[!?/][^>]*+>",
@@ -100,7 +103,7 @@ def blocks(page: str) -> list[Block]:
     for m in SPLIT.finditer(page):
         read(page[at : m.start()])
         at = m.end()
-        if m["raw"]:
+        if m["raw"] or m["empty"]:
             parts.append(" ")
             continue
         tag = (m["tag"] or m["bad"] or "").lower()
