@@ -54,11 +54,57 @@ def test_given_documents(spark, documents):
     assert kept(spark, rows) == sorted(plain_kept(rows))
 
 
-def test_keys_of_a_pair_at_the_limit():
+def test_keys_and_fingerprints_of_a_pair_at_the_limit():
     rng = random.Random(5)
-    missed = 0
-    for _ in range(300):
-        h = [rng.getrandbits(64) for _ in range(1000)]
-        a, b = (A.np.array(x, A.np.uint64) for x in (h[:900], h[100:]))  # similarity 0.8
-        missed += not set(A.band_keys(a)) & set(A.band_keys(b))
-    assert missed == 0
+    for n, shared in ((900, 800), (9, 8), (5, 4), (70, 56), (90, 80)):
+        missed = apart = 0
+        for k in range(300):
+            h = [rng.getrandbits(64) for _ in range(2 * n - shared)]
+            small = h[:n] if 5 * shared >= 4 * (2 * n - shared) else h[:shared]  # otherwise a subset, at 0.8 as well
+            a, b = (A.np.unique(A.np.array(x, A.np.uint64)) for x in (small, h[n - shared :] if small is not h[:shared] and len(small) == n else h[:n]))
+            (x, fx), (y, fy) = A.summary(a), A.summary(b)
+            missed += not set(x) & set(y)
+            differ = int(A.np.bitwise_count(A.np.frombuffer(fx, A.np.uint64) ^ A.np.frombuffer(fy, A.np.uint64)).sum())
+            apart += differ > A.radius(min(len(a), len(b)))
+        assert missed == 0 and apart == 0
+
+
+def test_shared_headers_move_no_sets(spark, monkeypatch):
+    """400 texts with one header and words of their own: 79,800 pairs at about 0.5, none of them decided by its sets."""
+    rng = random.Random(7)
+    header = " ".join(f"h{k}" for k in range(120))
+    rows = [(k, header + " " + " ".join(rng.choices([f"v{j}" for j in range(5000)], k=60))) for k in range(400)]
+    rows += [(1000 + k, rows[3 * k][1] + f" end{k}") for k in range(20)]
+    asked = []
+    decide = A.verified
+
+    def counted(pairs, *rest):
+        pairs = A.stage(pairs, "counted")
+        asked.append(pairs.count())
+        return decide(pairs, *rest)
+
+    monkeypatch.setattr(A, "verified", counted)
+    for limit in (A.LIMIT, 50):  # in one block and in blocks of their own
+        monkeypatch.setattr(A, "LIMIT", limit)
+        asked.clear()
+        assert kept(spark, rows) == list(range(400))
+        assert 20 <= sum(asked) <= 60
+
+
+def test_pairs_of_blocks():
+    """Bit planes and carry-save counters against counted bits, over sizes on both sides of 64 and two blocks of a bucket."""
+    rng = A.np.random.default_rng(4)
+    centre = rng.integers(0, 256, (6, A.BITS // 8), A.np.uint8)
+    wide = centre[rng.integers(0, 6, 300)] ^ A.np.packbits(rng.random((300, A.BITS)) < rng.uniform(0.02, 0.2, (300, 1)), axis=1)
+    size, root = rng.integers(50, 90, 300), rng.integers(0, 250, 300)
+    for side in (A.np.full(300, -1), rng.integers(0, 2, 300)):
+        i, j = A.block_pairs(wide, size, root, side, 0.8)
+        got = {(min(x, y), max(x, y)) for x, y in zip(i.tolist(), j.tolist())}
+        want = set()
+        for x in range(300):
+            for y in range(x + 1, 300):
+                s, t = sorted((size[x], size[y]))
+                if root[x] != root[y] and s >= 0.8 * t and (side[x] == -1 or side[x] != side[y]):
+                    if int(A.np.bitwise_count(wide[x] ^ wide[y]).sum()) <= A.radius(s):
+                        want.add((x, y))
+        assert len(i) == len(got) and got == want and want

@@ -1,12 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, with MinHash bands to find the pairs.
-
-1. A text becomes the set of the hashes of its word shingles; texts with equal sets collapse to one.
-2. ``BANDS`` keys of a set each come from ``ROWS`` minimum hashes. Sets of similarity s share a key with probability
-   1 - (1 - s^4)^28: a pair at 0.8 is passed over in 4 of 10 million cases, a closer one less often still.
-   (SimHash cannot be dealt so wide: blocks that keep every pair within 20 of 64 bits hold a constant share of all pairs.)
-3. Sets are compared with the smallest set of each bucket, by the exact similarity of the shingle sets. Then members of a bucket that
-   are not joined up yet are compared with each other. So a large group of near copies costs a star, not its pairs.
-4. Links are joined up by ``components``; rows take the smallest id of their component.
+"""Near-duplicates by exact Jaccard similarity of word shingles: MinHash buckets, wide SimHash fingerprints in bit planes, exact sets.
+
+1. A text becomes the set of the hashes of its word shingles; texts with equal sets collapse to one. A set gets a SimHash of
+   ``BITS`` bits, and ``BANDS`` keys from ``ROWS`` minimum hashes each. Sets of similarity s share a key with probability
+   1 - (1 - s^4)^28: a pair at 0.8 is passed over in 4 of 10 million cases, a closer one less often still. (Blocks of a SimHash
+   cannot deal the sets themselves: those that keep every pair at 0.8 hold a constant share of all pairs.)
+2. Every set is compared with the smallest set of each of its buckets. Then members of a bucket that are not joined up yet are
+   compared with each other. So a large group of near copies costs a star, not its pairs.
+3. Both comparisons are those of ``simhash``: bit planes, carry-save counters, words of 64 pairs that end early. At 0.8 two
+   fingerprints differ in 155 of 1024 bits (deviation 11), at 0.5 in 274, so texts that share a header or a licence fall out
+   here, before any set is moved. ``radius`` lies nearly five deviations beyond 0.8.
+4. Buckets of more than ``LIMIT`` members are compared block by block, each pair of blocks in a task of its own.
+5. Pairs that are left are decided by their sets. Links are joined up by ``components``; rows take the smallest id of their component.
 
 Null and empty texts have the empty set and are alike. Repeated rows are kept apart by their row number. An empty table gives no rows.
 """
@@ -21,14 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, map_arrow, raw_texts
+from tidemark.llm.common import Batches, map_arrow, raw_texts, steps
 from tidemark.llm.components import components
-from tidemark.llm.simhash import answered, shingle_hashes
+from tidemark.llm.simhash import SPREAD, answered, lanes, shingle_hashes, within
 from tidemark.session import stage
 
-BANDS, ROWS, BLOCK = 28, 4, 2048
-#: A bijection of 64 bits for each minimum: exclusive or, then an odd factor.
-MASKS, FACTORS = np.random.default_rng(8).integers(0, 0xFFFFFFFFFFFFFFFF, (2, BANDS * ROWS, 1), np.uint64)
+BANDS, ROWS, BLOCK = 28, 4, 2040
+#: Bits of a fingerprint; members of a bucket that one task compares; pairs that one step compares.
+BITS, LIMIT, STEP = 1024, 4096, 1 << 20
+#: Bytes of text whose sets leave a worker together.
+TEXT_BYTES = 1 << 20
+#: A bijection of 64 bits for each minimum and for each word of the fingerprint: exclusive or, then an odd factor.
+MASKS, FACTORS = np.random.default_rng(8).integers(0, 0xFFFFFFFFFFFFFFFF, (2, BANDS * ROWS + BITS // 64, 1), np.uint64)
 FACTORS |= np.uint64(1)
 
 
@@ -36,26 +44,159 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def band_keys(own: np.ndarray) -> list[int]:
-    """One signed key for each band of a set that is not empty."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for s in range(0, len(own), BLOCK):
-        least = np.minimum(least, ((own[s : s + BLOCK] ^ MASKS) * FACTORS).min(axis=1))
+def summary(own: np.ndarray) -> tuple[list[int], bytes]:
+    """The keys of a set that is not empty (signed), and its fingerprint."""
+    n, minima = len(own), BANDS * ROWS
+    least = np.full(minima, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    count = np.zeros(BITS, np.int64)
+    for s in range(0, n, BLOCK):
+        mixed = (own[s : s + BLOCK] ^ MASKS) * FACTORS
+        least = np.minimum(least, mixed[:minima].min(axis=1))
+        wide = mixed[minima:]
+        wide ^= wide >> np.uint64(29)
+        wide *= FACTORS[:1]
+        wide ^= wide >> np.uint64(32)
+        for at in range(0, wide.shape[1], 255):  # lanes of a byte count to 255
+            part = np.ascontiguousarray(wide[:, at : at + 255]).view(np.uint8).reshape(BITS // 64, -1, 8)
+            count += SPREAD[part].sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(-1).astype(np.int64)
     raw = least.tobytes()
-    return [xxhash.xxh3_64_intdigest(raw[k * 8 * ROWS : (k + 1) * 8 * ROWS], k) - (1 << 63) for k in range(BANDS)]
+    keys = [xxhash.xxh3_64_intdigest(raw[k * 8 * ROWS : (k + 1) * 8 * ROWS], k) - (1 << 63) for k in range(BANDS)]
+    return keys, np.packbits(2 * count > n, bitorder="little").tobytes()
+
+
+def radius(size: int) -> int:
+    """Differing bits up to which sets may be 0.8 alike; small sets differ in more bits, as ties of their counts fall to one side."""
+    return 210 if size >= 64 else 255
 
 
 def sets(rows: DataFrame, words: int) -> DataFrame:
-    """(id, fp, size, keys) of rows (id, text); fp is a digest of the set, zero for the empty one."""
+    """(id, fp, size, keys, wide) of rows (id, text); fp is a digest of the set, zero for the empty one."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            fp, size, keys, wide = [], [], [], []
+            for t in raw_texts(batch.column(1)):
+                own = shingle_set(t, words)
+                k, w = summary(own) if len(own) else ([], b"")
+                fp.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else 0)
+                size.append(len(own))
+                keys.append(k)
+                wide.append(w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["id", "fp", "size", "keys", "wide"])
+
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, size int, keys array<long>, wide binary")
+
+
+def planes_of(wide: np.ndarray) -> np.ndarray:
+    """(BITS, words): bit p of every fingerprint, 64 fingerprints in a word; spare lanes are zero."""
+    padded = np.zeros((-(-len(wide) // 64) * 64, BITS // 8), np.uint8)
+    padded[: len(wide)] = wide
+    return np.ascontiguousarray(np.packbits(np.unpackbits(padded, axis=1, bitorder="little").T, axis=1, bitorder="little")).view(np.uint64)
+
+
+def near(size: np.ndarray, i: np.ndarray, j: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) of places lie within the radius."""
+    good = np.zeros(len(i), bool)
+    small = np.minimum(size[i], size[j]) < 64
+    for part, limit in ((small, radius(1)), (~small, radius(64))):
+        at = np.flatnonzero(part)
+        for s in range(0, len(at), STEP // 16):
+            some = at[s : s + STEP // 16]
+            left, right = planes_of(wide[i[some]]), planes_of(wide[j[some]])
+            good[some[lanes(within(lambda p, w, x=left, y=right: x[p, w] ^ y[p, w], left.shape[1], limit, BITS), len(some))]] = True
+    return good
+
+
+def block_pairs(wide: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of one bucket (or of two blocks of it) within the radius, of other components and of sizes that can be alike."""
+    planes = planes_of(wide)
+    n, words = len(wide), planes.shape[1]
+    full, zero = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
+    a, b = [], []
+    rows = max(1, STEP // 64 // words)
+    for limit, chosen in ((radius(1), np.flatnonzero(size < 64)), (radius(64), np.flatnonzero(size >= 64))):
+        for s in range(0, len(chosen), rows):
+            q = chosen[s : s + rows]
+            own = np.where(np.unpackbits(wide[q], axis=1, bitorder="little").T == 1, full, zero)
+            hit = within(lambda p, at, own=own: planes[p, at % words] ^ own[p, at // words], len(q) * words, limit, BITS)
+            bits = np.unpackbits(hit.view(np.uint8), bitorder="little").reshape(len(q), -1)[:, :n]
+            i, j = np.nonzero(bits)
+            i = q[i]
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            # A pair of sizes on both sides of 64 is taken from its smaller set.
+            keep = (root[i] != root[j]) & (small >= least * large - 1e-9) & ((size[i] < size[j]) | ((size[i] == size[j]) & (i < j)))
+            keep &= (side[i] == -1) | (side[i] != side[j])
+            a.append(i[keep])
+            b.append(j[keep])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def close_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the rows (a, b, size, _size, wide, _wide) whose fingerprints lie within the radius."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            own = [shingle_set(t, words) for t in raw_texts(batch.column(1))]
-            fp = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0 for s in own]
-            keys = [band_keys(s) if len(s) else [] for s in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(list(map(len, own)), pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "size", "keys"])
+            n = len(batch)
+            wide = np.concatenate([np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in (4, 5)]) if n else np.zeros((0, BITS // 8), np.uint8)
+            size = np.concatenate([batch.column(c).to_numpy() for c in (2, 3)])
+            good = near(size, np.arange(n), np.arange(n, 2 * n), wide)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return map_arrow(pairs.select("a", "b", "size", "_size", "wide", "_wide"), run, "a long, b long")
 
-    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, size int, keys array<long>")
+
+def bucket_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b) of members (key, fp, size, root, wide) of one bucket that are of other components and within the radius."""
+    n = members.groupBy("key").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
+    placed = members.join(n, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.withColumn("other", other).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "fp", "size", "root", "wide"
+    )
+    # A block meets itself with side -1 and each other block with the number of its own side.
+
+    def run(batches: Batches) -> Batches:
+        held: list[tuple] = []
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            group, fp, size, root, side, wide = (np.concatenate(c) for c in zip(*rows))
+            starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
+            counts = np.diff([*starts, len(group)])
+            number = np.repeat(np.arange(len(starts)), counts)
+            few = np.flatnonzero(np.repeat(counts, counts) <= 16)
+            a, b = [], []
+            for d in range(1, 16):  # places d apart of all small groups at once
+                i, j = few[:-d], few[d:]
+                small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                some = (number[i] == number[j]) & (root[i] != root[j]) & (small >= least * large - 1e-9) & ((side[i] == -1) | (side[i] != side[j]))
+                i, j = i[some], j[some]
+                good = near(size, i, j, wide)
+                a.append(fp[i[good]])
+                b.append(fp[j[good]])
+            for s, c in zip(starts[counts > 16], counts[counts > 16]):
+                i, j = block_pairs(wide[s : s + c], size[s : s + c], root[s : s + c], side[s : s + c], least)
+                a.append(fp[s : s + c][i])
+                b.append(fp[s : s + c][j])
+            a, b = np.concatenate(a), np.concatenate(b)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2)], axis=1)
+            wide = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(batch), -1)
+            rows = (group, batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_numpy(), batch.column(3).to_numpy(), wide)
+            differ = np.flatnonzero((group != group[-1]).any(axis=1))
+            cut = int(differ[-1]) + 1 if len(differ) else 0
+            if cut or (held and (held[-1][0][-1] != group[-1]).any()):
+                yield out([*held, tuple(c[:cut] for c in rows)])
+                held = []
+            held.append(tuple(c[cut:] for c in rows))
+        if held:
+            yield out(held)
+
+    by = ("key", "low", "high")
+    return map_arrow(dealt.repartition(*by).sortWithinPartitions(*by), run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
@@ -63,39 +204,35 @@ def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
 
     def hashes(batches: Batches) -> Batches:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in raw_texts(batch.column(1))], pa.binary())], names=["fp", "own"])
-
-    def compare(batches: Batches) -> Batches:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+            texts = raw_texts(batch.column(1))
+            for s, e in steps(texts, TEXT_BYTES):
+                own = [shingle_set(t, words).view(np.int64) for t in texts[s:e]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(own, pa.list_(pa.int64()))], names=["fp", "own"])
 
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    own = stage(map_arrow(texts(wanted), hashes, "fp long, own binary"), "shingles")
+    own = stage(map_arrow(texts(wanted), hashes, "fp long, own array<long>"), "shingles")
     both = pairs.join(own.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    return stage(map_arrow(both.select("a", "b", "x", "y"), compare, "a long, b long"), "alike")
+    both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
+    return stage(both.where(F.col("n") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("n")) - 1e-9).select("a", "b"), "alike")
 
 
 def links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
-    """(a, b): links between distinct sets (fp, size, keys) that hold their components together."""
+    """(a, b): links between distinct sets (fp, size, keys, wide) that hold their components together."""
     dealt = distinct.select("fp", "size", F.explode("keys").alias("key"))
     first = dealt.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stage(dealt.join(first, "key"), "shared")
-    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least) - 1e-9
-    star = shared.where((F.col("fp") != F.col("first.fp")) & near(F.col("size"), F.col("first.size"))).select(F.col("fp").alias("a"), F.col("first.fp").alias("b"))
-    found = verified(star.distinct(), texts, words, least)
-    joined = shared.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = stage(joined.where(F.col("fp") != F.col("first.fp")), "joined")
-    mixed = joined.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = joined.join(mixed, "key", "left_semi").select("key", "fp", "size", "root")
-    right = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("fp", "size", "root")))
-    rest = left.join(right, "key").where((F.col("fp") < F.col("_fp")) & (F.col("root") != F.col("_root")) & near(F.col("size"), F.col("_size")))
-    return found.unionByName(verified(rest.select(F.col("fp").alias("a"), F.col("_fp").alias("b")).distinct(), texts, words, least))
+    fits = F.least("size", "_size") >= F.greatest("size", "_size") * F.lit(least) - 1e-9
+    star = shared.where(F.col("fp") != F.col("first.fp")).select(F.col("fp").alias("a"), F.col("first.fp").alias("b"), "size", F.col("first.size").alias("_size")).where(fits).distinct()
+    wide = distinct.select("fp", "wide")
+    star = star.join(wide.withColumnRenamed("fp", "a"), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("_wide")), "b")
+    found = verified(close_pairs(star), texts, words, least)
+    joined = shared.select("key", "fp", "size").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = stage(joined, "joined")
+    # Buckets of one component, and of a star that has already met all its members, have nothing left to compare.
+    mixed = joined.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
+    members = joined.join(mixed, "key", "left_semi").join(wide, "fp")
+    return found.unionByName(verified(bucket_pairs(members, least), texts, words, least))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -105,7 +242,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
         row = "_" + row
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     every = stage(sets(numbered.select(F.struct(F.col(key), F.col(row)).alias("id"), F.col(text).alias("text")), words), "sets")
-    distinct = stage(every.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "distinct")
+    firsts = every.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("wide").alias("wide"))
+    distinct = stage(firsts, "distinct")
 
     def texts(wanted: DataFrame) -> DataFrame:
         rows = distinct.join(wanted, "fp").select("fp", F.col(f"first.{row}").alias(row))

@@ -78,7 +78,7 @@ def planes_of(fp: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(differ, words: int, radius: int) -> np.ndarray:
+def within(differ, words: int, radius: int, planes: int = 64) -> np.ndarray:
     """Lanes whose number of set planes is at most ``radius``, as words.
 
     ``differ(p, at)`` gives plane p of the differences for the words ``at``. Counters are carry-save:
@@ -99,12 +99,12 @@ def within(differ, words: int, radius: int) -> np.ndarray:
                 equal = equal & ~digits[k]
         return more
 
-    for p in range(64):
+    for p in range(planes):
         carry = differ(p, at)
         for k in range(len(digits)):
             digits[k], carry = digits[k] ^ carry, digits[k] & carry
         over = over | carry
-        if p % 8 == 7 and p < 63:
+        if p % 8 == 7 and p < planes - 1:
             alive = ~beyond() != 0
             if not alive.any():
                 return out
@@ -233,16 +233,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return got.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The documents without near-duplicates: of each group the row with the smallest key, and one only if that key is repeated."""
-    row = "_row"
-    while row in docs.columns:
-        row = "_" + row
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    got = group_documents(fingerprints(numbered, F.struct(F.col(key), F.col(row)), text, words), radius)
-    gone = got.where(F.col(f"id.{row}") != F.col(f"component_id.{row}")).select(F.col(f"id.{row}").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*[numbered[c] for c in docs.columns])
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
