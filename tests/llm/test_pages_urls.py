@@ -1,4 +1,5 @@
 import re
+import time
 
 import duckdb
 import pytest
@@ -28,7 +29,7 @@ TEXT = "Tea & toast\nThe first paragraph has some words <here> and a link. Secon
 
 def test_labelled_blocks_are_learned(tree):
     for page in H.LABELLED:
-        row = H.blocks(page)
+        row = H.labelled(page)
         assert [p >= 0.5 for p in tree.predict(H.features(row))] == [b.text.startswith("+") for b in row]
 
 
@@ -65,6 +66,44 @@ def test_hidden_elements_end_where_they_end(page, want):
     assert [b.text for b in H.blocks(page)] == want
 
 
+LONG = "Each of these paragraphs is long enough to be read as a part of the text of the page by anyone who looks at it."
+
+
+def test_words_and_neighbours_decide(tree):
+    used = {H.FEATURES[f] for f in tree.feature if f >= 0}
+    assert {"words", "words_before", "words_after", "links", "links_before", "evidence", "article"} <= used
+    flags = H.DecisionTree(*(lambda x, y: (x[:, 6:], y))(*H.table_of_blocks()))
+    x, y = H.table_of_blocks()
+    assert ((flags.predict(x[:, 6:]) >= 0.5) != y).mean() > 0.05 and ((tree.predict(x) >= 0.5) == y).all()
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article class='post comments-open'><p>{0}</p><p>{0}</p></article>", "{0}\n{0}"),
+    ("<div class='content-with-sidebar'><article><p>{0}</p><p>Short.</p></article></div>", "{0}\nShort."),
+    ("<main class='layout has-sidebar'><p>{0}</p><p>{0}</p></main>", "{0}\n{0}"),
+    ("<div class='wrap no-nav'><p>{0}</p><p>{0}</p></div>", "{0}\n{0}"),
+    ("<form id='aspnetForm'><article><p>{0}</p></article></form>", "{0}"),
+    ("<article><p class='share-price'>{0}</p><p>b c d</p></article>", "{0}\nb c d"),
+    ("<article><p>{0}</p></article><ul><li class='comment'>{0}</li></ul>", "{0}"),
+    ("<article><p>{0}</p></article><table><tr><td class='sidebar'>{0}</td></tr></table><h3 class='related'>{0}</h3>", "{0}"),
+    ("<article><p>{0}</p></article><form><label>{0}</label></form>", "{0}"),
+    ("<div>Home</div><div>News</div><div>Contact</div><div>{0}</div><div>Yes.</div><div>{0}</div><div>Terms</div><div>Imprint</div>", "{0}\nYes.\n{0}"),
+    ("<section id=comments><article><p>{0}</p></article></section><main><article><p>{0} {0}</p></article></main>", "{0} {0}"),
+])
+def test_names_are_evidence_only(tree, page, want):
+    assert H.main_text(page.format(LONG), tree) == want.format(LONG)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "</section>" * 20_000, "<a href='" * 20_000, "<a href='" * 20_000 + ">", "<p><div>" + "<span>" * 20_000 + "</p>" * 20_000,
+    "<article>" * 20_000 + "x", "<" * 100_000, "<!" * 50_000, "<li>" * 30_000 + "</ul>" * 30_000, "<script" * 20_000, "<svg/" * 30_000, "<!--" * 30_000,
+])
+def test_time_grows_with_the_page(tree, page):
+    t = time.process_time()
+    H.main_text(page, tree)
+    assert time.process_time() - t < 2
+
+
 def test_odd_pages(spark, tree):
     rows = [(1, "u", None), (2, None, ""), (None, "u", PAGE), (None, "u", PAGE), (3, "u", "<p>" + "long text " * 100_000)]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), tree=tree).collect()
