@@ -70,7 +70,7 @@ def test_secret_and_token_stages(results):
 def test_run_and_registry(spark, results):
     got = cp.run(spark, SF)
     assert sorted(map(str, got.drop("ids").collect())) == sorted(map(str, results[5].drop("ids").collect()))
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14)) and set(SQL) <= set(QUERIES)
 
 
 def test_stages_on_odd_tables(spark, odd):

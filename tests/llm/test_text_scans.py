@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -133,25 +134,78 @@ def test_contamination_of_odd_tables(spark, odd):
     assert C.contaminated(odd.limit(0), bench).count() == 0 and C.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def plain_units(text):
+    """Stretches (line, whole line, start, stop, words, content) and lines, from the rule alone."""
+    out, at = [], 0
+    for number, line in enumerate((text or "").split("\n")):
+        tokens = [(at + m.start(), at + m.end()) for m in re.finditer(P.SPACED, line)]
+        at += len(line) + 1
+        words = ["".join(c for c in text[a:b] if c.isalnum()).lower() for a, b in tokens]
+        crc = [zlib.crc32(w.encode()) for w in words]
+        h = [(((crc[i - 1] if i else 0) * 0x9E3779B1 + c * 0x85EBCA6B) & 0xFFFFFFFF) for i, c in enumerate(crc)]
+        cuts = [i + 1 for i in range(len(h)) if i == len(h) - 1 or all(h[i] > h[j] for j in range(max(0, i - P.REACH), min(len(h), i + P.REACH + 1)) if j != i)]
+        parts = list(zip([0, *cuts], cuts))
+        content = lambda a, b: " ".join(w for w in words[a:b] if w)
+        if not tokens:
+            continue
+        own = [(number, len(parts) == 1, tokens[a][0], tokens[b - 1][1], b - a, content(a, b)) for a, b in parts]
+        out.append((content(0, len(words)), own))
+    return out
+
+
 def plain_repeats(rows, least):
-    seen, out = set(), []
+    seen, spans = {}, set()
     for key, text in sorted(rows, key=lambda r: r[0]):
-        run = []
-        for k, (a, b, n, h) in enumerate(P.units(text or "")):
-            if h in seen:
-                if run and run[-1][0] != k - 1:
-                    out.append(run)
-                    run = []
-                run.append((k, key, a, b, n))
-            seen.add(h)
-        out.append(run)
-    return {(r[0][1], r[0][2], r[-1][3], sum(x[4] for x in r)) for r in out if sum(x[4] for x in r) >= least}
+        run, gone = [], []
+        for line, parts in plain_units(text):
+            again = line in seen  # the line as a whole, before its own stretches are known
+            for k, (_, whole, a, b, n, own) in enumerate(parts):
+                if not own:
+                    gone.append(run), (run := [])
+                    continue
+                if own in seen:
+                    run.append((a, b, n, again and (whole or k == 0), seen[own]))
+                else:
+                    gone.append(run), (run := [])
+                seen.setdefault(own, key)
+            seen.setdefault(line, key)
+        for r in [*gone, run]:
+            if r and (any(x[3] for x in r) or sum(x[2] for x in r) >= least):
+                spans.add((key, r[0][0], r[-1][1], sum(x[2] for x in r), r[0][4]))
+    return spans
+
+
+def found_spans(df):
+    got = [(r.doc_id, r.start, r.stop, r.n_words, r.first_doc_id) for r in P.find_repeats(df).collect()]
+    assert len(got) == len(set(got))
+    return set(got)
 
 
 def test_repeats_against_a_plain_scan(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
-    got = P.find_repeats(documents.repartition(7)).collect()
-    assert {(r.doc_id, r.start, r.stop, r.n_words) for r in got} == plain_repeats(rows, P.LEAST_WORDS)
+    assert found_spans(documents.repartition(7)) == plain_repeats(rows, P.LEAST_WORDS)
+
+
+def test_whole_lines_go_whatever_their_length(spark):
+    rng = random.Random(5)
+    lines = ["Sign up for our newsletter today", "}", "Read on", "这是一个重复的段落", " ".join(f"w{k}" for k in range(15))]
+    rows = [(k, "\n".join([" ".join(f"own{k}x{rng.randrange(999)}" for _ in range(8)), *rng.sample(lines, 4), f"last {k} words"])) for k in range(12)]
+    rows += [(50, "B1 b2\nA1 a2"), (40, "A1 a2"), (41, "B1 b2"), (60, "we all said read on and went")]
+    got = found_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert got == plain_repeats(rows, P.LEAST_WORDS)
+    assert (50, 0, 11, 4, 41) in got and not any(r[0] in (40, 41, 60) for r in got)
+    left = {r.doc_id: r.text for r in P.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for line in lines:
+        if line != "}":
+            assert sum(x == line for t in left.values() for x in t.split("\n")) == 1
+    assert left[50].strip() == "" and left[60] == rows[-1][1]
+
+
+def test_paragraphs_without_spaces(spark):
+    text = "".join(chr(0x4E00 + k * 7) for k in range(40))
+    rows = [(1, "中文" + text + "前後"), (2, "別的" + text + "文章"), (3, "別的")]
+    got = found_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == plain_repeats(rows, P.LEAST_WORDS) and {r[0] for r in got} == {2}
 
 
 @pytest.mark.parametrize("join", [" ", "\n"])

@@ -21,13 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers find this package where the driver has found it (elsewhere it comes with --py-files)."""
+def shipped(df: DataFrame) -> DataFrame:
+    """The rows, whose workers find this package where the driver has found it (elsewhere it comes with --py-files)."""
     env = df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-    return df.mapInArrow(fn, schema)
+    return df
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    return shipped(df).mapInArrow(fn, schema)
+
+
+def group_arrow(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of each group's rows; for groups of bounded size only."""
+    return shipped(df).groupBy(key).applyInArrow(fn, schema)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -1,11 +1,12 @@
 """Substring deduplication by hashing lines, and stretches of long lines.
 
-A unit is a line, or a stretch of a line between content-defined anchors: words whose hash is the largest among
+A unit is a line, and in a longer line each stretch between content-defined anchors: words whose hash is the largest among
 ``REACH`` words on either side. Anchors depend on nearby words only, so a passage is cut in the same way wherever
 it stands in a line. Units are normalised (lower case, letters and digits, single spaces) and hashed to 128 bits.
 Digests are grouped over the corpus; the occurrence with the smallest (key, row, place) is kept, all others
-are repeats. Repeated units that follow each other in a document form one span; spans of fewer than
-``least_words`` words (short formulas, signatures) stay. Spans keep their offsets in the original text.
+are repeats. Repeated units that follow each other in a document form one span. A span that holds a whole repeated line goes
+whatever its length; ``least_words`` words are asked of spans inside lines only. In scripts without spaces every letter is a word.
+Spans keep their offsets in the original text.
 
 Null and empty texts have no units; units without letters and digits join no run. Of repeated rows all but the
 first lose their text. Digest groups are reduced before the shuffle and never collected; a frequent line
@@ -27,7 +28,9 @@ from tidemark.llm.common import Batches, map_arrow, table
 from tidemark.session import stage
 
 REACH, LEAST_WORDS = 4, 20
-SPACED = re.compile(r"\S+")
+#: Letters of scripts that do not part words (fixed ranges): Thai to Khmer, kana and ideographs, half-width kana.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+SPACED = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 PLAIN = re.compile(r"[\W_]+")
 
 
@@ -46,8 +49,12 @@ def anchors(h: np.ndarray, line: np.ndarray) -> np.ndarray:
     return top
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, stop, words, digest) of each unit, in order."""
+def units(text: str) -> list[tuple[int, int, int, int, int, bytes]]:
+    """(place, whole, start, stop, words, digest) of each unit, in order.
+
+    ``place`` numbers the stretches; ``whole`` is 0 for a part of a line, 1 for a line of one stretch, and 2 for a line of several
+    stretches, which stands for itself after the first of them.
+    """
     spans = [m.span() for m in SPACED.finditer(text)]
     if not spans:
         return []
@@ -59,32 +66,46 @@ def units(text: str) -> list[tuple[int, int, int, bytes]]:
     pair = np.zeros(len(words), np.int64)
     pair[1:] = np.where(line[1:] == line[:-1], crc[:-1], 0)
     mixed = ((pair * 0x9E3779B1 + crc * 0x85EBCA6B) & 0xFFFFFFFF) + 1
-    out, first = [], 0
-    for last in np.flatnonzero(anchors(mixed, line)).tolist():
+    ends = np.flatnonzero(anchors(mixed, line))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    end_of_line = np.concatenate([np.flatnonzero(line[1:] != line[:-1]), [len(line) - 1]])
+    last_of = end_of_line[np.searchsorted(end_of_line, starts)]
+    opens = np.concatenate([[True], line[starts[1:]] != line[starts[1:] - 1]])
+    out = []
+
+    def add(place: int, whole: int, first: int, last: int) -> None:
         own = " ".join(w for w in words[first : last + 1] if w)
         if own:
-            out.append((spans[first][0], spans[last][1], last + 1 - first, xxhash.xxh3_128_digest(own.encode())))
-        first = last + 1
+            out.append((place, whole, spans[first][0], spans[last][1], last + 1 - first, xxhash.xxh3_128_digest(own.encode())))
+
+    for place, (first, last, final, opening) in enumerate(zip(starts.tolist(), ends.tolist(), last_of.tolist(), opens.tolist())):
+        add(place, int(opening and last == final), first, last)
+        if opening and last < final:
+            add(place, 2, first, final)
     return out
 
 
 def unit_table(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
+    names = ["key", "row", "place", "whole", "start", "stop", "words", "h1", "h2"]
+
+    def out(batch: pa.RecordBatch, held: list[tuple[int, tuple]]) -> pa.RecordBatch:
+        at, some = pa.array([k for k, _ in held], pa.int64()), [u for _, u in held]
+        digest = np.frombuffer(b"".join(u[5] for u in some), np.int64).reshape(-1, 2)
+        numbers = [pa.array([u[c] for u in some], pa.int32()) for c in range(5)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *numbers, pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=names)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            found = [units(t.as_py() or "") for t in batch.column(2)]
-            size = np.array([len(f) for f in found], np.int64)
-            at = pa.array(np.repeat(np.arange(len(found)), size))
-            flat = [u for f in found for u in f]
-            digest = np.frombuffer(b"".join(u[3] for u in flat), np.int64).reshape(-1, 2)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            for s in range(0, len(flat), 1 << 16):
-                e = s + (1 << 16)
-                cols = [pa.array(place[s:e], pa.int32()), *(pa.array([u[k] for u in flat[s:e]], pa.int32()) for k in range(3)), pa.array(digest[s:e, 0]), pa.array(digest[s:e, 1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at[s:e]), batch.column(1).take(at[s:e]), *cols], names=["key", "row", "place", "start", "stop", "words", "h1", "h2"])
+            held: list[tuple[int, tuple]] = []
+            for k, t in enumerate(batch.column(2)):
+                held += [(k, u) for u in units(t.as_py() or "")]
+                if len(held) > 1 << 16:
+                    yield out(batch, held)
+                    held = []
+            yield out(batch, held)
 
-    return map_arrow(docs.select(key, row, text), run, f"key {kind}, row long, place int, start int, stop int, words int, h1 long, h2 long")
+    return map_arrow(docs.select(key, row, text), run, f"key {kind}, row long, place int, whole int, start int, stop int, words int, h1 long, h2 long")
 
 
 def repeated_spans(numbered: DataFrame, key: str, text: str, row: str, least_words: int) -> DataFrame:
@@ -93,11 +114,13 @@ def repeated_spans(numbered: DataFrame, key: str, text: str, row: str, least_wor
     rank = F.struct("key", "row", "place")
     groups = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     again = found.join(groups, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first")))
-    run = F.col("place") - F.row_number().over(Window.partitionBy("row").orderBy("place"))
+    part = F.col("whole") < 2  # a line of several stretches stands beside its first one, in the same run
+    run = F.col("place") - F.count(F.when(part, 1)).over(Window.partitionBy("row").orderBy("place", "whole"))
     spans = again.withColumn("run", run).groupBy("row", "run").agg(
-        F.first("key").alias("key"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count("*").alias("n_units"), F.min("first.key").alias("first_key"),
+        F.first("key").alias("key"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.when(part, F.col("words"))).alias("n_words"),
+        F.count(F.when(part, 1)).alias("n_units"), F.min_by("first.key", "place").alias("first_key"), F.max("whole").alias("whole"),
     )
-    return spans.where(F.col("n_words") >= least_words).drop("run")
+    return spans.where((F.col("whole") > 0) | (F.col("n_words") >= least_words)).drop("run", "whole")
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -108,7 +131,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Key, first_<key> (where the earliest copy of the span begins), start, stop, n_words, n_units of each span."""
+    """Key, first_<key> (where the earliest copy of the span's first unit stands), start, stop, n_words, n_units of each span."""
     df, row = numbered(docs.select(key, text))
     got = repeated_spans(df, key, text, row, least_words)
     return got.select(F.col("key").alias(key), F.col("first_key").alias(f"first_{key}"), "start", "stop", "n_words", "n_units")
