@@ -60,3 +60,25 @@ def test_equal_pandas_for_any_chunks(spark, dirty):
             np.testing.assert_allclose(a, b, rtol=1e-7, atol=1e-9, err_msg=col)
     for col in got[0].columns[2:]:
         np.testing.assert_allclose(got[0][col].astype(float), got[1][col].astype(float), rtol=1e-9, atol=1e-12, err_msg=col)
+
+
+def test_outages_longer_than_a_chunk(spark):
+    """Closes missing for 1,900 rows, at the start, across whole chunks, and at the end of a series."""
+    n = 3000
+    p = make_bars({"a": n, "b": 700})
+    a, b = p.index[p.symbol == "a"], p.index[p.symbol == "b"]
+    p.loc[a[600:2500], "close"] = np.nan
+    p.loc[b[:250], "close"] = np.nan
+    p.loc[b[600:], "close"] = np.inf
+    p["close"] = p["close"].astype(float)
+    df = spark.createDataFrame(p).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    want = []
+    for _, g in p.groupby("symbol", sort=False):
+        c = g["close"].replace([np.inf, -np.inf], np.nan)
+        want.append(pd.DataFrame({f"ema_{k}": c.ewm(span=k, adjust=False).mean() for k in (1, 5, 50)}))
+    want = pd.concat(want).reset_index(drop=True)
+    for size in (400, 100, 500_000):
+        out = rows(W.ema(df, Series(rows_per_chunk=size, levels=(Level("ts", 3600.0),)), spans=(1, 5, 50)))
+        assert out["ema_5"].isna().sum() == 250
+        for k in (1, 5, 50):
+            np.testing.assert_allclose(out[f"ema_{k}"].astype(float), want[f"ema_{k}"], rtol=1e-10, err_msg=f"{k} {size}")

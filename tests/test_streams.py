@@ -2,8 +2,17 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
 from tidemark.registry.sources import scratch
 from tidemark.registry.streams import Feed
+from tests.test_operators import make_bars, rows
+from tidemark.operators.windows import LOOKBACK, feature_matrix
+from tidemark.plans.chunks import Series
+from tidemark.schemas import BARS
+from tidemark.streaming.features import FeatureStream
 from tidemark.streaming.state import EpochTable, HighWater
 
 SCHEMA = "symbol string, ts timestamp, x int"
@@ -34,3 +43,23 @@ def test_high_water_drops_late_rows_and_repeats_an_epoch(spark):
         each([("a", at(4), 3), ("a", at(6), 4), ("b", at(2), 5), ("b", at(2), 5), ("c", at(0), 6)], 1)
     each([("a", at(6), 7), ("c", at(1), 8)], 2)
     assert sorted(r.x for r in out.all(spark).collect()) == [1, 2, 4, 5, 6, 8]
+
+
+def test_features_after_a_long_outage_equal_the_batch(spark):
+    """An outage of several epochs and of more rows than the stream keeps; one epoch is repeated, one symbol comes late."""
+    p = make_bars({"a": 420, "b": 120})
+    a = p.index[p.symbol == "a"]
+    p.loc[a[110:330], "close"] = np.nan
+    p.loc[p.symbol == "b", "ts"] = p.loc[p.symbol == "b", "ts"] + pd.Timedelta(minutes=250)
+    df = spark.createDataFrame(p).withColumn("close", F.when(~F.isnan("close"), F.col("close"))).select(*BARS.names)
+    each = FeatureStream(spark, scratch(spark, "outage"), Series())
+    start = p["ts"].min()
+    cuts = [0, 60, 150, 151, 310, 500]
+    for epoch, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        batch = df.filter((F.col("ts") >= F.lit(start + pd.Timedelta(minutes=low))) & (F.col("ts") < F.lit(start + pd.Timedelta(minutes=high))))
+        for _ in range(2 if epoch == 2 else 1):
+            each(batch, epoch)
+    got, want = rows(each.read(spark)), rows(feature_matrix(df, Series()))
+    assert len(got) == len(want) and LOOKBACK < 220 and got["ema_50"].notna().all()
+    for col in [c for c in want.columns if c not in ("symbol", "ts")]:
+        np.testing.assert_allclose(got[col].astype(float), want[col].astype(float), rtol=1e-9, atol=1e-12, err_msg=col)

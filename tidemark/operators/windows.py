@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.columns import high_low_ratio, open_close_ratio, ratio
 from tidemark.plans.chunks import Chunks, Series, over_chunks
+from tidemark.plans.scans import scan
+from tidemark.session import stage
 
 Columns = dict[str, Column]
 
@@ -171,55 +174,89 @@ def rolling_slope(c: Chunks, col: str, n: int) -> Column:
 # --- exponential averages ----------------------------------------------------------------------
 
 
-#: Decay, in natural-log units, after which earlier rows no longer matter at double precision.
-_FORGET = 40.0
-
+def _ema_terms(df: DataFrame, c: Chunks, col: str, spans: tuple[int, ...], new: str | None) -> DataFrame:
+    """``_first``, the first finite value of the chunk's own rows so far, and the recurrence of each span from it on, as ``_A_<n>`` and ``_B_<n>``."""
+    x, gap = F.col("_x"), F.col("_gap")
+    earlier = c.window.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_x", F.when(F.col("_own") & (F.col(new) if new else F.lit(True)), finite(F.col(col).cast("double"))))
+    df = df.withColumns(
+        {"_gap": F.col("_pos") - F.last(F.when(x.isNotNull(), F.col("_pos")), ignorenulls=True).over(earlier), "_first": F.first("_x", ignorenulls=True).over(c.so_far)}
+    )
+    idle, maps = x.isNull() | gap.isNull(), {}
+    for n in spans:
+        a = 2.0 / (max(n, 1) + 1)
+        share = F.lit(a) / (F.pow(F.lit(1.0 - a), gap) + a)
+        maps[str(n)] = (F.when(idle, 1.0).otherwise(1.0 - share), F.when(idle, 0.0).otherwise(share * x))
+    df = df.sortWithinPartitions(*c.series.keys, "_chunk", *c.series.order_by())  # as the windows have left them
+    return scan(df, F.col("_pos") == F.col("_base"), maps).drop("_gap")
 
-def ema_reach(spans: tuple[int, ...]) -> int:
-    """Rows of history an exponential average needs: twice what forgets a value, as missing rows forget more slowly."""
-    return max([2 * math.ceil(_FORGET / -math.log1p(-2.0 / (n + 1))) for n in spans if n > 1], default=0)
 
+def _ema_starts(c: Chunks, col: str, spans: tuple[int, ...], new: str | None, history: DataFrame | None) -> DataFrame:
+    """One row per (keys, chunk): for each span the average before the chunk, ``_y<n>``, and after its first finite value, ``_f<n>``.
 
-def add_ema(df: DataFrame, c: Chunks, col: str, spans: tuple[int, ...], name: Callable[[int], str]) -> DataFrame:
+    A narrow pass over the chunks; of each chunk only its first and last finite place, its first value and its recurrence meet here.
+    """
+    keys, order = list(c.series.keys), [o.lstrip("-") for o in c.series.order]
+    narrow = c.df.select(*dict.fromkeys([*keys, *order, col, *([new] if new else [])]), "_chunk", "_own", "_base").withColumn("_pos", c.position)
+    d = _ema_terms(narrow, c, col, spans, new).filter("_own")
+    at = F.when(F.col("_x").isNotNull(), F.col("_pos"))
+    ends = d.groupBy(*keys, "_chunk").agg(
+        F.min(at).alias("_from"), F.max(at).alias("_to"), F.min_by("_x", at).alias("_v"), F.min(F.when(F.col(new), F.col("_pos")) if new else "_pos").alias("_begin"), *[F.max_by(f"_{p}_{n}", "_pos").alias(f"_{p}_{n}") for n in spans for p in "AB"]
+    )
+    fields = [T.StructField(f"_k{i}", d.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("_kc", T.IntegerType())]
+    schema = T.StructType([*fields, *(T.StructField(f"_{p}{n}", T.DoubleType()) for n in spans for p in "yf")])
+
+    if history is not None:
+        ends = ends.join(history, keys, "left")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk")
+        y, seen, out = {n: None for n in spans}, None, []
+        if history is not None and not pd.isna(pdf["_since"].iloc[0]):
+            y, seen = {n: pdf[f"_h{n}"].iloc[0] for n in spans}, pdf["_begin"].min() - pdf["_since"].iloc[0]
+        for row in pdf.to_dict("records"):
+            start = {n: (y[n], None) for n in spans}
+            if not pd.isna(row["_from"]):
+                for n in spans:
+                    a = 2.0 / (max(n, 1) + 1)
+                    share = 1.0 if seen is None else a / ((1.0 - a) ** (row["_from"] - seen) + a)
+                    first = row["_v"] if seen is None else (1.0 - share) * y[n] + share * row["_v"]
+                    start[n] = (y[n], first)
+                    y[n] = row[f"_A_{n}"] * first + row[f"_B_{n}"]
+                seen = row["_to"]
+            out.append([*(row[k] for k in keys), row["_chunk"], *(v for n in spans for v in start[n])])
+        return pd.DataFrame(out, columns=schema.names)
+
+    return stage(ends.groupBy(*keys).applyInPandas(compose, schema), "averages")
+
+
+def add_ema(df: DataFrame, c: Chunks, col: str, spans: tuple[int, ...], name: Callable[[int], str], new: str | None = None, history: DataFrame | None = None) -> DataFrame:
     """Exponential averages seeded with the first value; ``df`` must hold ``_pos``.
 
     Missing and infinite values carry the average on. The value after a gap of g rows weighs a, the
     average before it (1-a)^g, and the two are scaled to one: y = (1-k) y' + k x with k = a / (a + (1-a)^g).
-    Unrolled this is a running sum of k x e^D times e^-D, where D adds up -ln(1-k). Rows are cut into blocks of
-    ``_FORGET`` units of D, so that scales stay small and only the block before still matters. A gap
-    longer than :func:`ema_reach` at the seam of two chunks leaves null until the next value.
+    Each chunk is solved for an unknown average before it. Where a series has several chunks, a narrow pass composes
+    the chunks of each series first, so that an outage of any length carries on across seams.
+
+    A series may go on from ``history`` (keys, ``_h<span>``: its averages so far, ``_since``: how many rows before the first new row its
+    last value stands): then only rows marked by the column ``new`` count.
     """
-    base = [*c.series.keys, "_chunk"]
-    order = c.series.order_by()
-    earlier = c.window.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_x", finite(F.col(col).cast("double")))
-    df = df.withColumn("_gap", F.col("_pos") - F.last(F.when(F.col("_x").isNotNull(), F.col("_pos")), ignorenulls=True).over(earlier))
-    out: Columns = {name(n): F.last("_x", ignorenulls=True).over(c.so_far) for n in spans if n <= 1}
-    df = df.withColumns(out)
-    for n in (n for n in spans if n > 1):
-        a = 2.0 / (n + 1)
-        kept = F.pow(F.lit(1.0 - a), F.col("_gap"))
-        share = F.when(F.col("_x").isNull(), F.lit(None)).when(F.col("_gap").isNull(), F.lit(1.0)).otherwise(F.lit(a) / (kept + a))
-        decay = F.when(F.col("_x").isNull() | F.col("_gap").isNull(), F.lit(0.0)).otherwise(F.least(F.log(kept + a) - F.col("_gap") * F.lit(math.log1p(-a)), F.lit(_FORGET + 5.0)))
-        df = df.withColumns({"_k": share, "_step": decay})
-        df = df.withColumn("_D", F.sum("_step").over(c.so_far))
-        df = df.withColumn("_block", F.floor(F.col("_D") / _FORGET))
-        df = df.withColumn("_D", F.col("_D") - F.col("_block") * F.lit(_FORGET))
-        # Both specs sort by (keys, chunk, block, order): one exchange and one sort serve them.
-        in_block = Window.partitionBy(*base, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        in_chunk = Window.partitionBy(*base).orderBy("_block", *order)
-        df = df.withColumn("_sum", F.sum(F.col("_k") * F.col("_x") * F.exp("_D")).over(in_block))
-        df = df.withColumn("_before", F.lag(F.struct("_block", "_sum")).over(in_chunk))
-        df = df.withColumn("_before", F.first("_before").over(in_block))
-        prior = F.when(F.col("_before._block") == F.col("_block") - 1, F.coalesce("_before._sum", F.lit(0.0)) * F.lit(math.exp(-_FORGET)))
-        both = F.when(F.col("_sum").isNotNull() | prior.isNotNull(), F.coalesce("_sum", F.lit(0.0)) + F.coalesce(prior, F.lit(0.0)))
-        df = df.withColumn(name(n), F.exp(-F.col("_D")) * both)
-    return df.drop("_x", "_gap", "_k", "_step", "_D", "_block", "_sum", "_before")
+    d = _ema_terms(df, c, col, spans, new)
+    after, before = {n: F.col("_first") for n in spans}, {n: F.lit(None).cast("double") for n in spans}
+    if history is not None or not c.single():
+        starts, keys = _ema_starts(c, col, spans, new, history), list(c.series.keys)
+        on = F.col("_chunk") == F.col("_kc")
+        for i, k in enumerate(keys):
+            on = on & d[k].eqNullSafe(starts[f"_k{i}"])
+        d = d.join(starts, on, "left").drop("_kc", *[f"_k{i}" for i in range(len(keys))])
+        after, before = {n: F.coalesce(f"_f{n}", "_first") for n in spans}, {n: F.col(f"_y{n}") for n in spans}
+    out = {name(n): F.when(F.col("_first").isNull(), before[n]).otherwise(F.col(f"_A_{n}") * after[n] + F.col(f"_B_{n}")) for n in spans}
+    return d.withColumns(out).drop("_x", "_first", *[f"_{p}_{n}" for n in spans for p in "AB"], *[f"_{p}{n}" for n in spans for p in "yf"])
 
 
 def ema(df: DataFrame, series: Series, col: str = "close", spans: tuple[int, ...] = (5, 20, 50)) -> DataFrame:
     """Add ``ema_<span>``: y[0] = x[0], y[t] = (1-a) y[t-1] + a x[t], a = 2 / (span + 1); for gaps see :func:`add_ema`."""
-    c = Chunks(df, series, before=ema_reach(spans))
+    c = Chunks(df, series)
     d = add_ema(c.df.withColumn("_pos", c.position), c, col, tuple(spans), lambda n: f"ema_{n}")
     return c.close(d).drop("_pos")
 
@@ -229,13 +266,14 @@ def ema(df: DataFrame, series: Series, col: str = "close", spans: tuple[int, ...
 FAMILIES = ("ret", "ema", "rsi", "imb")
 DEFAULT_USE = ("ret_1m", "ema_5", "ema_20", "rsi_14", "imb_10")
 EMA_SPANS = (5, 20, 50)
+#: Rows before its own that a row's features read; averages carry their own past.
+LOOKBACK = 60
 
 
-def feature_matrix(df: DataFrame, series: Series, use: tuple[str, ...] = DEFAULT_USE) -> DataFrame:
-    """All features of the families named in ``use``, in one chunk layout."""
+def feature_matrix(df: DataFrame, series: Series, use: tuple[str, ...] = DEFAULT_USE, new: str | None = None, history: DataFrame | None = None) -> DataFrame:
+    """All features of the families named in ``use``, in one chunk layout; for ``new`` and ``history`` see :func:`add_ema`."""
     on = {f for f in FAMILIES if any(f in u for u in use)}
-    reach = max(60, ema_reach(EMA_SPANS) if "ema" in on else 0)
-    c = Chunks(df, series, before=reach)
+    c = Chunks(df, series, before=LOOKBACK)
     d = c.df.withColumns({"_pos": c.position, **bar_terms(c)})
     roll = bar_rolling(c)
     d = roll.add(d)
@@ -275,7 +313,7 @@ def feature_matrix(df: DataFrame, series: Series, use: tuple[str, ...] = DEFAULT
     }
     d = roll.drop(d.withColumns(cols)).drop("_back5", "_back15", "_back60", "_c20n", "_c20m", "_c20d", "_v5", "_v20")
     if "ema" in on:
-        d = add_ema(d, c, "close", EMA_SPANS, lambda n: f"ema_{n}")
+        d = add_ema(d, c, "close", EMA_SPANS, lambda n: f"ema_{n}", new, history)
         d = d.withColumns(
             {
                 "price_ema5_ratio": ratio("close", "ema_5"),

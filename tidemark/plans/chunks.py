@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans.scans import scan
 from tidemark.session import stage
 
 DAY = 86_400.0
@@ -207,7 +208,7 @@ class Chunks:
         self.carried = [f"_c_{n}" for n in self.carry]
         sums = [_bucket_aggregate(how, value, series).alias(f"_a_{n}") for n, (how, value) in self.carry.items()]
         rows, table, buckets = _bucket_table(df, series, sums)
-        m = chunk_map(table, buckets, series, before, after, self.carry)
+        m = self.map = chunk_map(table, buckets, series, before, after, self.carry)
         on = _same(rows, m, [(c, f"_k{i}") for i, c in enumerate([*series.keys, *buckets])])
         self.df = rows.join(m, on).select(
             *[rows[c] for c in df.columns], *[m[c] for c in (*_INTERNAL, *self.carried)]
@@ -234,6 +235,10 @@ class Chunks:
         """Zero-based row position within the whole series."""
         return F.col("_base") + F.row_number().over(self.window) - 1
 
+    def single(self) -> bool:
+        """Whether every series fits one chunk; asks the small bucket table."""
+        return not self.map.agg(F.max("_chunk")).first()[0]
+
     @property
     def total(self) -> Column:
         """Row count of the whole series."""
@@ -309,20 +314,13 @@ def affine_scan(
     local = c.df.withColumns(c.running()).drop(*c.carried, "_own") if carry else c.df.drop("_own")
     local = local.withColumns(derive) if derive else local
     keep = [x for x in local.columns if x not in _INTERNAL]
-    local = local.withColumns({"_f": factor.cast("double"), "_g": addend.cast("double")})
-    local = local.withColumn("_pos", F.col("_base") + F.row_number().over(c.window) - 1).drop("_base", "_total")
-    schema = T.StructType([*local.schema.fields, T.StructField("_A", T.DoubleType()), T.StructField("_B", T.DoubleType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        a, b, out_a, out_b = 1.0, 0.0, [], []
-        for f, g in zip(pdf["_f"].tolist(), pdf["_g"].tolist()):
-            a, b = f * a, f * b + g
-            out_a.append(a)
-            out_b.append(b)
-        return pdf.assign(_A=out_a, _B=out_b)
-
-    solved = stage(local.groupBy(*keys, "_chunk").applyInPandas(solve, schema), "scan")
+    local = local.withColumn("_pos", F.col("_base") + F.row_number().over(c.window) - 1).drop("_total")
+    # The window has sorted the rows by (keys, chunk, order); the sort is there in name only.
+    local = local.sortWithinPartitions(*keys, "_chunk", *series.order_by())
+    solved = scan(local, F.col("_pos") == F.col("_base"), {"y": (factor, addend)}).withColumnsRenamed({"_A_y": "_A", "_B_y": "_B"})
+    if c.single():
+        return solved.select(*keep, F.col("_B").alias(out))
+    solved = stage(solved, "scan")
     ends = solved.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_A", "_B"), "_pos").alias("_e"))
     # Only the chunk ends of one series meet here: rows / rows_per_chunk small rows.
     start_schema = T.StructType(
