@@ -62,8 +62,8 @@ def test_keys_and_fingerprints_of_a_pair_at_the_limit():
             h = [rng.getrandbits(64) for _ in range(2 * n - shared)]
             small = h[:n] if 5 * shared >= 4 * (2 * n - shared) else h[:shared]  # otherwise a subset, at 0.8 as well
             a, b = (A.np.unique(A.np.array(x, A.np.uint64)) for x in (small, h[n - shared :] if small is not h[:shared] and len(small) == n else h[:n]))
-            (x, fx), (y, fy) = A.summary(a), A.summary(b)
-            missed += not set(x) & set(y)
+            fx, fy = A.fingerprint(a), A.fingerprint(b)
+            missed += not set(A.band_keys(a)) & set(A.band_keys(b))
             differ = int(A.np.bitwise_count(A.np.frombuffer(fx, A.np.uint64) ^ A.np.frombuffer(fy, A.np.uint64)).sum())
             apart += differ > A.radius(min(len(a), len(b)))
         assert missed == 0 and apart == 0

@@ -1,9 +1,9 @@
 """Near-duplicates by exact Jaccard similarity of word shingles: MinHash buckets, wide SimHash fingerprints in bit planes, exact sets.
 
-1. A text becomes the set of the hashes of its word shingles; texts with equal sets collapse to one. A set gets a SimHash of
-   ``BITS`` bits, and ``BANDS`` keys from ``ROWS`` minimum hashes each. Sets of similarity s share a key with probability
-   1 - (1 - s^4)^28: a pair at 0.8 is passed over in 4 of 10 million cases, a closer one less often still. (Blocks of a SimHash
-   cannot deal the sets themselves: those that keep every pair at 0.8 hold a constant share of all pairs.)
+1. A text becomes the set of the hashes of its word shingles; texts with equal sets collapse to one. A set has ``BANDS`` keys
+   from ``ROWS`` minimum hashes each. Sets of similarity s share a key with probability 1 - (1 - s^4)^28: a pair at 0.8 is passed
+   over in 4 of 10 million cases, a closer one less often still. (Blocks of a SimHash cannot deal the sets themselves: those
+   that keep every pair at 0.8 hold a constant share of all pairs.) Sets that share a key with another one get a SimHash of ``BITS`` bits.
 2. Every set is compared with the smallest set of each of its buckets. Then members of a bucket that are not joined up yet are
    compared with each other. So a large group of near copies costs a star, not its pairs.
 3. Both comparisons are those of ``simhash``: bit planes, carry-save counters, words of 64 pairs that end early. At 0.8 two
@@ -30,7 +30,7 @@ from tidemark.llm.components import components
 from tidemark.llm.simhash import SPREAD, answered, lanes, shingle_hashes, within
 from tidemark.session import stage
 
-BANDS, ROWS, BLOCK = 28, 4, 2040
+BANDS, ROWS, BLOCK = 28, 4, 2048
 #: Bits of a fingerprint; members of a bucket that one task compares; pairs that one step compares.
 BITS, LIMIT, STEP = 1024, 4096, 1 << 20
 #: Bytes of text whose sets leave a worker together.
@@ -44,24 +44,27 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words), np.uint64))
 
 
-def summary(own: np.ndarray) -> tuple[list[int], bytes]:
-    """The keys of a set that is not empty (signed), and its fingerprint."""
-    n, minima = len(own), BANDS * ROWS
-    least = np.full(minima, 0xFFFFFFFFFFFFFFFF, np.uint64)
+def band_keys(own: np.ndarray) -> list[int]:
+    """One signed key for each band of a set that is not empty."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for s in range(0, len(own), BLOCK):
+        least = np.minimum(least, ((own[s : s + BLOCK] ^ MASKS[: BANDS * ROWS]) * FACTORS[: BANDS * ROWS]).min(axis=1))
+    raw = least.tobytes()
+    return [xxhash.xxh3_64_intdigest(raw[k * 8 * ROWS : (k + 1) * 8 * ROWS], k) - (1 << 63) for k in range(BANDS)]
+
+
+def fingerprint(own: np.ndarray) -> bytes:
+    """The SimHash of a set: a bit is set if more than half of the hashes, mixed anew for each 64 bits, have it."""
+    masks, factors = MASKS[BANDS * ROWS :], FACTORS[BANDS * ROWS :]
     count = np.zeros(BITS, np.int64)
-    for s in range(0, n, BLOCK):
-        mixed = (own[s : s + BLOCK] ^ MASKS) * FACTORS
-        least = np.minimum(least, mixed[:minima].min(axis=1))
-        wide = mixed[minima:]
+    for s in range(0, len(own), 255):  # lanes of a byte count to 255
+        wide = (own[s : s + 255] ^ masks) * factors
         wide ^= wide >> np.uint64(29)
-        wide *= FACTORS[:1]
+        wide *= FACTORS[0]
         wide ^= wide >> np.uint64(32)
-        for at in range(0, wide.shape[1], 255):  # lanes of a byte count to 255
-            part = np.ascontiguousarray(wide[:, at : at + 255]).view(np.uint8).reshape(BITS // 64, -1, 8)
-            count += SPREAD[part].sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(-1).astype(np.int64)
-    raw = least.tobytes()
-    keys = [xxhash.xxh3_64_intdigest(raw[k * 8 * ROWS : (k + 1) * 8 * ROWS], k) - (1 << 63) for k in range(BANDS)]
-    return keys, np.packbits(2 * count > n, bitorder="little").tobytes()
+        lanes_of = SPREAD[wide.view(np.uint8).reshape(BITS // 64, -1, 8)]
+        count += lanes_of.sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(-1)
+    return np.packbits(2 * count > len(own), bitorder="little").tobytes()
 
 
 def radius(size: int) -> int:
@@ -70,21 +73,33 @@ def radius(size: int) -> int:
 
 
 def sets(rows: DataFrame, words: int) -> DataFrame:
-    """(id, fp, size, keys, wide) of rows (id, text); fp is a digest of the set, zero for the empty one."""
+    """(id, fp, size, keys) of rows (id, text); fp is a digest of the set, zero for the empty one."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            fp, size, keys, wide = [], [], [], []
+            fp, size, keys = [], [], []
             for t in raw_texts(batch.column(1)):
                 own = shingle_set(t, words)
-                k, w = summary(own) if len(own) else ([], b"")
                 fp.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else 0)
                 size.append(len(own))
-                keys.append(k)
-                wide.append(w)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary())], names=["id", "fp", "size", "keys", "wide"])
+                keys.append(band_keys(own) if len(own) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "size", "keys"])
+
+    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, size int, keys array<long>")
+
+
+def profiles(texts: DataFrame, words: int) -> DataFrame:
+    """(fp, wide, own) of rows (fp, text): the fingerprint and the set."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            texts = raw_texts(batch.column(1))
+            for s, e in steps(texts, TEXT_BYTES):
+                own = [shingle_set(t, words) for t in texts[s:e]]
+                wide = pa.array(map(fingerprint, own), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), wide, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["fp", "wide", "own"])
 
-    return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, size int, keys array<long>, wide binary")
+    return map_arrow(texts, run, "fp long, wide binary, own array<long>")
 
 
 def planes_of(wide: np.ndarray) -> np.ndarray:
@@ -199,40 +214,30 @@ def bucket_pairs(members: DataFrame, least: float) -> DataFrame:
     return map_arrow(dealt.repartition(*by).sortWithinPartitions(*by), run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more; ``texts`` gives (fp, text) for a table of fp."""
-
-    def hashes(batches: Batches) -> Batches:
-        for batch in batches:
-            texts = raw_texts(batch.column(1))
-            for s, e in steps(texts, TEXT_BYTES):
-                own = [shingle_set(t, words).view(np.int64) for t in texts[s:e]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array(own, pa.list_(pa.int64()))], names=["fp", "own"])
-
-    pairs = stage(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    own = stage(map_arrow(texts(wanted), hashes, "fp long, own array<long>"), "shingles")
-    both = pairs.join(own.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
+def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets, the ``own`` of ``known``, have a Jaccard similarity of ``least`` or more."""
+    x, y = (known.select(F.col("fp").alias(k), F.col("own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    both = stage(pairs, "pairs").join(x, "a").join(y, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
     return stage(both.where(F.col("n") >= F.lit(least) * (F.size("x") + F.size("y") - F.col("n")) - 1e-9).select("a", "b"), "alike")
 
 
 def links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
-    """(a, b): links between distinct sets (fp, size, keys, wide) that hold their components together."""
+    """(a, b): links between distinct sets (fp, size, keys) that hold their components together; ``texts`` gives (fp, text) for a table of fp."""
     dealt = distinct.select("fp", "size", F.explode("keys").alias("key"))
     first = dealt.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stage(dealt.join(first, "key"), "shared")
+    known = stage(profiles(texts(shared.select("fp").distinct()), words), "profiles")
+    wide = known.select("fp", "wide")
     fits = F.least("size", "_size") >= F.greatest("size", "_size") * F.lit(least) - 1e-9
     star = shared.where(F.col("fp") != F.col("first.fp")).select(F.col("fp").alias("a"), F.col("first.fp").alias("b"), "size", F.col("first.size").alias("_size")).where(fits).distinct()
-    wide = distinct.select("fp", "wide")
     star = star.join(wide.withColumnRenamed("fp", "a"), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("_wide")), "b")
-    found = verified(close_pairs(star), texts, words, least)
+    found = verified(close_pairs(star), known, least)
     joined = shared.select("key", "fp", "size").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     joined = stage(joined, "joined")
     # Buckets of one component, and of a star that has already met all its members, have nothing left to compare.
     mixed = joined.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
     members = joined.join(mixed, "key", "left_semi").join(wide, "fp")
-    return found.unionByName(verified(bucket_pairs(members, least), texts, words, least))
+    return found.unionByName(verified(bucket_pairs(members, least), known, least))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -242,11 +247,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
         row = "_" + row
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     every = stage(sets(numbered.select(F.struct(F.col(key), F.col(row)).alias("id"), F.col(text).alias("text")), words), "sets")
-    firsts = every.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"), F.any_value("wide").alias("wide"))
+    firsts = every.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     distinct = stage(firsts, "distinct")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        rows = distinct.join(wanted, "fp").select("fp", F.col(f"first.{row}").alias(row))
+        # Staged, so that its size is known: few rows are broadcast and the texts stay where they are.
+        rows = stage(distinct.join(wanted, "fp").select("fp", F.col(f"first.{row}").alias(row)), "wanted")
         return numbered.select(row, F.col(text).alias("text")).join(rows, row).select("fp", "text")
 
     got = answered(every.select("id", "fp"), distinct.select("fp", "first", "n"), links(distinct, texts, words, least))
