@@ -42,7 +42,7 @@ def plain_seen(t):
     return hits
 
 
-def plain_new(texts, values=3, share=600, score=500, rounds=3):
+def plain_new(texts, values=3, share=600, score=300, rounds=3):
     members, kinds, degree = {}, {}, {}
     for t in texts:
         for _, _, v, kind, patterns in plain_seen(t):
@@ -62,7 +62,8 @@ def plain_new(texts, values=3, share=600, score=500, rounds=3):
         fresh = {}
         for v, ps in degree.items():
             if v not in kinds:
-                scored = [(-(sum(trust.get((p, k), 0) for p in ps) // len(ps)), k) for k in range(4)]
+                ps = [p for p in ps if len(members[p]) >= values]
+                scored = [(-(sum(trust.get((p, k), 0) for p in ps) // max(1, len(ps))), k) for k in range(4)]
                 if -min(scored)[0] >= score:
                     fresh[v] = min(scored)[1]
         if not fresh:
@@ -95,13 +96,15 @@ def test_patterns_find_unseen_values(spark):
     rng = random.Random(8)
     card = lambda: next(d for d in iter(lambda: "".join(rng.choices("0123456789", k=16)), "") if luhn(d))
     rows = [f"please ring me on +1 555 {rng.randint(1000000, 9999999)} after lunch" for _ in range(12)]
-    rows += ["please ring me on 555-0199-221 after lunch", "Please ring ME on 555-0134-887 after noon", "the desk line 555-0134-887 is free", "ask the desk line 555-0177-331 is best"]
-    rows += [f"desk line 555-01{k}-100 is open" for k in range(30, 33)]
+    rows += ["please ring me on 555-0199-221 after lunch", "the desk line 555-0134-887 is free"]
+    for k in range(4):  # found by the first context, they make the second one trusted
+        rows += [f"Please ring ME on 555-013{k}-887 after noon", f"the desk line 555-013{k}-887 is free"]
+    rows += ["ask the desk line 555-0177-331 is best"]
     rows += [f"pay by card {card()} now" for _ in range(4)] + ["pay by card 1234567890123456 now"]
     rows += [f"order number {rng.randint(10**6, 10**7)} was sent" for _ in range(20)] + ["order number +1 555 1234567 was sent"]
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
     new = plain_new(rows)
-    assert new["555-0199-221"] == new["555-0134-887"] == 3 and new["1234567890123456"] == 2 and not any(v.isdigit() and len(v) == 7 for v in new)
+    assert new["555-0199-221"] == new["555-0133-887"] == new["555-0177-331"] == 3 and new["1234567890123456"] == 2 and not any(v.isdigit() and len(v) == 7 for v in new)
     got = {r.doc_id: spans(r.spans) for r in P.scan(df).collect()}
     assert got == {i: plain_spans(t, new) for i, t in enumerate(rows)}
     twice = {r.doc_id: spans(r.spans) for r in P.scan(df.unionByName(df)).collect()}

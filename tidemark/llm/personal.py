@@ -5,8 +5,8 @@
    written once; texts stay behind.
 2. Occurrences make a graph of lexical patterns (two words before; one before and one after) and values. Values of a base kind are seeds.
 3. In each round a pattern is scored for a kind by the share of its distinct values that have that kind; ``values`` of them and a share of
-   ``share`` make it confident. A value without a kind is scored by the mean over all its patterns; from ``score`` on it takes the
-   best kind (ties: the first listed) and is a seed of the next round. Scores are whole thousandths, so they do not depend on the order.
+   ``share`` make it confident. A value without a kind is scored by the mean over those of its patterns that ``values`` values share; from
+   ``score`` on it takes the best kind (ties: the first listed) and is a seed of the next round. Scores are whole thousandths, so they do not depend on the order.
 4. Occurrences of values that were found so become spans of kind ``context_`` and the kind, unless they touch a base span. Base spans stay.
 
 Patterns and values shrink to distinct pairs in each task before anything is shuffled, so a frequent one costs no more than its
@@ -33,9 +33,10 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 #: The same matches without going back and without a second look at a run of characters: a match starts where such a run or the search does.
+STARTS = (r"(?:\G|(?<![A-Za-z0-9._%+-]))", r"(?:\G|(?<![0-9]))", "", "")
 STEADY = (
-    r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    STARTS[0] + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    STARTS[1] + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     r"[0-9]++(?:[\x20-][0-9]++)*+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
@@ -55,7 +56,7 @@ def digits(value: Column) -> Column:
 
 def valid(kind: int, value: Column) -> Column:
     n = F.length(digits(value))
-    return [F.lit(True), value.rlike(ADDRESS), n.between(12, 19) & F.luhn_check(digits(value)), n.between(9, 15)][kind]
+    return [F.lit(True), value.rlike(ADDRESS), n.between(12, 19) & F.call_function("luhn_check", digits(value)), n.between(9, 15)][kind]
 
 
 def marked(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
@@ -75,11 +76,21 @@ def marked(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
     return df.withColumn(name, F.when(some, F.transform("_hit", span)).otherwise(none)).drop("_hit", "_gap", "_len", "_stop")
 
 
+def base_spans(found: Column, kind: int) -> Column:
+    """The matches of a kind that are valid, as array<struct<start, kind, stop>>."""
+    good = F.filter(found, lambda s: valid(kind, s["value"]))
+    return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
+
+
+def number_of(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def kind_of(value: Column) -> Column:
     """Number of the base kind of a whole value, -1 for none."""
     out = F.lit(-1)
     for k in reversed(range(len(KINDS))):
-        out = F.when(value.rlike(f"^(?:{PATTERNS[k]})$") & valid(k, value), k).otherwise(out)
+        out = F.when(value.rlike(f"^{STEADY[k].removeprefix(STARTS[k])}$") & valid(k, value), k).otherwise(out)
     return out
 
 
@@ -98,8 +109,7 @@ def scanned(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     base = []
     for k, pattern in enumerate(STEADY):
         df = marked(df, "_text", pattern, f"_{KINDS[k]}")
-        found = F.filter(f"_{KINDS[k]}", lambda s, k=k: valid(k, s["value"]))
-        base.append(F.transform(found, lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop"))))
+        base.append(base_spans(F.col(f"_{KINDS[k]}"), k))
     df = marked(df, "_text", OCCURRENCE_STEADY, "_any")
     named = F.filter("_any", lambda s: s["value"].contains("@") | (F.length(digits(s["value"])) >= least))
     seen = F.transform(
@@ -112,8 +122,8 @@ def discovered(edges: DataFrame, values: int, share: int, score: int, rounds: in
     """(digest, kind) of values without a base kind that confident patterns give one; ``edges`` are distinct (pattern, digest, kind)."""
     labels = edges.where("kind >= 0").select("digest", "kind").distinct()
     total = edges.groupBy("pattern").agg(F.count("*").alias("total")).where(F.col("total") >= values)
-    degree = edges.where("kind < 0").groupBy("digest").agg(F.count("*").alias("degree"))
-    open_ = stage(edges.where("kind < 0").select("pattern", "digest").join(degree, "digest"), "open")
+    unknown = edges.where("kind < 0").select("pattern", "digest").join(total.select("pattern"), "pattern")
+    open_ = stage(unknown.join(unknown.groupBy("digest").agg(F.count("*").alias("degree")), "digest"), "open")
     links, new = edges.select("pattern", "digest"), None
     for _ in range(rounds):
         hits = links.join(labels, "digest").groupBy("pattern", "kind").agg(F.count("*").alias("hits")).where(F.col("hits") >= values)
@@ -129,7 +139,7 @@ def discovered(edges: DataFrame, values: int, share: int, score: int, rounds: in
     return new if new is not None else labels.limit(0)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 4, values: int = 3, share: int = 600, score: int = 500, rounds: int = 3) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 4, values: int = 3, share: int = 600, score: int = 300, rounds: int = 3) -> DataFrame:
     """Key, ``base`` and ``spans`` (arrays of start, kind number in ``NAMES``, stop) of every row."""
     found = scanned(docs, key, text, least)
     some = F.size("_seen") > 0
@@ -152,7 +162,7 @@ def written(spans: Column) -> Column:
 
 def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    count = [number_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return got.select("doc_id", *count, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
@@ -177,7 +187,7 @@ def oracle() -> str:
   hits{r} AS (SELECT p, kind, count(*) AS hits FROM edges JOIN label{r} USING (v) GROUP BY p, kind),
   trust{r} AS (SELECT p, kind, 1000 * hits // total AS m FROM hits{r} JOIN total USING (p) WHERE hits >= 3 AND 1000 * hits // total >= 600),
   fresh{r} AS (SELECT v, arg_min(kind, -score * 10 + kind) AS kind FROM (SELECT v, kind, sum(m)::BIGINT // degree AS score FROM edges JOIN trust{r} USING (p) JOIN degree USING (v)
-    WHERE v NOT IN (SELECT v FROM label{r}) GROUP BY v, kind, degree) WHERE score >= 500 GROUP BY v),
+    WHERE v NOT IN (SELECT v FROM label{r}) GROUP BY v, kind, degree) WHERE score >= 300 GROUP BY v),
   label{r + 1} AS (SELECT * FROM label{r} UNION ALL SELECT * FROM fresh{r})"""
     base = " UNION ALL ".join(f"SELECT rid, {k} AS k, start, stop FROM {KINDS[k]} WHERE {ok[k]}" for k in range(4))
     counts = ", ".join(f"count(*) FILTER (k = {k}) AS n_{KINDS[k]}" for k in range(4))
@@ -187,7 +197,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
   s AS (SELECT rid, start, stop, v, CASE {kind} ELSE -1 END AS kind, {lower.format(f'right(g, {REACH})')} AS before, {lower.format(f'left(a, {REACH})')} AS after FROM seen WHERE contains(v, '@') OR length({plain}) >= 4),
   near AS (SELECT v, kind, regexp_extract(before, '{BEFORE}', 1) AS w2, regexp_extract(before, '{BEFORE}', 2) AS w1, regexp_extract(after, '{AFTER}', 1) AS w0 FROM s),
   edges AS (SELECT 'before ' || w2 || ' ' || w1 AS p, v, kind FROM near WHERE w1 <> '' UNION SELECT 'around ' || w1 || ' ' || w0, v, kind FROM near WHERE w1 <> '' AND w0 <> ''),
-  total AS (SELECT p, count(*) AS total FROM edges GROUP BY p), degree AS (SELECT v, count(*) AS degree FROM edges GROUP BY v),
+  total AS (SELECT p, count(*) AS total FROM edges GROUP BY p), degree AS (SELECT v, count(*) AS degree FROM edges JOIN total USING (p) WHERE total >= 3 GROUP BY v),
   label0 AS (SELECT DISTINCT v, kind FROM (SELECT v, kind FROM edges WHERE kind >= 0)){rounds.replace('edges JOIN label', '(SELECT p, v FROM edges) JOIN label').replace('FROM edges JOIN trust', 'FROM (SELECT p, v FROM edges) JOIN trust')},
   base AS ({base}),
   extra AS (SELECT rid, l.kind + 4 AS k, start, stop FROM s JOIN label3 l USING (v) WHERE s.kind < 0 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = s.rid AND b.start < s.stop AND b.stop > s.start)),

@@ -31,25 +31,34 @@ LIVE = "live"
 KINDS = (*(k for k, _, _ in BASE), LIVE)
 #: Candidate values: long tokens; of these, the ones that hold a letter and a digit.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-GROUP = 256
+GROUP = 64
 MARK = "[SECRET]"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(values: Column, step, zero: Column) -> Column:
     """For each place of an array, ``step`` folded over the values before it; in groups, so long arrays stay cheap."""
 
     def fold(part: Column) -> Column:
         return F.aggregate(part, zero, step)
 
+    def part(g: Column) -> Column:
+        return F.slice(values, g * GROUP + 1, F.lit(GROUP))
+
     n = F.size(values)
-    groups = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int")), lambda g: fold(F.slice(values, g * GROUP + 1, F.lit(GROUP))))
+    numbers = F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int"))
 
-    def group(g: Column) -> Column:
-        base = fold(F.slice(groups, F.lit(1), g))
-        own = F.slice(values, g * GROUP + 1, F.lit(GROUP))
+    def within(base: Column, own: Column) -> Column:
         return F.transform(own, lambda _, i: step(base, fold(F.slice(own, F.lit(1), i))))
 
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / GROUP).cast("int")), group))).otherwise(F.array().cast("array<int>"))
+    def every(groups: Column) -> Column:
+        return F.flatten(F.transform(numbers, lambda g: let(fold(F.slice(groups, F.lit(1), g)), lambda base: let(part(g), lambda own: within(base, own)))))
+
+    return F.when(n > 0, let(F.transform(numbers, lambda g: fold(part(g))), every)).otherwise(F.array().cast("array<int>"))
 
 
 def located(df: DataFrame, text: str, pattern: str, name: str) -> DataFrame:
