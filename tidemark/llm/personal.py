@@ -42,9 +42,8 @@ STEADY = (
 )
 PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 ADDRESS = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
-#: An occurrence: a value that looks like one of the kinds, or a token of identifier characters.
-OCCURRENCE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}|[A-Za-z0-9@._%+/#-]{6,}"
-OCCURRENCE_STEADY = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){11,18}|[A-Za-z0-9@._%+/#-]{6,}+"
+#: An occurrence: a number like a phone's, groups of digits, or a token of identifier characters that begins and ends with a letter or digit.
+OCCURRENCE = r"\+[0-9][\x20().0-9-]+[0-9]|[0-9]{2,6}(?:[\x20-][0-9]{2,6}){2,5}|[A-Za-z0-9+][A-Za-z0-9@._%+/#-]{4,}[A-Za-z0-9]"
 SPACE, INK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 BEFORE, AFTER, REACH = rf"({INK}+){SPACE}+({INK}+){SPACE}*$", rf"^{SPACE}*({INK}+)", 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,7 +109,7 @@ def scanned(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     for k, pattern in enumerate(STEADY):
         df = marked(df, "_text", pattern, f"_{KINDS[k]}")
         base.append(base_spans(F.col(f"_{KINDS[k]}"), k))
-    df = marked(df, "_text", OCCURRENCE_STEADY, "_any")
+    df = marked(df, "_text", OCCURRENCE, "_any")
     named = F.filter("_any", lambda s: s["value"].contains("@") | (F.length(digits(s["value"])) >= least))
     seen = F.transform(
         named, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.md5(s["value"]).alias("digest"), kind_of(s["value"]).alias("kind"), contexts(s["before"], s["after"]).alias("patterns"))
