@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import duration_to_bars
+from tidemark.plans.blocks import first_hit, first_touches
 from tidemark.plans.chunks import Series, over_chunks
 
 
-def first_hit(path: Column, test) -> Column:
-    """1-based place of the first element of ``path`` that passes, null if none does."""
-    return F.nullif(F.array_position(F.transform(path, test), True), F.lit(0))
+#: Horizons up to this many rows are looked through as an array of the next rows; longer ones block by block.
+SHORT = 64
 
 
 def triple_barrier(
@@ -21,19 +21,22 @@ def triple_barrier(
 ) -> DataFrame:
     """1 / -1 for the barrier that one of the next ``horizon`` rows touches first, the upper one on the
     same row; 0 without a touch and for the last ``horizon`` rows."""
-    d = over_chunks(
-        df, series, lambda c: {"_path": F.collect_list(F.struct("high", "low")).over(c.next(horizon))}, after=horizon
-    )
-    up = first_hit(F.col("_path"), lambda p: p["high"] >= F.col("close") * F.lit(1 + profit))
-    down = first_hit(F.col("_path"), lambda p: p["low"] <= F.col("close") * F.lit(1 - stop))
-    d = d.withColumns({"_up": up, "_down": down})
+    upper, lower = F.col("close") * F.lit(1 + profit), F.col("close") * F.lit(1 - stop)
+    if horizon > SHORT:
+        d = first_touches(df, series, horizon, {"_up": ("high", ">=", upper), "_down": ("low", "<=", lower)})
+        whole = F.col("_n") - 1 - F.col("_pos") >= horizon
+    else:
+        d = over_chunks(df, series, lambda c: {"_path": F.collect_list(F.struct("high", "low")).over(c.next(horizon))}, after=horizon)
+        up = first_hit(F.col("_path"), lambda p: p["high"] >= upper)
+        d = d.withColumns({"_up": up, "_down": first_hit(F.col("_path"), lambda p: p["low"] <= lower)})
+        whole = F.size("_path") >= horizon
     label = (
-        F.when(F.size("_path") < horizon, 0)
+        F.when(~whole, 0)
         .when(F.col("_up").isNotNull() & (F.col("_down").isNull() | (F.col("_up") <= F.col("_down"))), 1)
         .when(F.col("_down").isNotNull(), -1)
         .otherwise(0)
     )
-    return d.withColumn(out, label).drop("_path", "_up", "_down")
+    return d.withColumn(out, label).drop("_path", "_up", "_down", "_pos", "_n")
 
 
 def binary_label(label: Column | str = "label") -> Column:

@@ -114,14 +114,14 @@ def regime_extremes(perf: DataFrame, keys: tuple[str, ...] = ("strategy",)) -> D
 
 
 def regime_insights(extremes: DataFrame, name: str = "strategy") -> DataFrame:
-    """Three rule-based lines over all strategies."""
+    """Three rule-based lines over all strategies; a line without ground is left out and made up for at the end. Of tied strategies the first by name."""
     d = extremes.agg(
         F.min(F.when(F.col("consistent"), F.col(name))).alias("steady"),
         F.min(F.when(F.col("unstable"), F.col(name))).alias("shaky"),
         F.mode("best_vol", deterministic=True).alias("best"),
         F.mode("worst_vol", deterministic=True).alias("worst"),
         F.avg("high_vol_sharpe").alias("high"),
-        F.max_by(name, "high_vol_sharpe").alias("high_name"),
+        F.min_by(name, F.when(F.col("high_vol_sharpe").isNotNull(), F.struct((-F.col("high_vol_sharpe")).alias("less"), F.col(name).alias("name")))).alias("high_name"),
         F.max("high_vol_sharpe").alias("high_best"),
     )
     more = F.lit("not enough regime data: use longer back-tests")
@@ -134,7 +134,7 @@ def regime_insights(extremes: DataFrame, name: str = "strategy") -> DataFrame:
     third = F.when(F.col("high") < 0, F.format_string("high volatility hurts (average Sharpe %.3f): adapt features or stops", "high")).when(
         F.col("high").isNotNull(), F.format_string("%s does well in high volatility (Sharpe %.3f): select models by volatility", "high_name", "high_best")
     )
-    lines = F.array(*[F.coalesce(x, more) for x in (first, second, third)])
+    lines = F.slice(F.concat(F.array_compact(F.array(first, second, third)), F.array(more, more, more)), 1, 3)
     return d.select(F.posexplode(lines).alias("rank", "insight")).withColumn("rank", F.col("rank") + 1)
 
 

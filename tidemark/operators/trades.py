@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.labels import first_hit
+from tidemark.operators.labels import SHORT
 from tidemark.operators.metrics import trade_metrics
-from tidemark.plans.chunks import Chunks, Series, fold, running
+from tidemark.plans.blocks import first_hit, first_touches
+from tidemark.plans.chunks import Chunks, Series, fold, running, same_keys
 from tidemark.session import stage
 
 KEYS = ("symbol", "model")
@@ -42,38 +43,20 @@ def exit_outcomes(bars: DataFrame, series: Series, rules: TradeRules) -> DataFra
     the same bar. Entries that run into the end of the series close at its last bar.
     """
     ts = series.order[0]
-    c = Chunks(bars, series, after=rules.timeout)
-    d = c.close(c.df.withColumn("_path", F.collect_list(F.struct("close", ts)).over(c.next(rules.timeout))))
     up, down = F.lit(1 + rules.take_profit), F.lit(1 - rules.stop_loss)
     if rules.side == "short":
         up, down = F.lit(1 - rules.take_profit), F.lit(1 + rules.stop_loss)
-    above = lambda level: lambda p: p["close"] >= level
-    below = lambda level: lambda p: p["close"] <= level
-    win, lose = (above, below) if rules.side == "long" else (below, above)
-    d = d.withColumns(
-        {
-            "take_profit": F.col("close") * up,
-            "stop_loss": F.col("close") * down,
-        }
-    )
-    d = d.withColumns(
-        {
-            "_win": first_hit(F.col("_path"), win(F.col("take_profit"))),
-            "_lose": first_hit(F.col("_path"), lose(F.col("stop_loss"))),
-            "_late": F.when(F.size("_path") >= rules.timeout, F.lit(rules.timeout).cast("long")),
-        }
-    )
-    d = d.withColumn("_held", F.least("_win", "_lose", "_late"))
+    bars = bars.withColumns({"take_profit": F.col("close") * up, "stop_loss": F.col("close") * down})
+    win, lose = (">=", "<=") if rules.side == "long" else ("<=", ">=")
+    d = _long_exits(bars, series, rules.timeout, win, lose) if rules.timeout > SHORT else _short_exits(bars, series, rules.timeout, win, lose)
     reason = (
         F.when(F.col("_held").isNull(), "market_close")
         .when(F.col("_held") == F.col("_win"), "take_profit")
         .when(F.col("_held") == F.col("_lose"), "stop_loss")
         .otherwise("timeout")
     )
-    held = F.coalesce("_held", F.size("_path").cast("long"))
-    last = F.when(held > 0, F.element_at("_path", F.greatest(held, F.lit(1)).cast("int")))
     sign = 1.0 if rules.side == "long" else -1.0
-    d = d.withColumns({"exit_reason": reason, "bars_held": held, "_x": last})
+    d = d.withColumns({"exit_reason": reason, "bars_held": F.coalesce("_held", "_left")})
     d = d.withColumns({"exit_price": F.coalesce("_x.close", "close"), "exit_ts": F.coalesce(F.col("_x")[ts], F.col(ts))})
     return d.select(
         *series.keys, F.col(ts).alias("entry_ts"), "exit_ts", F.lit(rules.side).alias("side"), F.col("close").alias("entry_price"),
@@ -82,6 +65,30 @@ def exit_outcomes(bars: DataFrame, series: Series, rules: TradeRules) -> DataFra
     )
 
 
+def _short_exits(bars: DataFrame, series: Series, timeout: int, win: str, lose: str) -> DataFrame:
+    """``_win`` and ``_lose``, how many bars ahead the levels are reached, ``_held``, ``_left`` (bars ahead to the time-out or the end), and the exit bar ``_x``."""
+    ts = series.order[0]
+    c = Chunks(bars, series, after=timeout)
+    d = c.close(c.df.withColumn("_path", F.collect_list(F.struct("close", ts)).over(c.next(timeout))))
+    reached = {">=": lambda level: lambda p: p["close"] >= level, "<=": lambda level: lambda p: p["close"] <= level}
+    d = d.withColumns({"_win": first_hit(F.col("_path"), reached[win](F.col("take_profit"))), "_lose": first_hit(F.col("_path"), reached[lose](F.col("stop_loss")))})
+    left = F.size("_path").cast("long")
+    d = d.withColumns({"_held": F.least("_win", "_lose", F.when(left >= timeout, F.lit(timeout).cast("long"))), "_left": left})
+    held = F.coalesce("_held", "_left")
+    return d.withColumn("_x", F.when(held > 0, F.element_at("_path", F.greatest(held, F.lit(1)).cast("int"))))
+
+
+def _long_exits(bars: DataFrame, series: Series, timeout: int, win: str, lose: str) -> DataFrame:
+    """The same for long time-outs; the exit bar is met by its place in the series."""
+    ts, keys = series.order[0], list(series.keys)
+    d = first_touches(bars, series, timeout, {"_win": ("close", win, F.col("take_profit")), "_lose": ("close", lose, F.col("stop_loss"))})
+    left = F.least(F.lit(timeout).cast("long"), F.col("_n") - 1 - F.col("_pos"))
+    d = d.withColumns({"_held": F.least("_win", "_lose", F.when(left >= timeout, F.lit(timeout).cast("long"))), "_left": left})
+    d = stage(d.withColumn("_to", F.col("_pos") + F.coalesce("_held", "_left")), "exits")
+    last = d.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_pos").alias("_at"), F.struct("close", ts).alias("_x"))
+    return d.join(last, same_keys(d, last, [(k, f"_k{i}") for i, k in enumerate(keys)]) & (d["_to"] == last["_at"]))
+
+
 def candidate_trades(bars: DataFrame, predictions: DataFrame, series: Series, rules: TradeRules) -> DataFrame:
     """Outcomes are computed once per bar and joined to the candidates of every model."""
     picks = entry_candidates(predictions, rules.threshold).select(*series.keys, F.col(series.order[0]).alias("entry_ts"), "model", "prob")

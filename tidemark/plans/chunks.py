@@ -82,7 +82,7 @@ def _bucket(df: DataFrame, level: Level) -> Column:
     return F.floor(F.greatest(F.least(value, F.lit(_CLAMP)), F.lit(-_CLAMP)))
 
 
-def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+def same_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     cond = None
     for a, b in pairs:
         c = left[a].eqNullSafe(right[b])
@@ -111,7 +111,7 @@ def _bucket_table(df: DataFrame, s: Series, aggs: list[Column]) -> tuple[DataFra
             break
         group = [*keys, *names]
         hot = hot.select(*[F.col(c).alias(f"_h{j}") for j, c in enumerate(group)], F.lit(True).alias("_hot"))
-        joined = rows.join(hot, _same(rows, hot, [(c, f"_h{j}") for j, c in enumerate(group)]), "left")
+        joined = rows.join(hot, same_keys(rows, hot, [(c, f"_h{j}") for j, c in enumerate(group)]), "left")
         rows = joined.select(*[rows[c] for c in rows.columns], F.when(F.col("_hot"), _bucket(df, level)).alias(f"_b{i}"), "_hot")
         done.append(table.filter(F.col("_n") <= limit))
         names.append(f"_b{i}")
@@ -209,7 +209,7 @@ class Chunks:
         sums = [_bucket_aggregate(how, value, series).alias(f"_a_{n}") for n, (how, value) in self.carry.items()]
         rows, table, buckets = _bucket_table(df, series, sums)
         m = self.map = chunk_map(table, buckets, series, before, after, self.carry)
-        on = _same(rows, m, [(c, f"_k{i}") for i, c in enumerate([*series.keys, *buckets])])
+        on = same_keys(rows, m, [(c, f"_k{i}") for i, c in enumerate([*series.keys, *buckets])])
         self.df = rows.join(m, on).select(
             *[rows[c] for c in df.columns], *[m[c] for c in (*_INTERNAL, *self.carried)]
         )
@@ -339,7 +339,7 @@ def affine_scan(
     long = ends.select(*keys, "_chunk", "_e._A", "_e._B", F.max("_chunk").over(Window.partitionBy(*keys)).alias("_last"))
     starts = long.filter(F.col("_last") > 0).drop("_last").groupBy(*keys).applyInPandas(start_values, start_schema)
     starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_kc", "_y0")
-    on = _same(solved, starts, [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_chunk", "_kc")])
+    on = same_keys(solved, starts, [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_chunk", "_kc")])
     return solved.join(starts, on, "left").select(
         *[solved[x] for x in keep], (F.col("_A") * F.coalesce("_y0", F.lit(0.0)) + F.col("_B")).alias(out)
     )

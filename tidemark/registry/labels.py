@@ -21,14 +21,18 @@ def label_out():
     return F.col("y").cast("double").alias("y")
 
 
-BARRIER = {
-    "hits": f"""SELECT t.symbol, t.ts, t.rn, t.cnt,
-        min(CASE WHEN f.high >= t.close * (1 + {UP}::DOUBLE) THEN f.rn END) AS up,
-        min(CASE WHEN f.low <= t.close * (1 - {DOWN}::DOUBLE) THEN f.rn END) AS down
-      FROM ret t LEFT JOIN ret f ON f.symbol = t.symbol AND f.rn BETWEEN t.rn + 1 AND t.rn + {H} GROUP BY ALL""",
-    "lab": f"""SELECT symbol, ts, CAST(CASE WHEN rn > cnt - {H} THEN 0 WHEN up IS NOT NULL AND (down IS NULL OR up <= down) THEN 1
+def barrier_sql(horizon: int, up: float, down: float) -> dict[str, str]:
+    return {
+        "hits": f"""SELECT t.symbol, t.ts, t.rn, t.cnt,
+        min(CASE WHEN f.high >= t.close * (1 + {up}::DOUBLE) THEN f.rn END) AS up,
+        min(CASE WHEN f.low <= t.close * (1 - {down}::DOUBLE) THEN f.rn END) AS down
+      FROM ret t LEFT JOIN ret f ON f.symbol = t.symbol AND f.rn BETWEEN t.rn + 1 AND t.rn + {horizon} GROUP BY ALL""",
+        "lab": f"""SELECT symbol, ts, CAST(CASE WHEN rn > cnt - {horizon} THEN 0 WHEN up IS NOT NULL AND (down IS NULL OR up <= down) THEN 1
         WHEN down IS NOT NULL THEN -1 ELSE 0 END AS INTEGER) AS label FROM hits""",
-}
+    }
+
+
+BARRIER = barrier_sql(H, UP, DOWN)
 SIGN = {"sgn": f"""SELECT *, CASE WHEN lead(close, {H}) OVER (PARTITION BY symbol ORDER BY ts) IS NOT NULL
     THEN CAST(lead(close, {H}) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 > 0 AS INTEGER) END AS y FROM ret"""}
 SPLIT_CASE = """CASE WHEN rn <= floor(cnt * 0.6::DOUBLE) THEN 'train'
@@ -41,6 +45,12 @@ def l1(spark, sf):
     return L.triple_barrier(bars(spark, sf), S, H, UP, DOWN).select("symbol", "ts", "label")
 
 
+@query("l1_long_horizon", with_views("ret", "SELECT symbol, ts, label FROM lab", barrier_sql(120, 0.5, 0.3)))
+def l1_long(spark, sf):
+    """Barriers far away, over more rows than an array for each row would hold in reason: block by block."""
+    return L.triple_barrier(bars(spark, sf), S, 120, 0.5, 0.3).select("symbol", "ts", "label")
+
+
 @query("l2_binary_label", with_views("ret", "SELECT symbol, ts, CAST(label = 1 AS INTEGER) AS y FROM lab", BARRIER))
 def l2(spark, sf):
     d = L.triple_barrier(bars(spark, sf), S, H, UP, DOWN)

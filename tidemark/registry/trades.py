@@ -15,14 +15,14 @@ RULES = B.TradeRules(threshold=0.6, take_profit=0.02, stop_loss=0.01, timeout=12
 PC, CM, CAP = RULES.position_size, RULES.commission, RULES.initial_capital
 
 
-def exits_sql(side: str) -> dict[str, str]:
-    up, down = ("1.02::DOUBLE", "0.99::DOUBLE") if side == "long" else ("0.98::DOUBLE", "1.01::DOUBLE")
+def exits_sql(side: str, profit: str = "0.02", stop: str = "0.01", timeout: int = 12) -> dict[str, str]:
+    up, down = (f"(1 + {profit}::DOUBLE)", f"(1 - {stop}::DOUBLE)") if side == "long" else (f"(1 - {profit}::DOUBLE)", f"(1 + {stop}::DOUBLE)")
     win, lose = (">=", "<=") if side == "long" else ("<=", ">=")
     ret = "(x.close - h.close) / h.close" if side == "long" else "(h.close - x.close) / h.close"
     return {
         "hit": f"""SELECT t.symbol, t.ts, t.close, t.rn, t.cnt, min(CASE WHEN f.close {win} t.close * {up} THEN f.rn END) AS w,
-          min(CASE WHEN f.close {lose} t.close * {down} THEN f.rn END) AS l, CASE WHEN t.rn + 12 <= t.cnt THEN t.rn + 12 END AS o
-          FROM ret t LEFT JOIN ret f ON f.symbol = t.symbol AND f.rn BETWEEN t.rn + 1 AND t.rn + 12 GROUP BY ALL""",
+          min(CASE WHEN f.close {lose} t.close * {down} THEN f.rn END) AS l, CASE WHEN t.rn + {timeout} <= t.cnt THEN t.rn + {timeout} END AS o
+          FROM ret t LEFT JOIN ret f ON f.symbol = t.symbol AND f.rn BETWEEN t.rn + 1 AND t.rn + {timeout} GROUP BY ALL""",
         "ex": f"""SELECT h.symbol, h.ts AS entry_ts, h.close AS entry_price, h.rn AS rn, x.rn AS xrn, x.ts AS exit_ts, x.close AS exit_price,
           x.rn - h.rn AS bars_held, {ret} AS return_pct, CASE WHEN w IS NULL AND l IS NULL AND o IS NULL THEN 'market_close'
             WHEN w <= least(w, l, o) THEN 'take_profit' WHEN l <= least(w, l, o) THEN 'stop_loss' ELSE 'timeout' END AS exit_reason
@@ -59,17 +59,20 @@ def b1(spark, sf):
     return B.entry_candidates(predictions(spark, sf), 0.6).select("symbol", "ts", "model", "prob")
 
 
-def _exits(name: str, side: str):
-    @query(name, with_views("ret", f"SELECT symbol, entry_ts, exit_ts, bars_held, exit_reason, {R_list(['entry_price', 'exit_price', 'return_pct'])} FROM ex", exits_sql(side)))
+def _exits(name: str, side: str, profit: float = 0.02, stop: float = 0.01, timeout: int = 12):
+    sql = exits_sql(side, str(profit), str(stop), timeout)
+
+    @query(name, with_views("ret", f"SELECT symbol, entry_ts, exit_ts, bars_held, exit_reason, {R_list(['entry_price', 'exit_price', 'return_pct'])} FROM ex", sql))
     def run(spark, sf):
         from dataclasses import replace
 
-        d = B.exit_outcomes(bars(spark, sf), S, replace(RULES, side=side))
+        d = B.exit_outcomes(bars(spark, sf), S, replace(RULES, side=side, take_profit=profit, stop_loss=stop, timeout=timeout))
         return rounded(d, ["symbol", "entry_ts", "exit_ts", "bars_held", "exit_reason"], ["entry_price", "exit_price", "return_pct"])
 
 
 _exits("b2_exit_outcome", "long")
 _exits("b2_exit_outcome_short", "short")
+_exits("b2_exit_outcome_long_timeout", "long", 0.6, 0.4, 150)
 
 
 @query("b3_non_overlapping", with_views("ret predictions", "SELECT symbol, model, entry_ts, exit_ts, exit_reason FROM chain", CHAIN, recursive=True))
