@@ -17,7 +17,7 @@ from tidemark.registry.tables import BAR_SERIES as S
 from tidemark.registry.trades import SUMMARY
 from tidemark.registry.tables import bars, bars_dirty, equity, events_as_ticks, predictions, read, ticks, trades, with_views
 from tidemark.session import checkpoint_dir
-from tidemark.sources import readers, writers
+from tidemark.sources import quarantine, readers, writers
 
 KEYS = ["symbol", "ts"]
 OHLCV = ["open", "high", "low", "close", "volume"]
@@ -35,6 +35,27 @@ def s1(spark, sf):
     return rounded(readers.read_bars(spark, path), KEYS, OHLCV)
 
 
+def bar_lines(spark, sf):
+    """Bars as CSV lines; every 11th has a word for its close, every 13th is cut off, every 17th has a field too many."""
+    n = F.expr("unix_seconds(ts) div 3600 % 100000")
+    cells = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), *[F.format_string("%.4f", c) for c in OHLCV]]
+    cells[4] = F.when(n % 11 == 0, "n/a").otherwise(cells[4])
+    line = F.when(n % 13 == 0, F.concat_ws(",", *cells[:3])).when(n % 17 == 0, F.concat_ws(",", *cells, F.lit("x"))).otherwise(F.concat_ws(",", *cells))
+    return bars(spark, sf).select(line.alias("value"))
+
+
+BAR_PROBLEM = """CASE WHEN n % 13 = 0 THEN 'fields missing' WHEN n % 17 = 0 THEN 'too many fields' WHEN n % 11 = 0 THEN 'wrong type' ELSE 'none' END"""
+
+
+@query("s1_rejected_lines", with_views("bars", f"SELECT {BAR_PROBLEM} AS problem, count(*) AS n FROM (SELECT CAST(epoch(ts) AS BIGINT) // 3600 % 100000 AS n FROM bars) GROUP BY 1"))
+def s1b(spark, sf):
+    path, kept = scratch(spark, "csv"), scratch(spark, "rejected")
+    bar_lines(spark, sf).write.text(path)
+    good, bad = quarantine.read_bars_checked(spark, path)
+    quarantine.keep_rejected(bad, kept)
+    return quarantine.rejected_counts(spark, kept).select("problem", "n").unionByName(good.agg(F.count("*").alias("n")).select(F.lit("none").alias("problem"), "n"))
+
+
 @query("s2_check_bar_integrity", with_views("dirty", """SELECT count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < open) AS high_below_open, count(*) FILTER (high < close) AS high_below_close,
     count(*) FILTER (low > open) AS low_above_open, count(*) FILTER (low > close) AS low_above_close, count(*) FILTER (volume < 0) AS negative_volume FROM dirty"""))
 def s2(spark, sf):
@@ -43,6 +64,11 @@ def s2(spark, sf):
 
 def kline_lines(spark, sf):
     """Ticks as kline messages of one minute; every tenth stays open, every 50th line is cut off."""
+    return kline_texts(spark, sf).select("value")
+
+
+def kline_texts(spark, sf):
+    """The messages with the number of their tick."""
     t = ticks(spark, sf)
     ms = F.unix_millis(F.date_trunc("minute", "ts"))
     num = lambda c: F.format_string("%.6f", c)
@@ -52,7 +78,7 @@ def kline_lines(spark, sf):
     )
     text = F.to_json(F.struct(F.lit("kline").alias("e"), F.unix_millis("ts").alias("E"), F.col("symbol").alias("s"), body.alias("k")))
     text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"stream":"x","data":'), text, F.lit("}"))).otherwise(text)
-    return t.select(F.when(F.col("event_id") % 50 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value"))
+    return t.select("event_id", F.when(F.col("event_id") % 50 == 0, F.substring(text, 1, 40)).otherwise(text).alias("value"))
 
 
 KL = {"kl": """SELECT symbol, date_trunc('minute', ts) AS ts, round(px, 6) AS open, qty AS volume, event_id, epoch_ms(ts) AS ms FROM ticks WHERE event_id % 50 <> 0""",
@@ -75,6 +101,37 @@ def s3b(spark, sf):
     return d.select("symbol", "ts", r("close", 6).alias("close"), "volume")
 
 
+BROKEN = {11: "no start time", 12: "wrong type", 13: "fields missing", 14: "impossible values", 15: "other event", 16: "no kline", 17: "empty"}
+
+
+def broken_klines(spark, sf):
+    """The kline messages of ticks, some of them with a field of the wrong type, without one, of another event or of no sense."""
+    v, case = F.col("value"), F.col("event_id") % 23
+    v = (
+        F.when(case == 11, F.regexp_replace(v, '"t":[0-9]+', '"t":"soon"'))
+        .when(case == 12, F.regexp_replace(v, '"o":"[^"]*"', '"o":"high"'))
+        .when(case == 13, F.regexp_replace(v, '"v":"[^"]*",', ""))
+        .when(case == 14, F.regexp_replace(v, '"l":"[^"]*"', '"l":"1e300"'))
+        .when(case == 15, F.regexp_replace(v, '"e":"kline"', '"e":"trade"'))
+        .when(case == 16, F.lit('{"result":null,"id":1}'))
+        .when(case == 17, F.lit(""))
+        .otherwise(v)
+    )
+    return kline_texts(spark, sf).select(v.alias("value"))
+
+
+CASES = " ".join(f"WHEN event_id % 23 = {k} THEN '{v}'" for k, v in BROKEN.items())
+
+
+@query("s3_rejected_klines", with_views("ticks", f"""SELECT problem, count(*) AS n FROM (SELECT CASE WHEN event_id % 23 IN (16, 17) THEN CASE {CASES} END
+    WHEN event_id % 50 = 0 THEN 'broken json' {CASES} WHEN px <= 0 OR qty < 0 THEN 'impossible values' END AS problem FROM ticks) WHERE problem IS NOT NULL GROUP BY 1"""))
+def s3c(spark, sf):
+    path, kept = scratch(spark, "klines"), scratch(spark, "rejected")
+    broken_klines(spark, sf).write.text(path)
+    quarantine.keep_rejected(quarantine.rejected_klines(quarantine.read_lines(spark, path)), kept)
+    return quarantine.rejected_counts(spark, kept).select("problem", "n")
+
+
 @query("s4_read_klines_flat", with_views("bars", f"SELECT symbol, ts, {R_list(OHLCV)} FROM bars"))
 def s4(spark, sf):
     path = scratch(spark, "flat")
