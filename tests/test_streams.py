@@ -12,8 +12,10 @@ from tests.test_operators import make_bars, rows
 from tidemark.operators.windows import LOOKBACK, feature_matrix
 from tidemark.plans.chunks import Series
 from tidemark.schemas import BARS
+from tidemark.streaming import feeds
 from tidemark.streaming.features import FeatureStream
-from tidemark.streaming.state import EpochTable, HighWater
+from tidemark.streaming.state import EpochTable
+from tidemark.streaming.stateful import drop_late, latest_rows
 
 SCHEMA = "symbol string, ts timestamp, x int"
 
@@ -29,20 +31,61 @@ def test_feed_keeps_rows_of_any_time(spark):
     assert sorted(r.x for r in out.all(spark).collect()) == sorted(x for _, _, x in rows)
 
 
-def test_high_water_drops_late_rows_and_repeats_an_epoch(spark):
-    schema = spark.createDataFrame([], SCHEMA).schema
-    seen, out = HighWater(spark, scratch(spark, "seen"), schema), EpochTable(spark, scratch(spark, "fresh"), schema)
+def fed(spark, df, through, name, slices, mode="update", restart=()):
+    """Rows of a query that gets the slices one after the other; a new query goes on from the checkpoint each time. Slices in ``restart`` fail once in the sink first."""
+    path, checkpoint, got, failed = scratch(spark, name), scratch(spark, "stream"), {}, set()
+    df.limit(0).write.parquet(path)
 
-    def each(rows, epoch):
-        batch = spark.createDataFrame(rows, SCHEMA)
-        out.write(seen.fresh(batch, epoch), epoch)
-        seen.store(out.at(spark, epoch), epoch)
+    def each(batch, epoch):
+        got[epoch] = batch.collect()
+        if epoch in restart and epoch not in failed:
+            failed.add(epoch)
+            raise RuntimeError("lost")
 
-    each([("a", at(5), 1), ("b", at(1), 2)], 0)
-    for _ in range(2):  # the second run is the same epoch again
-        each([("a", at(4), 3), ("a", at(6), 4), ("b", at(2), 5), ("b", at(2), 5), ("c", at(0), 6)], 1)
-    each([("a", at(6), 7), ("c", at(1), 8)], 2)
-    assert sorted(r.x for r in out.all(spark).collect()) == [1, 2, 4, 5, 6, 8]
+    for rows in slices:
+        rows.write.mode("append").parquet(path)
+        for _ in range(2):
+            query = feeds.run_batches(through(spark.readStream.schema(df.schema).parquet(path)), checkpoint, each, mode)
+            try:
+                query.awaitTermination()
+                break
+            except Exception:
+                assert failed
+    return got
+
+
+LATE = [[("a", 5, 1), ("b", 1, 2)], [("a", 4, 3), ("a", 6, 4), ("b", 2, 5), ("b", 2, 5), ("c", 0, 6), ("c", None, 7)], [("a", 6, 7), ("c", 1, 8), ("a", 8, 9), ("a", 7, 10)]]
+
+
+def slices_of(spark):
+    return [spark.createDataFrame([(s, None if d is None else at(d), x) for s, d, x in rows], SCHEMA) for rows in LATE]
+
+
+def test_late_rows_are_told_by_state_that_survives_restarts(spark):
+    parts = slices_of(spark)
+    got = fed(spark, parts[0], drop_late, "late", parts, "append", restart=(1,))
+    assert sorted(r.x for rows in got.values() for r in rows) == [1, 2, 4, 5, 6, 8, 9, 10]
+
+
+def test_ring_of_latest_rows(spark):
+    parts = slices_of(spark)
+    got = fed(spark, parts[0], lambda d: latest_rows(d, 2), "ring", parts, restart=(2,))
+    last = {}
+    for epoch in sorted(got):
+        for r in got[epoch]:
+            last[r.symbol, r["rank"]] = r.x
+    assert last == {("a", 1): 9, ("a", 2): 10, ("b", 1): 5, ("b", 2): 2, ("c", 1): 8, ("c", 2): 6}
+
+
+def test_silent_keys_expire(spark):
+    """With a time to live of nothing, a late row of the next trigger counts as new again."""
+    parts = slices_of(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        got = fed(spark, parts[0], lambda d: drop_late(d, ttl_s=0.001), "ttl", parts, "append")
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert sorted(r.x for rows in got.values() for r in rows) == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
 
 
 def test_features_after_a_long_outage_equal_the_batch(spark):
@@ -50,15 +93,29 @@ def test_features_after_a_long_outage_equal_the_batch(spark):
     p = make_bars({"a": 420, "b": 120})
     a = p.index[p.symbol == "a"]
     p.loc[a[110:330], "close"] = np.nan
-    p.loc[p.symbol == "b", "ts"] = p.loc[p.symbol == "b", "ts"] + pd.Timedelta(minutes=250)
+    p.loc[p.symbol == "b", "ts"] = p.loc[p.symbol == "b", "ts"] + pd.Timedelta(hours=250)
     df = spark.createDataFrame(p).withColumn("close", F.when(~F.isnan("close"), F.col("close"))).select(*BARS.names)
     each = FeatureStream(spark, scratch(spark, "outage"), Series())
-    start = p["ts"].min()
-    cuts = [0, 60, 150, 151, 310, 500]
-    for epoch, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        batch = df.filter((F.col("ts") >= F.lit(start + pd.Timedelta(minutes=low))) & (F.col("ts") < F.lit(start + pd.Timedelta(minutes=high))))
-        for _ in range(2 if epoch == 2 else 1):
-            each(batch, epoch)
+    start, cuts = p["ts"].min(), [0, 60, 150, 151, 310, 500]
+    at_hour = lambda h: F.lit(start + pd.Timedelta(hours=h))
+    parts = [df.filter((F.col("ts") >= at_hour(low)) & (F.col("ts") < at_hour(high))) for low, high in zip(cuts, cuts[1:])]
+    path, checkpoint, failed = scratch(spark, "bars"), scratch(spark, "stream"), []
+    df.limit(0).write.parquet(path)
+
+    def handler(batch, epoch):
+        each(batch, epoch)
+        if epoch == 2 and not failed:
+            failed.append(epoch)
+            raise RuntimeError("lost")
+
+    for rows_of in parts:
+        rows_of.write.mode("append").parquet(path)
+        for _ in range(2):
+            try:
+                feeds.run_batches(each.through(spark.readStream.schema(df.schema).parquet(path)), checkpoint, handler, "update").awaitTermination()
+                break
+            except Exception:
+                assert failed
     got, want = rows(each.read(spark)), rows(feature_matrix(df, Series()))
     assert len(got) == len(want) and LOOKBACK < 220 and got["ema_50"].notna().all()
     for col in [c for c in want.columns if c not in ("symbol", "ts")]:

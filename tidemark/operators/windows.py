@@ -206,13 +206,14 @@ def _ema_starts(c: Chunks, col: str, spans: tuple[int, ...], new: str | None, hi
     fields = [T.StructField(f"_k{i}", d.schema[k].dataType) for i, k in enumerate(keys)] + [T.StructField("_kc", T.IntegerType())]
     schema = T.StructType([*fields, *(T.StructField(f"_{p}{n}", T.DoubleType()) for n in spans for p in "yf")])
 
-    if history is not None:
+    goes_on = history is not None
+    if goes_on:
         ends = ends.join(history, keys, "left")
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
         y, seen, out = {n: None for n in spans}, None, []
-        if history is not None and not pd.isna(pdf["_since"].iloc[0]):
+        if goes_on and not pd.isna(pdf["_since"].iloc[0]):
             y, seen = {n: pdf[f"_h{n}"].iloc[0] for n in spans}, pdf["_begin"].min() - pdf["_since"].iloc[0]
         for row in pdf.to_dict("records"):
             start = {n: (y[n], None) for n in spans}

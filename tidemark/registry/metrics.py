@@ -217,14 +217,14 @@ INSIGHT = {**PERF, "ext": """SELECT strategy, arg_max(regime, sharpe) FILTER (ki
     max(sharpe) FILTER (regime = 'high_vol') AS high, stddev_pop(sharpe) < 0.1 AS consistent, stddev_pop(sharpe) > 0.5 AS unstable FROM perf WHERE kind <> 'combined' GROUP BY 1""",
     "ins": """SELECT min(strategy) FILTER (consistent) AS steady, min(strategy) FILTER (unstable) AS shaky,
     (SELECT best_vol FROM ext GROUP BY 1 ORDER BY count(*) DESC, best_vol LIMIT 1) AS best, (SELECT worst_vol FROM ext GROUP BY 1 ORDER BY count(*) DESC, worst_vol LIMIT 1) AS worst,
-    avg(high) AS high, arg_max(strategy, high) AS high_name, max(high) AS high_best FROM ext"""}
+    avg(high) AS high, arg_min(strategy, struct_pack(less := -high, name := strategy)) FILTER (high IS NOT NULL) AS high_name, max(high) AS high_best FROM ext"""}
 
 
-@query("r5_regime_insights", with_views("er", """SELECT CAST(rank AS INTEGER) AS rank, CASE rank
-      WHEN 1 THEN CASE WHEN steady IS NOT NULL THEN steady || ' is stable across regimes: consider a larger allocation' ELSE 'most strategies do best in ' || best || ': size positions by regime' END
-      WHEN 2 THEN CASE WHEN shaky IS NOT NULL THEN shaky || ' varies much across regimes: review features or combine models' ELSE 'several strategies struggle in ' || worst || ': add features or filters for it' END
-      ELSE CASE WHEN high < 0 THEN format('high volatility hurts (average Sharpe {:.3f}): adapt features or stops', high) ELSE format('{} does well in high volatility (Sharpe {:.3f}): select models by volatility', high_name, high_best) END
-    END AS insight FROM ins, (VALUES (1), (2), (3)) v(rank)""", INSIGHT))
+@query("r5_regime_insights", with_views("er", """SELECT CAST(rank AS INTEGER) AS rank, lines[rank] AS insight FROM (SELECT list_filter([
+      CASE WHEN steady IS NOT NULL THEN steady || ' is stable across regimes: consider a larger allocation' WHEN best IS NOT NULL THEN 'most strategies do best in ' || best || ': size positions by regime' END,
+      CASE WHEN shaky IS NOT NULL THEN shaky || ' varies much across regimes: review features or combine models' WHEN worst IS NOT NULL THEN 'several strategies struggle in ' || worst || ': add features or filters for it' END,
+      CASE WHEN high < 0 THEN format('high volatility hurts (average Sharpe {:.3f}): adapt features or stops', high) WHEN high IS NOT NULL THEN format('{} does well in high volatility (Sharpe {:.3f}): select models by volatility', high_name, high_best) END
+    ], lambda x: x IS NOT NULL) || ['not enough regime data: use longer back-tests', 'not enough regime data: use longer back-tests', 'not enough regime data: use longer back-tests'] AS lines FROM ins), (VALUES (1), (2), (3)) v(rank)""", INSIGHT))
 def r5(spark, sf):
     return G.regime_insights(G.regime_extremes(perf(spark, sf)))
 

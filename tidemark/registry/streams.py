@@ -13,7 +13,7 @@ from tidemark.registry.windows import MATRIX, PREP, sql_ema, sql_rsi
 from tidemark.schemas import BARS
 from tidemark.streaming import feeds
 from tidemark.streaming.features import FeatureStream, signal_stream, stream_gate
-from tidemark.streaming.state import EpochTable, HighWater, RowBuffer
+from tidemark.streaming.stateful import drop_late, latest_rows
 
 PARTS = 4
 
@@ -90,35 +90,24 @@ def st2b(spark, sf):
 @query("st3_drop_late", with_views("bars", f"""SELECT symbol, ts, {R('close')} AS close FROM cut c
     WHERE NOT (slice = 1 AND ts <= (SELECT coalesce(max(ts), TIMESTAMP '0001-01-01') FROM cut x WHERE x.symbol = c.symbol AND x.slice = 2))""", {"cut": sql_slice("bars")}))
 def st3(spark, sf):
-    seen = HighWater(spark, scratch(spark, "seen"), BARS)
-    sink = EpochTable(spark, scratch(spark, "fresh"), BARS)
-
-    def each(batch, epoch):
-        sink.write(seen.fresh(batch, epoch), epoch)
-        seen.store(sink.at(spark, epoch), epoch)
-
-    Feed(spark, bars(spark, sf), "late", order=(0, 2, 1, 3)).batches(each)
-    return rounded(sink.all(spark), ["symbol", "ts"], ["close"])
+    d = Feed(spark, bars(spark, sf), "late", order=(0, 2, 1, 3)).appended(drop_late)
+    return rounded(d, ["symbol", "ts"], ["close"])
 
 
 @query("st4_latest_n", with_views("ret", f"SELECT symbol, ts, CAST(cnt - rn + 1 AS INTEGER) AS rank, {R('close')} AS close FROM ret WHERE cnt - rn < 20"))
 def st4(spark, sf):
-    buffer = RowBuffer(spark, scratch(spark, "buffer"), BARS, size=1000)
-    epochs = []
-
-    def each(batch, epoch):
-        buffer.store(buffer.fresh(batch, epoch), epoch)
-        epochs.append(epoch)
-
-    Feed(spark, bars(spark, sf), "ring").batches(each)
-    return rounded(buffer.latest(spark, max(epochs), 20), ["symbol", "ts", "rank"], ["close"])
+    feed = Feed(spark, bars(spark, sf), "ring")
+    ring = lambda d: latest_rows(d, 20)
+    sink = feeds.UpsertSink(spark, scratch(spark, "latest"), ring(feed.stream()).schema, ("symbol", "rank"))
+    feed.batches(sink, "update", ring)
+    return rounded(sink.read(spark), ["symbol", "ts", "rank"], ["close"])
 
 
 @query("st5_stream_features", with_views(
     "ret", f"SELECT symbol, ts, {', '.join(f'{R(e)} AS {n}' for n, e in MATRIX.items())} FROM prep JOIN e USING (symbol, ts)", {**PREP, "e": sql_ema(digits=None)}))
 def st5(spark, sf):
     each = FeatureStream(spark, scratch(spark, "features"), S)
-    Feed(spark, bars(spark, sf), "bars").batches(each)
+    Feed(spark, bars(spark, sf), "bars").batches(each, "update", each.through)
     return rounded(each.read(spark), ["symbol", "ts"], list(MATRIX))
 
 
@@ -131,7 +120,7 @@ def score(feats):
     FROM (SELECT symbol, ts, rn, coalesce(round(({sql_rsi(14)}) / 100, 6), 0.5) AS prob FROM prep)) WHERE rn >= 50""", PREP))
 def st6(spark, sf):
     each = signal_stream(spark, scratch(spark, "signals"), score)
-    Feed(spark, bars(spark, sf), "bars").batches(each)
+    Feed(spark, bars(spark, sf), "bars").batches(each, "update", each.through)
     return each.read(spark).select("symbol", "ts", "prob", "signal", r("position_size", 8).alias("position_size"))
 
 

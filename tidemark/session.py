@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if named is None and current is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # executors of local-cluster are processes that can be lost
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if current is None:

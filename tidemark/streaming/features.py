@@ -11,22 +11,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ensembles import signal_from_prob
-from tidemark.operators.windows import DEFAULT_USE, EMA_SPANS, LOOKBACK, feature_matrix, finite
+from tidemark.operators.windows import DEFAULT_USE, EMA_SPANS, LOOKBACK, feature_matrix
 from tidemark.plans.chunks import Series
 from tidemark.schemas import BARS
 from tidemark.session import stage
-from tidemark.streaming.state import EpochTable, RowBuffer
-
-COUNTED = T.StructType([*BARS.fields, T.StructField("seen", T.LongType())])
-
+from tidemark.streaming.state import EpochTable
+from tidemark.streaming.stateful import with_context
 
 class FeatureStream:
-    """``foreachBatch`` handler: new bars in, their features out, by the batch feature matrix.
+    """New bars in, their features out, by the batch feature matrix: ``run(each.through(bars), ..., each, "update")``.
 
-    Between epochs it keeps the newest rows of each symbol, as many as rolling features read, and its exponential averages with
-    the number of rows since its last value. So the features equal the batch ones, after an outage of any length too.
+    :meth:`through` keeps in Spark's state store the newest rows of each symbol, as many as rolling features read, and its exponential
+    averages with the number of rows since its last value; it sends new rows with what their features read. The ``foreachBatch``
+    handler computes the features. So they equal the batch ones, after an outage of any length too.
     ``history=150`` gives buffered behaviour, where the averages start anew at the edge of the buffer. Rows of a symbol before its
-    ``min_rows``-th are stored but not sent.
+    ``min_rows``-th are kept but not sent. ``ttl_s`` drops the state of symbols that have been silent for so long.
     """
 
     def __init__(
@@ -38,54 +37,32 @@ class FeatureStream:
         history: int | None = None,
         min_rows: int = 1,
         then: Callable[[DataFrame], DataFrame] | None = None,
+        ttl_s: float | None = None,
     ):
-        self.series, self.use, self.min_rows, self.then = series, use, min_rows, then
-        self.buffer = RowBuffer(spark, f"{path}/tail", COUNTED, series.keys, series.order[0], history or LOOKBACK)
-        held = [T.StructField("_since", T.LongType()), *(T.StructField(f"_h{n}", T.DoubleType()) for n in EMA_SPANS)]
-        averages = any("ema" in u for u in use) and history is None
-        self.averages = EpochTable(spark, f"{path}/averages", T.StructType([*(BARS[k] for k in series.keys), *held])) if averages else None
-        empty = spark.createDataFrame([], COUNTED).drop("seen")
-        out = feature_matrix(empty, series, use)
+        self.series, self.use, self.min_rows, self.then, self.history, self.ttl_s = series, use, min_rows, then, history, ttl_s
+        self.averages = history is None and any("ema" in u for u in use)
+        out = feature_matrix(spark.createDataFrame([], BARS), series, use)
         self.out = EpochTable(spark, f"{path}/features", (then(out) if then else out).schema)
 
+    def through(self, bars: DataFrame) -> DataFrame:
+        return with_context(bars.select(*BARS.names), self.history or LOOKBACK, EMA_SPANS, "close", self.series.keys, self.series.order[0], self.ttl_s)
+
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark, keys, ts = batch.sparkSession, list(self.series.keys), self.series.order[0]
-        old = self.buffer.before(spark, epoch)
-        fresh = stage(self.buffer.fresh(batch.select(*BARS.names), epoch), "fresh")
-        base = old.groupBy(*keys).agg(F.max("seen").alias("_base"))
-        counted = _number(fresh, self.series).join(base, keys, "left")
-        counted = counted.withColumn("seen", F.col("_n") + F.coalesce("_base", F.lit(0))).select(*COUNTED.names)
-        counted = stage(counted, "fresh")
-        both = old.withColumn("_new", F.lit(False)).unionByName(counted.withColumn("_new", F.lit(True)))
+        keys, held = list(self.series.keys), ["_since", *(f"_h{n}" for n in EMA_SPANS)]
+        batch = stage(batch, "context")
+        rows = batch.drop(*held)
         if self.averages:
-            past = self.averages.at(spark, epoch - 1)
-            feats = stage(feature_matrix(stage(both, "both"), self.series, self.use, "_new", past).filter("_new"), "features")
-            self.averages.write(self._averages(feats, past), epoch)
+            past = batch.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in held])
+            feats = feature_matrix(rows, self.series, self.use, "_new", past)
         else:
-            feats = feature_matrix(stage(both, "both"), self.series, self.use).filter("_new")
-        feats = feats.filter(F.col("seen") >= self.min_rows).drop("_new", "seen")
+            feats = feature_matrix(rows, self.series, self.use)
+        feats = feats.filter(F.col("_new") & (F.col("seen") >= self.min_rows)).drop("_new", "seen")
         self.out.write(self.then(feats) if self.then else feats, epoch)
-        self.buffer.store(counted, epoch)
-
-    def _averages(self, feats: DataFrame, past: DataFrame) -> DataFrame:
-        """Averages of every key after its last new row, and the rows since its last value."""
-        keys = list(self.series.keys)
-        last = F.max(F.when(finite("close").isNotNull(), F.col("seen")))
-        now = feats.groupBy(*keys).agg((F.max("seen") - last + 1).alias("_at"), F.count("*").alias("_rows"), *[F.max_by(f"ema_{n}", "seen").alias(f"_y{n}") for n in EMA_SPANS])
-        both = past.join(now, keys, "full")
-        since = F.coalesce("_at", F.col("_since") + F.coalesce("_rows", F.lit(0)))
-        return both.select(*keys, since.alias("_since"), *[F.coalesce(f"_y{n}", f"_h{n}").alias(f"_h{n}") for n in EMA_SPANS]).filter("_since is not null")
 
     def read(self, spark: SparkSession) -> DataFrame:
         return self.out.all(spark).drop("epoch")
 
 
-def _number(df: DataFrame, series: Series) -> DataFrame:
-    from tidemark.plans.chunks import number_rows
-
-    return number_rows(df, series, "_n", total=None).withColumn("_n", F.col("_n") + 1)
-
-
 def signal_stream(spark: SparkSession, path: str, score: Callable[[DataFrame], DataFrame], min_rows: int = 50, series: Series = Series(), **rules) -> FeatureStream:
     """Features -> ``score`` (adds ``prob``) -> signals, once a symbol has ``min_rows`` bars."""
 

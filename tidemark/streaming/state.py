@@ -1,13 +1,11 @@
-"""Per-key history between micro-batches, as tables in the shared folder.
+"""Results of micro-batches as tables in the shared folder.
 
-Each epoch writes its own folder and reads the one before, so a repeated epoch overwrites what it
-wrote and nothing is applied twice.
+Each epoch writes its own folder, so a repeated epoch overwrites what it wrote and nothing is added twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
@@ -26,60 +24,3 @@ class EpochTable:
 
     def all(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(T.StructType([*self.schema.fields, T.StructField("epoch", T.LongType())])).parquet(self.path)
-
-
-class HighWater:
-    """The newest time seen of every key: one row for each key, whatever the stream holds.
-
-    Rows that are not newer than that are late. Repeating an epoch starts from the epoch before it again.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: tuple[str, ...] = ("symbol",), ts: str = "ts"):
-        self.table = EpochTable(spark, path, T.StructType([*(schema[k] for k in keys), schema[ts]]))
-        self.keys, self.ts = list(keys), ts
-
-    def fresh(self, batch: DataFrame, epoch: int) -> DataFrame:
-        """One row per (key, time) of the batch, newer than what its key had seen before the epoch."""
-        seen = self.table.at(batch.sparkSession, epoch - 1).select(*self.keys, F.col(self.ts).alias("_seen"))
-        d = batch.dropDuplicates([*self.keys, self.ts]).join(seen, self.keys, "left")
-        return d.filter(F.col("_seen").isNull() | (F.col(self.ts) > F.col("_seen"))).drop("_seen")
-
-    def store(self, fresh: DataFrame, epoch: int) -> None:
-        both = self.table.at(fresh.sparkSession, epoch - 1).unionByName(fresh.select(*self.keys, self.ts))
-        self.table.write(both.groupBy(*self.keys).agg(F.max(self.ts).alias(self.ts)), epoch)
-
-
-class RowBuffer:
-    """The newest ``size`` rows of every key, not older than ``max_age_s`` against the key's newest row.
-
-    Rows that are not newer than the newest row seen of their key are late and dropped.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: tuple[str, ...] = ("symbol",), ts: str = "ts", size: int = 1000, max_age_s: float | None = None):
-        self.table = EpochTable(spark, path, schema)
-        self.keys, self.ts, self.size, self.max_age_s = keys, ts, size, max_age_s
-
-    def before(self, spark: SparkSession, epoch: int) -> DataFrame:
-        return self.table.at(spark, epoch - 1)
-
-    def fresh(self, batch: DataFrame, epoch: int) -> DataFrame:
-        """One row per (key, ts) of the batch, newer than what the key has seen."""
-        seen = self.before(batch.sparkSession, epoch).groupBy(*self.keys).agg(F.max(self.ts).alias("_seen"))
-        d = batch.dropDuplicates([*self.keys, self.ts]).join(seen, list(self.keys), "left")
-        return d.filter(F.col("_seen").isNull() | (F.col(self.ts) > F.col("_seen"))).drop("_seen")
-
-    def store(self, fresh: DataFrame, epoch: int) -> None:
-        both = self.before(fresh.sparkSession, epoch).unionByName(fresh.select(*self.table.schema.names))
-        newest = Window.partitionBy(*self.keys).orderBy(F.col(self.ts).desc())
-        d = both.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= self.size)
-        if self.max_age_s is not None:
-            top = F.max(self.ts).over(Window.partitionBy(*self.keys))
-            age = (F.unix_micros(top) - F.unix_micros(self.ts)) / F.lit(1e6)
-            d = d.withColumn("_age", age).filter(F.col("_age") <= self.max_age_s)
-        self.table.write(d, epoch)
-
-    def latest(self, spark: SparkSession, epoch: int, n: int | None = None) -> DataFrame:
-        """The last ``n`` rows of every key after an epoch; ``rank`` 1 is the newest."""
-        newest = Window.partitionBy(*self.keys).orderBy(F.col(self.ts).desc())
-        d = self.table.at(spark, epoch).withColumn("rank", F.row_number().over(newest))
-        return d.filter(F.col("rank") <= n) if n else d
