@@ -154,21 +154,22 @@ def plain_units(text):
 
 
 def plain_repeats(rows, least):
-    seen, spans = {}, set()
+    seen, lines, spans = {}, {}, set()  # stretches, and lines of several stretches
     for key, text in sorted(rows, key=lambda r: r[0]):
         run, gone = [], []
         for line, parts in plain_units(text):
-            again = line in seen  # the line as a whole, before its own stretches are known
+            known = lines if len(parts) > 1 else seen
+            again = line in known
             for k, (_, whole, a, b, n, own) in enumerate(parts):
                 if not own:
                     gone.append(run), (run := [])
                     continue
                 if own in seen:
-                    run.append((a, b, n, again and (whole or k == 0), seen[own]))
+                    run.append((a, b, n, again and (whole or k == 0), known[line] if again and k == 0 else seen[own]))
                 else:
                     gone.append(run), (run := [])
                 seen.setdefault(own, key)
-            seen.setdefault(line, key)
+            known.setdefault(line, key)
         for r in [*gone, run]:
             if r and (any(x[3] for x in r) or sum(x[2] for x in r) >= least):
                 spans.add((key, r[0][0], r[-1][1], sum(x[2] for x in r), r[0][4]))

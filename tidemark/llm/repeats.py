@@ -76,7 +76,8 @@ def units(text: str) -> list[tuple[int, int, int, int, int, bytes]]:
     def add(place: int, whole: int, first: int, last: int) -> None:
         own = " ".join(w for w in words[first : last + 1] if w)
         if own:
-            out.append((place, whole, spans[first][0], spans[last][1], last + 1 - first, xxhash.xxh3_128_digest(own.encode())))
+            # A line of several stretches repeats such lines only; then each of its stretches repeats as well.
+            out.append((place, whole, spans[first][0], spans[last][1], last + 1 - first, xxhash.xxh3_128_digest(own.encode(), 1 if whole == 2 else 0)))
 
     for place, (first, last, final, opening) in enumerate(zip(starts.tolist(), ends.tolist(), last_of.tolist(), opens.tolist())):
         add(place, int(opening and last == final), first, last)
@@ -118,7 +119,7 @@ def repeated_spans(numbered: DataFrame, key: str, text: str, row: str, least_wor
     run = F.col("place") - F.count(F.when(part, 1)).over(Window.partitionBy("row").orderBy("place", "whole"))
     spans = again.withColumn("run", run).groupBy("row", "run").agg(
         F.first("key").alias("key"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.when(part, F.col("words"))).alias("n_words"),
-        F.count(F.when(part, 1)).alias("n_units"), F.min_by("first.key", "place").alias("first_key"), F.max("whole").alias("whole"),
+        F.count(F.when(part, 1)).alias("n_units"), F.min_by("first.key", F.struct("place", -F.col("whole"))).alias("first_key"), F.max("whole").alias("whole"),
     )
     return spans.where((F.col("whole") > 0) | (F.col("n_words") >= least_words)).drop("run", "whole")
 
@@ -131,7 +132,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """Key, first_<key> (where the earliest copy of the span's first unit stands), start, stop, n_words, n_units of each span."""
+    """Key, first_<key> (where the earliest copy of the span's first unit stands, of its first line if that is repeated as a whole), start, stop, n_words, n_units of each span."""
     df, row = numbered(docs.select(key, text))
     got = repeated_spans(df, key, text, row, least_words)
     return got.select(F.col("key").alias(key), F.col("first_key").alias(f"first_{key}"), "start", "stop", "n_words", "n_units")
