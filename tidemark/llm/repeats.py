@@ -30,6 +30,7 @@ from tidemark.session import stage
 REACH, LEAST_WORDS = 4, 20
 #: Letters of scripts that do not part words (fixed ranges): Thai to Khmer, kana and ideographs, half-width kana.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+NO_SPACES, PARTED = re.compile(f"[{UNSPACED}]"), re.compile(r"\S+")
 SPACED = re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
 PLAIN = re.compile(r"[\W_]+")
 
@@ -55,7 +56,7 @@ def units(text: str) -> list[tuple[int, int, int, int, int, bytes]]:
     ``place`` numbers the stretches; ``whole`` is 0 for a part of a line, 1 for a line of one stretch, and 2 for a line of several
     stretches, which stands for itself after the first of them.
     """
-    spans = [m.span() for m in SPACED.finditer(text)]
+    spans = [m.span() for m in (SPACED if NO_SPACES.search(text) else PARTED).finditer(text)]
     if not spans:
         return []
     words = [PLAIN.sub("", text[a:b]).lower() for a, b in spans]
