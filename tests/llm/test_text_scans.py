@@ -159,7 +159,7 @@ def plain_repeats(rows, least):
         run, gone = [], []
         for line, parts in plain_units(text):
             known = lines if len(parts) > 1 else seen
-            again = line in known
+            again = line in known and (len(parts) == 1 or sum(p[4] for p in parts) < least)  # longer lines go by their stretches
             for k, (_, whole, a, b, n, own) in enumerate(parts):
                 if not own:
                     gone.append(run), (run := [])

@@ -50,11 +50,12 @@ def anchors(h: np.ndarray, line: np.ndarray) -> np.ndarray:
     return top
 
 
-def units(text: str) -> list[tuple[int, int, int, int, int, bytes]]:
+def units(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, int, bytes]]:
     """(place, whole, start, stop, words, digest) of each unit, in order.
 
     ``place`` numbers the stretches; ``whole`` is 0 for a part of a line, 1 for a line of one stretch, and 2 for a line of several
-    stretches, which stands for itself after the first of them.
+    stretches, which stands for itself after the first of them. Lines of ``least`` words need no such row: if one is repeated, so
+    are its stretches, which are long enough together.
     """
     spans = [m.span() for m in (SPACED if NO_SPACES.search(text) else PARTED).finditer(text)]
     if not spans:
@@ -82,12 +83,12 @@ def units(text: str) -> list[tuple[int, int, int, int, int, bytes]]:
 
     for place, (first, last, final, opening) in enumerate(zip(starts.tolist(), ends.tolist(), last_of.tolist(), opens.tolist())):
         add(place, int(opening and last == final), first, last)
-        if opening and last < final:
+        if opening and last < final < first + least - 1:
             add(place, 2, first, final)
     return out
 
 
-def unit_table(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
+def unit_table(docs: DataFrame, key: str, text: str, row: str, least: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     names = ["key", "row", "place", "whole", "start", "stop", "words", "h1", "h2"]
 
@@ -101,7 +102,7 @@ def unit_table(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
         for batch in batches:
             held: list[tuple[int, tuple]] = []
             for k, t in enumerate(batch.column(2)):
-                held += [(k, u) for u in units(t.as_py() or "")]
+                held += [(k, u) for u in units(t.as_py() or "", least)]
                 if len(held) > 1 << 16:
                     yield out(batch, held)
                     held = []
@@ -112,7 +113,7 @@ def unit_table(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
 
 def repeated_spans(numbered: DataFrame, key: str, text: str, row: str, least_words: int) -> DataFrame:
     """(key, row, start, stop, n_words, n_units, first_key) of every span to remove."""
-    found = stage(unit_table(numbered, key, text, row), "units")
+    found = stage(unit_table(numbered, key, text, row, least_words), "units")
     rank = F.struct("key", "row", "place")
     groups = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     again = found.join(groups, ["h1", "h2"]).where(~rank.eqNullSafe(F.col("first")))
