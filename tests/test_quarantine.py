@@ -25,6 +25,15 @@ def test_kline_lines(spark):
     assert Q.rejected_klines(spark.createDataFrame([(None,)], "value string")).first().problem == "empty"
 
 
+def test_mixed_klines_at_one_time(spark):
+    """Of two events at one time the one with more trades is the last, in either layout, whatever its price."""
+    path = scratch(spark, "mixed")
+    nested = [KLINE.replace('"x":true', f'"n":{n},"x":true').replace('"c":"1.2"', f'"c":"{c}"') for n, c in ((9, 1.1), (5, 1.9))]
+    flat = ['{"symbol":"Y","open_time":60000,"event_time":7,"close":%s,"trade_count":%d,"is_closed":true}' % x for x in ((1.9, 5), (1.1, 9))]
+    spark.createDataFrame([(x,) for x in nested + flat], "value string").repartition(2).write.text(path)
+    assert {r.symbol: r.close for r in readers.read_klines(spark, path).collect()} == {"X": 1.1, "Y": 1.1}
+
+
 def test_bar_lines(spark):
     path = scratch(spark, "csv")
     lines = ["timestamp,open,high,low,close,volume", "2024-01-01 00:00:00,1,2,0.5,1.5,10", "2024-01-01 00:01:00,1,2,,1.5,10", "2024-01-01 00:02:00,1,2,0.5,n/a,10", "yesterday,1,2,0.5,1.5,10", "2024-01-01 00:03:00,1,2", "2024-01-01 00:04:00,1,2,0.5,1.5,10,7"]

@@ -76,15 +76,15 @@ def read_klines_flat(spark: SparkSession, path: str, since=None, closed_only: bo
 
 
 def read_klines(spark: SparkSession, path: str, since=None) -> DataFrame:
-    """Both line layouts mixed in the same files."""
+    """Both line layouts mixed in the same files; the last event of each bar, of events at one time the one with most trades."""
     lines = spark.read.text(path)
-    nested = parse_klines(lines).filter("is_closed").select(*BAR_OUT, F.col("event_time").alias("_at"))
+    nested = parse_klines(lines).filter("is_closed").select(*BAR_OUT, F.col("event_time").alias("_at"), "trade_count")
     flat = lines.select(F.from_json("value", KLINE_FLAT).alias("r")).select("r.*").filter("open_time IS NOT NULL AND is_closed")
-    flat = flat.select("symbol", epoch_ms_to_ts("open_time").alias("ts"), *BAR_COLUMNS, epoch_ms_to_ts("event_time").alias("_at"))
+    flat = flat.select("symbol", epoch_ms_to_ts("open_time").alias("ts"), *BAR_COLUMNS, epoch_ms_to_ts("event_time").alias("_at"), "trade_count")
     d = nested.unionByName(flat)
     if since is not None:
         d = d.filter(F.col("ts") >= F.lit(since).cast("timestamp"))
-    return dedupe_last(d, ("symbol", "ts"), ("_at", "close")).select(*BAR_OUT)
+    return dedupe_last(d, ("symbol", "ts"), ("_at", "trade_count", "close")).select(*BAR_OUT)
 
 
 def read_splits(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
