@@ -25,6 +25,14 @@ def test_kline_lines(spark):
     assert Q.rejected_klines(spark.createDataFrame([(None,)], "value string")).first().problem == "empty"
 
 
+def test_lines_are_parsed_once(spark):
+    """A part of a line is read by one call of from_json, in no filter and for no rule again."""
+    path = scratch(spark, "lines")
+    spark.createDataFrame([(KLINE,)], "value string").write.text(path)
+    plan = Q.rejected_klines(Q.read_lines(spark, path)).filter("problem <> 'empty'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 4  # the line, the data of an envelope, the kline, the start of a flat line
+
+
 def test_mixed_klines_at_one_time(spark):
     """Of two events at one time the one with more trades is the last, in either layout, whatever its price."""
     path = scratch(spark, "mixed")

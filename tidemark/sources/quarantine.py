@@ -27,13 +27,8 @@ def read_bars_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return good, d.filter("_r._line is not null").select("file", F.col("value").alias("line"), problem.alias("problem"))
 
 
-def kline_problem(line: Column) -> Column:
-    """Why a line is no usable kline message (nested, enveloped or flat), null if it is one."""
-    as_map = lambda c: F.from_json(c, "map<string,string>")
-    outer = as_map(line)
-    message = F.when(F.map_contains_key(outer, "data"), as_map(outer["data"])).otherwise(outer)
-    k = as_map(message["k"])
-    flat = F.from_json(line, KLINE_FLAT)
+def kline_problem(line: Column, message: Column, k: Column, flat: Column) -> Column:
+    """Why a line is no usable kline message (nested, enveloped or flat), null if it is one; takes the line and its parsed parts."""
     number = lambda name: k[name].try_cast("double")
     possible = (number("h") >= number("l")) & (number("o") > 0) & (number("c") > 0) & (number("v") >= 0)
     missing = k[PRICES[0]].isNull()
@@ -43,7 +38,7 @@ def kline_problem(line: Column) -> Column:
     return (
         F.when(F.coalesce(F.trim(line) == "", F.lit(True)), "empty")
         .when(message.isNull(), "broken json")
-        .when(flat["open_time"].isNotNull(), F.lit(None))
+        .when(flat.isNotNull(), F.lit(None))
         .when(F.coalesce(message["e"] != "kline", F.lit(False)), "other event")
         .when(k.isNull(), "no kline")
         .when(k["t"].try_cast("long").isNull(), "no start time")
@@ -54,9 +49,19 @@ def kline_problem(line: Column) -> Column:
 
 
 def rejected_klines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """The lines that :func:`kline_problem` finds fault with; ``file`` where the frame has it. Works on batch and streaming frames."""
+    """The lines that :func:`kline_problem` finds fault with; ``file`` where the frame has it. Works on batch and streaming frames.
+
+    Each part of a line is parsed once: parts are columns of their own, and the problem is exploded, as a filter on it would
+    be pushed down and parse the line again.
+    """
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    outer, message, k, flat = (F.col(c) for c in ("_outer", "_message", "_k", "_flat"))
     file = F.col("file") if "file" in lines.columns else F.lit(None).cast("string")
-    return lines.select(file.alias("file"), F.col(value).alias("line"), kline_problem(F.col(value)).alias("problem")).filter("problem is not null")
+    d = lines.select(file.alias("file"), F.col(value).alias("line"), as_map(F.col(value)).alias("_outer"))
+    d = d.withColumn("_message", F.when(F.map_contains_key(outer, "data"), as_map(outer["data"])).otherwise(outer))
+    d = d.withColumn("_flat", F.when(F.map_contains_key(outer, "open_time"), F.from_json("line", KLINE_FLAT)["open_time"]))
+    d = d.withColumn("_k", as_map(message["k"]))
+    return d.select("file", "line", F.explode(F.array_compact(F.array(kline_problem(F.col("line"), message, k, flat)))).alias("problem"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
