@@ -33,6 +33,14 @@ def test_lines_are_parsed_once(spark):
     assert plan.count("from_json(") == 4  # the line, the data of an envelope, the kline, the start of a flat line
 
 
+def test_klines_are_parsed_once(spark):
+    path = scratch(spark, "lines")
+    spark.createDataFrame([(KLINE,), (KLINE.replace('"e":"kline"', '"e":"trade"').replace("60000", "9223372036854775807"),)], "value string").write.text(path)
+    d = readers.parse_klines(spark.read.text(path)).filter("is_closed and volume >= 0")
+    assert d._jdf.queryExecution().executedPlan().toString().count("from_json(") == 3  # the line, the data of an envelope, the kline
+    assert [(r.symbol, r.volume) for r in d.collect()] == [("X", 3.0)]
+
+
 def test_mixed_klines_at_one_time(spark):
     """Of two events at one time the one with more trades is the last, in either layout, whatever its price."""
     path = scratch(spark, "mixed")

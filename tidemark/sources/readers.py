@@ -33,8 +33,7 @@ def parse_klines(lines: DataFrame, value: str = "value") -> DataFrame:
     whole = lambda c: c.try_cast("long")
     k = lambda name: F.col("_k")[name]
     kind = F.col("_m")["e"]
-    m = m.filter(whole(k("t")).isNotNull() & F.coalesce(kind == "kline", F.lit(True)))
-    return m.select(
+    row = F.struct(
         F.coalesce(F.col("_m")["s"], k("s")).alias("symbol"),
         epoch_ms_to_ts(whole(k("t"))).alias("ts"),
         epoch_ms_to_ts(whole(k("T"))).alias("close_time"),
@@ -44,6 +43,9 @@ def parse_klines(lines: DataFrame, value: str = "value") -> DataFrame:
         whole(k("n")).alias("trade_count"),
         F.coalesce(k("x") == "true", F.lit(False)).alias("is_closed"),
     )
+    usable = whole(k("t")).isNotNull() & F.coalesce(kind == "kline", F.lit(True))
+    # Filters on columns of a generator stay above it; below, each of them would parse the line again.
+    return m.select(F.inline(F.when(usable, F.array(row))))
 
 
 def valid_kline() -> Column:
