@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import bytecnn as B
@@ -164,6 +165,22 @@ def test_rules_of_odd_tables(spark, odd, labels):
     assert R.statistics(text)[:5] == plain_statistics(text)
 
 
+def test_rules_learn_from_all_labelled_rows(spark):
+    """Good rows of another kind count, wherever they stand among more labelled rows than 4,000."""
+    n = 5000
+    late = F.row_number().over(Window.orderBy(F.xxhash64(F.col("doc_id").cast("string")))) > 4000
+    rows = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("late", late).withColumn("quality", F.when((F.col("doc_id") % 10 == 0) & ~F.col("late"), 0).otherwise(1))
+    symbols = F.when(F.col("quality") == 0, 300).when(F.col("late"), 60).otherwise(F.col("doc_id") % 4).cast("int")
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.concat(F.lit("w"), (k * 7919 + F.col("doc_id") * 31).cast("string"))), " ")
+    docs = rows.select("doc_id", F.concat(words, F.lit(" "), F.repeat(F.lit("#"), symbols)).alias("text"))
+    kept = R.apply_rules(docs, rows.select("doc_id", "quality")).join(rows, "doc_id").toPandas()
+    assert kept[kept.late].kept.mean() > 0.95 and kept[(kept.quality == 1) & ~kept.late].kept.mean() > 0.95 and not kept[kept.quality == 0].kept.any()
+    scores = np.round(np.random.default_rng(3).random(900), 2)
+    good, bad = scores[:700] * 0.7, scores[700:]
+    cut = R.calibrated(good, bad, 0.002)
+    assert (good <= cut).mean() >= 0.998 and min((good > c).mean() + (bad <= c).mean() for c in scores if (good <= c).mean() >= 0.998) == (good > cut).mean() + (bad <= cut).mean()
+
+
 def test_forest_finds_what_is_apart():
     rng = np.random.default_rng(1)
     x = rng.normal(0, 0.1, (400, 2))
