@@ -108,3 +108,59 @@ def test_pairs_of_blocks():
                     if int(A.np.bitwise_count(wide[x] ^ wide[y]).sum()) <= A.radius(s):
                         want.add((x, y))
         assert len(i) == len(got) and got == want and want
+
+
+def test_group_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """900 short edits of one text on both sides of 0.8: no step has more rows than a set has bands, though most pairs lie within the radius."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(900):
+        words = list(base)
+        for at in rng.sample(range(60), 2):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    most, write = [], A.stage
+
+    def counted(df, name, *rest):
+        got = write(df, name, *rest)
+        most.append((got.count(), name))
+        return got
+
+    monkeypatch.setattr(A, "stage", counted)
+    assert kept(spark, rows) == sorted(plain_kept(rows))
+    assert max(most)[0] <= A.BANDS * len(rows)
+
+
+def test_forest_of_a_bucket():
+    """Components by the sets alone, in one block and in two, joined up with the roots that are known."""
+    rng = A.np.random.default_rng(6)
+    pool = rng.integers(-(1 << 62), 1 << 62, 4000)
+    own = [A.np.unique(A.np.concatenate([rng.permutation(pool[100 * g : 100 * g + 80])[:76], rng.choice(pool, 4)])) for g in rng.integers(0, 12, 150)]
+    size = A.np.array(list(map(len, own)))
+    at = A.np.empty(150, object)
+    at[:] = own
+    wide = A.np.stack([A.np.frombuffer(A.fingerprint(x.view(A.np.uint64)), A.np.uint8) for x in own])
+    for root, side in ((A.np.arange(150), A.np.full(150, -1)), (rng.integers(0, 120, 150), A.np.full(150, -1)), (A.np.arange(150), A.np.arange(150) % 2)):
+
+        def joined(pairs, root=root):
+            label = root.tolist()
+            for x, y in pairs:
+                label = [label[x] if v == label[y] else v for v in label]
+            return [label.index(v) for v in label]
+
+        alike = [(x, y) for x in range(150) for y in range(x) if (side[x] == -1 or side[x] != side[y]) and (n := len(set(own[x].tolist()) & set(own[y].tolist()))) >= 0.8 * (size[x] + size[y] - n) - 1e-9]
+        i, j = A.forest(at, size, root, side, wide, 0.8)
+        assert set(map(tuple, map(sorted, zip(i, j)))) <= set(map(tuple, map(sorted, alike)))
+        assert joined(zip(i, j)) == joined(alike) and 0 < len(i) < 150
+
+
+def test_numbered_rows_stay_where_they_are(spark):
+    rows = spark.range(0, 100_000, 1, 2).selectExpr("id as n").withColumn("r", A.F.monotonically_increasing_id())
+    rows = A.stage(rows, "rows")
+    wanted = rows.where("n % 7 = 3 or n in (0, 32767, 32768, 49999, 50000, 99999)").select("r")
+    got, rest = A.numbered_rows(rows, wanted, "r"), A.numbered_rows(rows, wanted, "r", inside=False)
+    assert got.columns == rest.columns == ["n", "r"] and rest.count() == 100_000 - got.count()
+    assert rest.join(wanted, "r").count() == 0 and "Exchange hashpartitioning" not in rest._jdf.queryExecution().toString()
+    assert sorted(x.n for x in got.collect()) == sorted({n for n in range(100_000) if n % 7 == 3} | {0, 32767, 32768, 49999, 50000, 99999})
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().toString() and A.numbered_rows(rows, wanted.limit(0), "r").count() == 0

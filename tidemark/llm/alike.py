@@ -10,7 +10,10 @@
    fingerprints differ in 155 of 1024 bits (deviation 11), at 0.5 in 274, so texts that share a header or a licence fall out
    here, before any set is moved. ``radius`` lies nearly five deviations beyond 0.8.
 4. Buckets of more than ``LIMIT`` members are compared block by block, each pair of blocks in a task of its own.
-5. Pairs that are left are decided by their sets. Links are joined up by ``components``; rows take the smallest id of their component.
+5. What is left is decided by the sets. Pairs of a star are rows, at most ``BANDS`` for a set. Inside a bucket pairs never become rows:
+   the fingerprints name the members that have a pair, these bring their sets (blocks hold ``HASHES`` of them besides), and a block gives a
+   spanning forest. Links are joined up by ``components``; rows take the smallest id of their component.
+6. Texts stay where they are: a bitmap of row numbers, a bit for each row, is broadcast and names those whose fingerprints are needed, or which go.
 
 Null and empty texts have the empty set and are alike. Repeated rows are kept apart by their row number. An empty table gives no rows.
 """
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Batches, map_arrow, raw_texts, steps
+from tidemark.llm.common import Batches, map_arrow, ranges, raw_texts, steps
 from tidemark.llm.components import components
 from tidemark.llm.simhash import SPREAD, answered, lanes, shingle_hashes, within
 from tidemark.session import stage
@@ -33,6 +36,8 @@ from tidemark.session import stage
 BANDS, ROWS, BLOCK = 28, 4, 2048
 #: Bits of a fingerprint; members of a bucket that one task compares; pairs that one step compares.
 BITS, LIMIT, STEP = 1024, 4096, 1 << 20
+#: Hashes of the sets that a block holds, about, if it has several members; rows in a bitmap (as many as bitmap_construct_agg has bits).
+HASHES, BITMAP = 1 << 20, 1 << 15
 #: Bytes of text whose sets leave a worker together.
 TEXT_BYTES = 1 << 20
 #: A bijection of 64 bits for each minimum and for each word of the fingerprint: exclusive or, then an odd factor.
@@ -80,7 +85,7 @@ def sets(rows: DataFrame, words: int) -> DataFrame:
             fp, size, keys = [], [], []
             for t in raw_texts(batch.column(1)):
                 own = shingle_set(t, words)
-                fp.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else 0)
+                fp.append(digest(own))
                 size.append(len(own))
                 keys.append(band_keys(own) if len(own) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "size", "keys"])
@@ -88,16 +93,21 @@ def sets(rows: DataFrame, words: int) -> DataFrame:
     return map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, fp long, size int, keys array<long>")
 
 
+def digest(own: np.ndarray) -> int:
+    """Signed digest of a set, zero for the empty one."""
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else 0
+
+
 def profiles(texts: DataFrame, words: int) -> DataFrame:
-    """(fp, wide, own) of rows (fp, text): the fingerprint and the set."""
+    """(fp, wide, own) of rows (text): the digest, the fingerprint and the set."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            texts = raw_texts(batch.column(1))
+            texts = raw_texts(batch.column(0))
             for s, e in steps(texts, TEXT_BYTES):
                 own = [shingle_set(t, words) for t in texts[s:e]]
-                wide = pa.array(map(fingerprint, own), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), wide, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["fp", "wide", "own"])
+                fp, wide = pa.array(map(digest, own), pa.int64()), pa.array(map(fingerprint, own), pa.binary())
+                yield pa.RecordBatch.from_arrays([fp, wide, pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["fp", "wide", "own"])
 
     return map_arrow(texts, run, "fp long, wide binary, own array<long>")
 
@@ -160,47 +170,35 @@ def close_pairs(pairs: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("a", "b", "size", "_size", "wide", "_wide"), run, "a long, b long")
 
 
-def bucket_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(a, b) of members (key, fp, size, root, wide) of one bucket that are of other components and within the radius."""
-    n = members.groupBy("key").agg(F.ceil(F.count("*") / LIMIT).cast("int").alias("blocks"))
-    placed = members.join(n, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).select(
-        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "fp", "size", "root", "wide"
-    )
-    # A block meets itself with side -1 and each other block with the number of its own side.
+def dealt_blocks(members: DataFrame, most: int) -> DataFrame:
+    """(key, low, high, side, ...) of members (key, fp, size, ...): a row for each pair of blocks of its bucket that it takes part in.
+
+    Blocks have about ``LIMIT`` members and sets of ``most`` hashes. A block meets itself with side -1 and each other block with the number of its own side.
+    """
+    parts = F.greatest(F.ceil(F.count("*") / LIMIT), F.ceil(F.sum("size") / most))
+    n = members.groupBy("key").agg(parts.cast("int").alias("blocks"))
+    placed = members.join(n, "key").withColumn("own_block", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    low, high = F.least("own_block", "other"), F.greatest("own_block", "other")
+    side = F.when(F.col("own_block") == F.col("other"), -1).otherwise(F.col("own_block"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", low.alias("low"), high.alias("high"), side.alias("side"), *[c for c in members.columns if c != "key"])
+
+
+def by_block(dealt: DataFrame, parse: Callable[[pa.RecordBatch], tuple], answer: Callable[[tuple, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``answer`` for whole pairs of blocks: columns as ``parse`` gives them for a batch, the number of each row's pair of blocks, and their counts."""
 
     def run(batches: Batches) -> Batches:
-        held: list[tuple] = []
+        held: list[tuple] = []  # of the last pair of blocks, which may go on in the next batch
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            group, fp, size, root, side, wide = (np.concatenate(c) for c in zip(*rows))
+            group, *columns = (np.concatenate(c) for c in zip(*rows))
             starts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
-            counts = np.diff([*starts, len(group)])
-            number = np.repeat(np.arange(len(starts)), counts)
-            few = np.flatnonzero(np.repeat(counts, counts) <= 16)
-            a, b = [], []
-            for d in range(1, 16):  # places d apart of all small groups at once
-                i, j = few[:-d], few[d:]
-                small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                some = (number[i] == number[j]) & (root[i] != root[j]) & (small >= least * large - 1e-9) & ((side[i] == -1) | (side[i] != side[j]))
-                i, j = i[some], j[some]
-                good = near(size, i, j, wide)
-                a.append(fp[i[good]])
-                b.append(fp[j[good]])
-            for s, c in zip(starts[counts > 16], counts[counts > 16]):
-                i, j = block_pairs(wide[s : s + c], size[s : s + c], root[s : s + c], side[s : s + c], least)
-                a.append(fp[s : s + c][i])
-                b.append(fp[s : s + c][j])
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            return answer(tuple(columns), starts, np.diff([*starts, len(group)]))
 
         for batch in batches:
             if not len(batch):
                 continue
             group = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2)], axis=1)
-            wide = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(batch), -1)
-            rows = (group, batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_numpy(), batch.column(3).to_numpy(), wide)
+            rows = (group, *parse(batch))
             differ = np.flatnonzero((group != group[-1]).any(axis=1))
             cut = int(differ[-1]) + 1 if len(differ) else 0
             if cut or (held and (held[-1][0][-1] != group[-1]).any()):
@@ -211,7 +209,90 @@ def bucket_pairs(members: DataFrame, least: float) -> DataFrame:
             yield out(held)
 
     by = ("key", "low", "high")
-    return map_arrow(dealt.repartition(*by).sortWithinPartitions(*by), run, "a long, b long").distinct()
+    return map_arrow(dealt.repartition(*by).sortWithinPartitions(*by), run, schema)
+
+
+def fingerprints_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def paired(members: DataFrame, least: float) -> DataFrame:
+    """(key, fp): the members (key, fp, size, root, wide) that have another one of their bucket, of another component, within the radius."""
+
+    def parse(batch: pa.RecordBatch) -> tuple:
+        return (*(batch.column(c).to_numpy() for c in (0, 3, 4, 5, 6)), fingerprints_of(batch.column(7)))
+
+    def answer(columns: tuple, starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        key, side, fp, size, root, wide = columns
+        number, hit = np.repeat(np.arange(len(starts)), counts), np.zeros(len(key), bool)
+        few = np.flatnonzero(np.repeat(counts, counts) <= 16)
+        for d in range(1, 16):  # places d apart of all small groups at once
+            i, j = few[:-d], few[d:]
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            some = (number[i] == number[j]) & (root[i] != root[j]) & (small >= least * large - 1e-9) & ((side[i] == -1) | (side[i] != side[j]))
+            i, j = i[some], j[some]
+            good = near(size, i, j, wide)
+            hit[i[good]] = hit[j[good]] = True
+        for s, c in zip(starts[counts > 16], counts[counts > 16]):
+            i, j = block_pairs(wide[s : s + c], size[s : s + c], root[s : s + c], side[s : s + c], least)
+            hit[s + i] = hit[s + j] = True
+        return pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(fp[hit])], names=["key", "fp"])
+
+    dealt = dealt_blocks(members, 1 << 62).select("key", "low", "high", "side", "fp", "size", "root", "wide")
+    return by_block(dealt, parse, answer, "key long, fp long").distinct()
+
+
+def forest(own: list[np.ndarray], size: np.ndarray, root: np.ndarray, side: np.ndarray, wide: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Places of a spanning forest of the links between the components of one bucket (or two blocks of it), by the sets of its members."""
+    n, order = len(size), np.argsort(size, kind="stable")  # sets that can be alike stand together
+    size, side, words = size[order], side[order], wide[order].view(np.uint64)
+    component = np.unique(root[order], return_inverse=True)[1]
+    hashes = np.unique(np.concatenate([own[k] for k in order]), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    mark = np.zeros(int(hashes.max()) + 1, bool)
+    a: list[int] = []
+    b: list[int] = []
+    for q in range(n):
+        last = int(np.searchsorted(size, (size[q] + 1e-9) / least, "right"))
+        j = np.arange(q + 1, last)
+        j = j[(component[j] != component[q]) & ((side[q] == -1) | (side[j] != side[q]))]
+        j = j[np.bitwise_count(words[j] ^ words[q]).sum(axis=1, dtype=np.int64) <= radius(int(size[q]))]
+        if not len(j):
+            continue
+        mine = hashes[ends[q] - size[q] : ends[q]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[hashes[ranges(size[j], ends[j] - size[j])]], np.cumsum(size[j]) - size[j], dtype=np.int64)
+        mark[mine] = False
+        j = j[both >= least * (size[q] + size[j] - both) - 1e-9]
+        reached, at = np.unique(component[j], return_index=True)
+        a += [int(order[q])] * len(at)
+        b += order[j[at]].tolist()
+        component[np.isin(component, reached)] = component[q]
+    return a, b
+
+
+def bucket_links(members: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between components inside the buckets of members (key, fp, size, root, wide); fewer for a pair of blocks than it has members."""
+
+    def parse(batch: pa.RecordBatch) -> tuple:
+        own, at = batch.column(8), np.empty(len(batch), object)
+        values, ends = own.values.to_numpy(), own.offsets.to_numpy()
+        at[:] = [values[s:e] for s, e in zip(ends[:-1], ends[1:])]
+        return (*(batch.column(c).to_numpy() for c in (3, 4, 6)), np.array(list(map(len, at)), np.int64), fingerprints_of(batch.column(7)), at)
+
+    def answer(columns: tuple, starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        side, fp, root, size, wide, own = columns
+        a, b = [], []
+        for s, c in zip(starts.tolist(), counts.tolist()):
+            i, j = forest(own[s : s + c], size[s : s + c], root[s : s + c], side[s : s + c], wide[s : s + c], least) if c > 1 else ([], [])
+            a += fp[s : s + c][i].tolist() if i else []
+            b += fp[s : s + c][j].tolist() if j else []
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    some = stage(paired(members, least), "paired")
+    sized = stage(members.join(some, ["key", "fp"]).select("key", "fp", "size", "root"), "sized")
+    dealt = dealt_blocks(sized, HASHES).join(known, "fp").select("key", "low", "high", "side", "fp", "size", "root", "wide", "own")
+    return stage(by_block(dealt, parse, answer, "a long, b long").distinct(), "alike")
 
 
 def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
@@ -222,7 +303,7 @@ def verified(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
 
 
 def links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, least: float) -> DataFrame:
-    """(a, b): links between distinct sets (fp, size, keys) that hold their components together; ``texts`` gives (fp, text) for a table of fp."""
+    """(a, b): links between distinct sets (fp, size, keys) that hold their components together; ``texts`` gives (text), one for each row of a table of fp."""
     dealt = distinct.select("fp", "size", F.explode("keys").alias("key"))
     first = dealt.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stage(dealt.join(first, "key"), "shared")
@@ -237,7 +318,18 @@ def links(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
     # Buckets of one component, and of a star that has already met all its members, have nothing left to compare.
     mixed = joined.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
     members = joined.join(mixed, "key", "left_semi").join(wide, "fp")
-    return found.unionByName(verified(bucket_pairs(members, least), known, least))
+    return found.unionByName(bucket_links(members, known, least))
+
+
+def numbered_rows(rows: DataFrame, wanted: DataFrame, row: str, inside: bool = True) -> DataFrame:
+    """The rows whose number is in ``wanted``, or those whose number is not. They stay where they are: numbers go round as bitmaps, a bit for each row of ``rows``, as Spark numbers rows of a partition one by one."""
+    place = F.col(row).bitwiseAND(F.lit(BITMAP - 1))
+    bitmaps = wanted.groupBy(F.shiftright(row, 15).alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7)).cast("int"))
+    found = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_whole"), F.col(row), F.shiftright(row, 15).alias("bucket"))
+    found = found.join(F.broadcast(stage(bitmaps, "bitmaps")), "bucket", "left")
+    return found.where((F.coalesce(byte.bitwiseAND(bit), F.lit(0)) != 0) == F.lit(inside)).select("_whole.*")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
@@ -251,10 +343,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     distinct = stage(firsts, "distinct")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        # Staged, so that its size is known: few rows are broadcast and the texts stay where they are.
-        rows = stage(distinct.join(wanted, "fp").select("fp", F.col(f"first.{row}").alias(row)), "wanted")
-        return numbered.select(row, F.col(text).alias("text")).join(rows, row).select("fp", "text")
+        return numbered_rows(numbered.select(row, F.col(text).alias("text")), distinct.join(wanted, "fp").select(F.col(f"first.{row}").alias(row)), row).select("text")
 
     got = answered(every.select("id", "fp"), distinct.select("fp", "first", "n"), links(distinct, texts, words, least))
     gone = got.where(F.col(f"id.{row}") != F.col(f"component_id.{row}")).select(F.col(f"id.{row}").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*[numbered[c] for c in docs.columns])
+    return numbered_rows(numbered, gone, row, inside=False).drop(row)
